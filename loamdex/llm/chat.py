@@ -30,7 +30,7 @@ def rotate(turns: DataFrame, turns_per_page: int = TURNS_PER_PAGE) -> DataFrame:
     """(conv_id, perspective, page, n_turns, text, mask array<struct<start,end>>), one row per page and perspective."""
     speaker = F.coalesce("role", F.lit("unknown"))
     turns = turns.select("conv_id", F.col("turn").cast("long").alias("turn"), speaker.alias("speaker"), F.replace(F.coalesce("text", F.lit("")), F.lit("<|"), F.lit("< |")).alias("said"))
-    people = turns.where("speaker != 'system'").groupBy("conv_id", F.col("speaker").alias("perspective")).agg()
+    people = turns.where("speaker != 'system'").select("conv_id", F.col("speaker").alias("perspective")).distinct()
     pages = turns.groupBy("conv_id", F.floor(F.col("turn") / turns_per_page).alias("page")).agg(
         F.array_sort(F.collect_list(F.struct(F.col("turn").isNull().alias("last"), "turn", "speaker", "said"))).alias("turns")
     )
