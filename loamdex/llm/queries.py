@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, media, mixing, sharding, urlfilter
+from . import chat, decontam, media, mixing, sharding, simhash, substring, suffixarray, urlfilter
 from .common import table
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -37,13 +42,21 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rendered = chat.rotate(table(spark, sf_dir, "conversations"))
     spans = F.array_join(F.transform("mask", lambda s: F.concat(s["start"].cast("string"), F.lit("-"), s["end"].cast("string"))), ",")
     return rendered.select("conv_id", "perspective", "page", "n_turns", "text", spans.alias("mask"))
 
 
-QUERIES = {f.__name__: f for f in (op2_mixing, op3_media, op4_sharding, op5_decontamination, op6_url_filter, op8_chat)}
+def op9_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixarray.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_mixing, op3_media, op4_sharding, op5_decontamination, op6_url_filter, op7_substring, op8_chat, op9_suffix_array)}
 
 ORACLE_SQL = {
     "op5_decontamination": r"""
