@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, media, mixing, sharding, simhash, substring, suffixarray, urlfilter
+from . import chat, decontam, media, mixing, sharding, simhash, substring, suffixarray, toxicity, urlfilter
 from .common import table
 
 
@@ -56,7 +56,13 @@ def op9_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixarray.remove_repeats(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_mixing, op3_media, op4_sharding, op5_decontamination, op6_url_filter, op7_substring, op8_chat, op9_suffix_array)}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = toxicity.scored(docs, table(spark, sf_dir, "labels"))
+    return found.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_mixing, op3_media, op4_sharding, op5_decontamination, op6_url_filter, op7_substring, op8_chat, op9_suffix_array, op10_toxicity)}
 
 ORACLE_SQL = {
     "op5_decontamination": r"""
