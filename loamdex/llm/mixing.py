@@ -114,43 +114,49 @@ def shard_quotas(plans: list[Plan], shards: int) -> list[list[int]]:
     return [[b - a for a, b in zip(upto[s], upto[s + 1])] for s in range(shards)]
 
 
-def laid_out(docs: DataFrame, seed: int = SEED, *keep: str) -> DataFrame:
-    """(doc_id, source, size, start): where each document's words begin in its source's seeded order."""
+def spotted(docs: DataFrame, seed: int, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, source, size, spot, *keep) and the key (named, none, bucket): a document's place in its source's seeded order, and that order's part.
+
+    The source's name and whether it is null are keys of their own: one exchange serves windows and plain joins.
+    """
     text = F.coalesce("text", F.lit(""))
     order = F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), text))
-    rows = checkpointed(docs.select("doc_id", "source", word_count("text").alias("size"), order.alias("spot"), *keep).withColumn("bucket", F.substring("spot", 1, 3)))
-    cells = rows.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
-    before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.select(F.col("source").alias("s"), F.col("bucket").alias("b"), F.coalesce(F.sum("words").over(before), F.lit(0)).alias("first"))
-    inner = Window.partitionBy("source", "bucket").orderBy("spot", "size").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("inside", F.coalesce(F.sum("size").over(inner), F.lit(0)))
-    return rows.join(cells, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b"))).withColumn("start", F.col("first") + F.col("inside")).drop("s", "b", "first", "inside", "bucket", "spot")
+    return docs.select("doc_id", "source", word_count("text").alias("size"), order.alias("spot"), *keep).withColumns({"named": F.coalesce("source", F.lit("")), "none": F.col("source").isNull(), "bucket": F.substring("spot", 1, 3)})
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, share=SHARE, cap=CAP, block=BLOCK, seed=SEED, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, source, size, source_size, target, start, pieces, taken, copies).
+    """(doc_id, source, size, source_size, target, start, pieces, taken, copies, *keep).
 
-    ``pieces``: the document's blocks as (block, words, copies); ``taken``: words
-    times copies over them; ``copies``: those of the block with its first word,
-    for mixes of whole documents.
+    ``start``: where the document's words begin in its source's seeded order;
+    ``pieces``: its blocks as (block, words, copies); ``taken``: words times copies
+    over them; ``copies``: those of the block with its first word, for mixes of whole
+    documents. Rows are dealt out once, by source and part of its order.
     """
-    rows = laid_out(docs, seed, *keep)
-    sizes = rows.groupBy("source").agg(F.sum("size").alias("n")).collect()  # one row per source
-    ordered = sorted(((r.source, r.n or 0) for r in sizes), key=lambda x: (x[0] is None, x[0] or ""))
-    plans = plan_mix(ordered, weights, share, cap, block, seed)
-    fields = "name string, source_size long, target double, blocks long, quota long, step long, shift long"
-    table = docs.sparkSession.createDataFrame([(p.source, p.size, p.target, p.blocks, p.quota, p.step, p.shift) for p in plans], fields)
-    rows = rows.join(table, F.col("source").eqNullSafe(F.col("name")))
+    rows = spotted(docs, seed, keep)
+    part = ["named", "none", "bucket"]
+    cells = checkpointed(rows.groupBy(*part).agg(F.sum("size").alias("words")))
+    sizes = cells.groupBy("named", "none").agg(F.sum("words").alias("n")).collect()  # one row per source
+    plans = plan_mix([(None if r.none else r.named, r.n) for r in sorted(sizes, key=lambda r: (r.none, r.named))], weights, share, cap, block, seed)
+    fields = "named string, none boolean, source_size long, target double, blocks long, quota long, step long, shift long"
+    table = docs.sparkSession.createDataFrame([(p.source or "", p.source is None, p.size, p.target, p.blocks, p.quota, p.step, p.shift) for p in plans], fields)
+    before = Window.partitionBy("named", "none").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.withColumn("first", F.coalesce(F.sum("words").over(before), F.lit(0))).join(table, ["named", "none"]).drop("words")
+    inner = Window.partitionBy(*part).orderBy("spot", "size").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("inside", F.coalesce(F.sum("size").over(inner), F.lit(0)))
+    rows = rows.join(cells, part).withColumn("start", F.col("first") + F.col("inside"))
     first, last = F.floor(F.col("start") / block), F.floor((F.col("start") + F.greatest("size", F.lit(1)) - 1) / block)
-    full, extra = F.floor(F.col("quota") / F.greatest("blocks", F.lit(1))), F.col("quota") % F.greatest("blocks", F.lit(1))
+    blocks = F.greatest("blocks", F.lit(1))
+    full, extra = F.expr("quota div greatest(blocks, 1)"), F.col("quota") % blocks
 
     def copies(b):
-        return (full + ((b * F.col("step") + F.col("shift")) % F.greatest("blocks", F.lit(1)) < extra).cast("long")).cast("long")
+        return (full + ((b * F.col("step") + F.col("shift")) % blocks < extra).cast("long")).cast("long")
 
     def piece(b):
         words = F.least((b + 1) * block, F.col("start") + F.col("size")) - F.greatest(b * block, F.col("start"))
         return F.struct(b.alias("block"), words.alias("words"), copies(b).alias("copies"))
 
     rows = rows.withColumn("pieces", F.when(F.col("size") > 0, F.transform(F.sequence(first, last), piece)))
-    taken = F.coalesce(F.aggregate("pieces", F.lit(0).cast("long"), lambda a, p: a + p["words"] * p["copies"]), F.lit(0).cast("long"))
-    return rows.withColumn("taken", taken).withColumn("copies", copies(F.least(first, F.greatest(F.col("blocks") - 1, F.lit(0))))).drop("name", "blocks", "quota", "step", "shift")
+    none = F.lit(0).cast("long")
+    taken = F.coalesce(F.aggregate("pieces", none, lambda a, p: a + p["words"] * p["copies"]), none)
+    rows = rows.withColumn("taken", taken).withColumn("copies", copies(F.least(first, F.greatest(F.col("blocks") - 1, none))))
+    return rows.select("doc_id", "source", "size", "source_size", "target", "start", "pieces", "taken", "copies", *keep)

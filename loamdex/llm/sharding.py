@@ -50,10 +50,10 @@ def best_fit_decreasing(sizes: list[int], capacity: int, bins: int | None = None
     return where
 
 
-def shard(docs: DataFrame, shards: int, cells: int = CELLS) -> DataFrame:
-    """(doc_id, size, text_crc32, group_key, shard, slot) for every row of (doc_id, text)."""
+def shard(docs: DataFrame, shards: int, cells: int = CELLS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, size, text_crc32, group_key, *keep, shard, slot) for every row of (doc_id, text, *keep)."""
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.unhex(F.md5(text.cast("binary"))).alias("group_key"))
+    rows = docs.select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.unhex(F.md5(text.cast("binary"))).alias("group_key"), *keep)
     rows = checkpointed(rows.withColumn("cell", F.pmod(F.xxhash64("group_key"), F.lit(shards * cells)).cast("int")))
     groups = rows.groupBy("group_key", "cell").agg(F.sum("size").alias("bytes"))
     total = rows.agg(F.sum("size")).first()[0] or 0
