@@ -50,6 +50,16 @@ def best_fit_decreasing(sizes: list[int], capacity: int, bins: int | None = None
     return where
 
 
+def level(sizes: list[int], bins: int) -> int:
+    """The size to which bins fill evenly, items that outweigh it left alone in theirs."""
+    total = sum(sizes)
+    for size in sorted(sizes, reverse=True):
+        if bins == 1 or size * bins <= total:
+            break
+        total, bins = total - size, bins - 1
+    return max(1, -(-total // bins))
+
+
 def shard(docs: DataFrame, shards: int, cells: int = CELLS, keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, size, text_crc32, group_key, *keep, shard, slot) for every row of (doc_id, text, *keep)."""
     text = F.coalesce("text", F.lit(""))
@@ -61,7 +71,8 @@ def shard(docs: DataFrame, shards: int, cells: int = CELLS, keep: tuple[str, ...
     # at most shards * cells groups are so large, and there are so many cells: both lists are bounded
     large = groups.where(F.col("bytes") >= least).select("group_key", "bytes").orderBy("group_key").collect()
     small = groups.where(F.col("bytes") < least).groupBy("cell").agg(F.sum("bytes").alias("bytes")).orderBy("cell").collect()
-    where = best_fit_decreasing([r.bytes for r in large] + [r.bytes for r in small], -(-total // shards) or 1, shards)
+    sizes = [r.bytes for r in large] + [r.bytes for r in small]
+    where = best_fit_decreasing(sizes, level(sizes, shards), shards)
     spark = docs.sparkSession
     of_group = spark.createDataFrame([(r.group_key, s) for r, s in zip(large, where)], "group_key binary, of_group int")
     of_cell = spark.createDataFrame([(r.cell, s) for r, s in zip(small, where[len(large) :])], "cell int, of_cell int")

@@ -65,9 +65,12 @@ def suffix_array(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Suffixes in order of their first ``depth`` bytes at least, equal ones by position; and the place of each."""
     n = len(text)
     keys = packed(text)
-    order = np.argsort(keys, kind="stable")
-    sorted_keys = keys[order]
-    begins = np.r_[True, sorted_keys[1:] != sorted_keys[:-1]]
+    # the last suffixes end within the key; shortest first, they come before equal keys of longer ones
+    tail = max(0, n - 7)
+    listed = np.r_[np.arange(n - 1, tail - 1, -1), np.arange(tail)]
+    order = listed[np.argsort(keys[listed], kind="stable")]
+    sorted_keys, lengths = keys[order], np.minimum(n - order, 8)
+    begins = np.r_[True, (sorted_keys[1:] != sorted_keys[:-1]) | (lengths[1:] != lengths[:-1])]
     rank = np.empty(n, np.int64)
     rank[order] = np.maximum.accumulate(np.where(begins, np.arange(n), 0))
     told = 8

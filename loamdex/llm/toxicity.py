@@ -37,10 +37,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LENGTH, DECAY, SCREEN = 3, 0.6, 0.7
-SAMPLE_DOCS, SAMPLE_SENTENCES = 3000, 60_000
+SAMPLE_DOCS, SAMPLE_SENTENCES = 3000, 40_000
 POSITIVE, NEGATIVE = 40, 16
 #: Times the rate in clean sentences at which a word that marks toxic ones has to occur.
 PURE = 5
+#: Words looked at as landmarks, and standard deviations by which one has to stand out.
+CANDIDATES, SURE = 400, 1.5
 #: Letters of a word that are compared; longer ones are compared in overlapping pieces.
 LONGEST = 24
 #: Words a worker remembers, and characters of text it looks at together.
@@ -265,7 +267,13 @@ def choose_landmarks(words: list[set[str]], toxic: np.ndarray) -> list[str]:
         (here if t else there).update(ws)
     ratio = toxic.sum() / max(1, (~toxic).sum())
     lift = {w: (n - ratio * there[w]) / np.sqrt(n + 1) for w, n in here.items() if len(w) > LENGTH and n > PURE * ratio * there[w]}
-    ranked = sorted(lift, key=lambda w: (-lift[w], w))[:600]
+    ranked = sorted(lift, key=lambda w: (-lift[w], w))[:CANDIDATES]
+    if ranked:  # words like a candidate are evidence too, for and against it
+        at, clean = Landmarks(ranked), sorted(there)
+        for_it = at.values(ranked).T @ np.array([here[w] for w in ranked], float)
+        against = sum(at.values(part).T @ np.array([ratio * there[w] for w in part]) for part in (clean[i : i + 8192] for i in range(0, max(1, len(clean)), 8192)))
+        sure = (for_it - against) / np.sqrt(for_it + against + 1)
+        ranked = [ranked[i] for i in np.lexsort((np.arange(len(ranked)), -sure)) if sure[i] >= SURE and for_it[i] > PURE * against[i]]
 
     def unlike(candidates: list[str], most: int, limit: float) -> list[str]:
         near, out, covered = Landmarks(candidates).values(candidates) if candidates else None, [], np.zeros(len(candidates))
