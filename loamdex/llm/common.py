@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import gc
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +32,33 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Like ``checkpointed``, as compressed Parquet: for larger tables. The files go when the driver's Python ends."""
+    spark = df.sparkSession
+    path = f"{checkpoint_folder(spark)}/loamdex-table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    atexit.register(_dropped, spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def released(spark: SparkSession) -> None:
+    """Let Spark's cleaner remove the shuffle files of jobs whose results have been written out.
+
+    It does so when the driver's references to them are collected, which between two
+    jobs of one operator would otherwise happen by chance.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def _dropped(spark: SparkSession, path: str) -> None:
+    context = spark.sparkContext
+    if context._jsc is None or context._jsc.sc().isStopped():
+        return
+    at = context._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def word_count(text: str | Column) -> Column:
     """Number of words, 0 for null; stays in the JVM."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import windows
-from .common import checkpointed
+from .common import checkpointed, released, written
 
 WINDOW, GRAM, BATCHES, FANOUT = 35, 12, 3, 3
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
@@ -103,7 +103,8 @@ class FingerprintIndex:
         anchors = self.repeated[0]
         for more in self.repeated[1:]:
             anchors = anchors.union(more)
-        return self.rows().join(anchors.distinct(), "anchor")
+        # written out, so that both sides of the join are plain exchanges and a very common anchor can be split
+        return self.rows().join(checkpointed(anchors.distinct()), "anchor")
 
     def close(self) -> None:
         for name in self.tables:
@@ -114,8 +115,9 @@ class FingerprintIndex:
 def repeated_runs(docs: DataFrame, repeats: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, key, start, n): all runs of windows that occur more than once. Every text is moved once: the caller's join uses the same exchange."""
     least = F.min(F.struct("doc_id", "key", "start", "n")).alias("at")
-    spans = repeats.groupBy("anchor", "span").agg(F.count("*").alias("c"), least)
-    mixed = spans.groupBy("anchor").agg(F.count("*").alias("spans"), F.min("c").alias("fewest")).where("spans > 1 AND fewest = 1").select("anchor")
+    # written out for the same reason as anchors are
+    spans = checkpointed(repeats.groupBy("anchor", "span").agg(F.count("*").alias("c"), least))
+    mixed = checkpointed(spans.groupBy("anchor").agg(F.count("*").alias("spans"), F.min("c").alias("fewest")).where("spans > 1 AND fewest = 1").select("anchor"))
     whole = repeats.join(spans.where("c > 1").select("anchor", "span"), ["anchor", "span"]).select("doc_id", "key", "start", "n")
     looked = spans.join(mixed, "anchor").select("anchor", "c", "at.*")
 
@@ -150,9 +152,12 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batc
     try:
         for b in range(batches):
             index.add(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == b))
-        found = repeated_runs(docs, checkpointed(index.repeats()), window)
+        repeats = written(index.repeats())
     finally:
         index.close()
+    del index
+    released(docs.sparkSession)
+    found = repeated_runs(docs, repeats, window)
     schema = RESULT + (", kept_text string" if with_text else "")
 
     def cut(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

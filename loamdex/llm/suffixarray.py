@@ -13,8 +13,8 @@ removed; earlier means a smaller doc_id or, within a document, a smaller offset.
    doubling that sorts only groups not yet told apart), common prefixes of its
    neighbours by Kasai's rule, and neighbours with ``window`` bytes in common form a
    class, of which all but the earliest are removed.
-4. Shards that share a split anchor are merged: their sorted windows, in ranges
-   of the byte order, are looked up in each other by binary search.
+4. Shards that share a split anchor are merged: their sorted windows, dealt out by
+   hash, are looked up in each other by binary search.
 
 Defined results: null and empty texts, and texts shorter than a window, lose
 nothing; null doc_ids count as smallest; rows that share a doc_id are ordered by
@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import windows
-from .common import checkpointed
+from .common import checkpointed, released, written
 
 WINDOW, GRAM = 100, 24
 #: Spans of one anchor in one shard, and bytes for which a suffix array is built at once.
@@ -230,10 +230,18 @@ def shard_repeats(spans: DataFrame, window: int, shard_bytes: int = SHARD_BYTES)
 
 
 def merge_shards(classes: DataFrame, window: int) -> DataFrame:
-    """(doc_id, key, start, n) of windows that another shard has earlier; classes: rows with w of shard_repeats."""
+    """(doc_id, key, start, n): the removed runs in the rows of shard_repeats, and windows that another shard has earlier.
+
+    Equal windows are dealt to one partition by their hash; removed runs pass through.
+    """
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
+        held = []
+        for batch in batches:
+            done = pa.compute.is_null(batch.column(0))
+            yield batch.filter(done).select(["doc_id", "key", "start", "n"])
+            if (rest := batch.filter(pa.compute.invert(done))).num_rows:
+                held.append(rest)
         if not held:
             return
         rows = pa.Table.from_batches(held)
@@ -261,20 +269,24 @@ def merge_shards(classes: DataFrame, window: int) -> DataFrame:
         k = np.flatnonzero(gone)
         yield pa.RecordBatch.from_pydict({"doc_id": ids.take(pa.array(k)), "key": keys[k], "start": start[k], "n": np.ones(len(k), np.int32)})
 
-    return classes.drop("n").repartitionByRange("w").sortWithinPartitions("anchor", "salt", "w").mapInArrow(merged, RUN)
+    spot = F.when(F.col("w").isNull(), F.xxhash64("doc_id", "start")).otherwise(F.xxhash64("w"))
+    return classes.repartition(spot).sortWithinPartitions("anchor", "salt", "w").mapInArrow(merged, RUN)
 
 
 def repeated_runs(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, split: int = SPLIT) -> DataFrame:
     """(doc_id, key, start, n): all runs of windows of keyed documents that also start earlier."""
-    filed = windows.file_runs(docs, byte_coder, window, gram).repartition("anchor")
-    anchors = filed.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor")
-    repeats = checkpointed(filed.join(anchors, "anchor"))
+    filed = windows.file_runs(docs, byte_coder, window, gram)
+    # written out, so that both sides of each join below are plain exchanges and a very common anchor can be split
+    anchors = checkpointed(filed.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor"))
+    repeats = written(filed.join(anchors, "anchor"))
+    del filed, anchors
+    released(docs.sparkSession)
     place = F.struct("doc_id", "key", "start")
-    spans = repeats.groupBy("anchor", "span").agg(F.min(place).alias("at"), F.first("n").alias("n"))
-    counts = spans.groupBy("anchor").agg(F.count("*").alias("spans"))
+    spans = checkpointed(repeats.groupBy("anchor", "span").agg(F.min(place).alias("at"), F.first("n").alias("n")))
+    counts = checkpointed(spans.groupBy("anchor").agg(F.count("*").alias("spans")).where("spans > 1"))
     later = repeats.join(spans.select("anchor", "span", "at"), ["anchor", "span"]).where(place != F.col("at")).select("doc_id", "key", "start", "n")
     shards = F.ceil(F.col("spans") / split).cast("int")
-    looked = spans.join(counts.where("spans > 1"), "anchor").select("anchor", F.pmod("span", shards).cast("int").alias("salt"), (shards > 1).alias("split"), "n", "at.*")
+    looked = spans.join(counts, "anchor").select("anchor", F.pmod("span", shards).cast("int").alias("salt"), (shards > 1).alias("split"), "n", "at.*")
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -289,9 +301,10 @@ def repeated_runs(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, split
                 yield pa.RecordBatch.from_pydict({"anchor": found.field(0), "salt": found.field(1), "split": found.field(2), "doc_id": batch.column(0).take(at), "key": batch.column(1).take(at), "start": found.field(3), "n": found.field(4), "text": pa.array(raw, pa.binary())})
 
     cut = windows.with_lists(docs, looked, ["anchor", "salt", "split", "start", "n"], "inner").mapInArrow(texts, f"anchor long, salt int, split boolean, {RUN}, text binary")
-    solved = checkpointed(shard_repeats(cut.repartition("anchor", "salt").sortWithinPartitions("anchor", "salt"), window))
-    parts = solved.where("w IS NULL").select("doc_id", "key", "start", "n")
-    return later.unionByName(parts).unionByName(merge_shards(solved.where("w IS NOT NULL"), window))
+    solved = shard_repeats(cut.repartition("anchor", "salt").sortWithinPartitions("anchor", "salt"), window)
+    # only shards of a split anchor give rows with w; all in one plan, so that texts are moved once for this and for the caller
+    several = not counts.where(F.col("spans") > split).isEmpty()
+    return later.unionByName(merge_shards(solved, window) if several else solved.select("doc_id", "key", "start", "n"))
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, split: int = SPLIT, with_text: bool = False) -> DataFrame:

@@ -28,7 +28,6 @@ doc_id is held out; repeated rows get equal scores; an empty table gives no rows
 
 from __future__ import annotations
 
-from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -59,17 +58,26 @@ def pieces_of(token: str) -> list[str]:
     return [word] if len(word) <= LONGEST else [word[i : i + LONGEST] for i in range(0, len(word) - LONGEST // 2, LONGEST // 2)]
 
 
+def spelled(letters: list[str]) -> list[str]:
+    """Words that a run of single letters may spell: an article may stand before them or a letter after."""
+    word = "".join(letters)
+    return [w for w in dict.fromkeys((word, word[1:], word[:-1], word[1:-1])) if len(w) >= 3]
+
+
 def sentences_of(text: str) -> list[list[str]]:
-    """Words of each sentence; spelled-out runs of single letters are added as words."""
+    """Words of each sentence, with those that runs of single letters spell."""
     out: list[list[str]] = [[]]
     single: list[str] = []
-    for token in text.split():
-        out[-1].append(token)
-        single = [*single, token] if len(token) == 1 else []
-        if len(single) >= 3:
-            out[-1].append("".join(single))
-        if token[-1] in ".!?":
-            out.append([])
+    for token in [*text.split(), ""]:
+        if len(token) == 1:
+            single.append(token)
+        elif single:
+            out[-1] += spelled(single)
+            single = []
+        if token:
+            out[-1].append(token)
+            if token[-1] in ".!?":
+                out.append([])
     return [s for s in out if s]
 
 
@@ -193,13 +201,10 @@ class Scorer:
             values, of = rows[row[hit]], np.cumsum(np.r_[0, marks[:-1] & 1])[hit] if len(hit) else hit
             single = np.flatnonzero((marks >> 1) & 1)
             if len(single) >= 3:
-                spelled, where = [], []
                 sentence = np.cumsum(np.r_[0, marks[:-1] & 1])
-                for run in np.split(single, np.flatnonzero(np.diff(single) > 1) + 1):
-                    spelled += [p for n in range(3, len(run) + 1) for p in pieces_of("".join(words[i] for i in run[:n]))[-1:]]
-                    where += [sentence[run[n - 1]] for n in range(3, len(run) + 1)]
-                if spelled:
-                    values, of = np.concatenate([values, self.at.values(spelled)]), np.r_[of, where].astype(np.int64)
+                more = [(p, sentence[run[-1]]) for run in np.split(single, np.flatnonzero(np.diff(single) > 1) + 1) for w in spelled([words[i] for i in run]) for p in pieces_of(w)]
+                if more:
+                    values, of = np.concatenate([values, self.at.values([p for p, _ in more])]), np.r_[of, [k for _, k in more]].astype(np.int64)
             if not len(of):
                 out[k] = self.model.bias
                 continue
@@ -221,7 +226,8 @@ class Scorer:
             out.append(self.margins(texts[at:end]))
             at = end
         margins = np.concatenate(out) if out else np.zeros(0)
-        return 1 / (1 + np.exp(-np.clip(self.model.slope * margins + self.model.middle, -30, 30)))
+        # rounded, so that scores don't depend on which words were compared together
+        return np.round(1 / (1 + np.exp(-np.clip(self.model.slope * margins + self.model.middle, -30, 30))), 6)
 
 
 def score(text: str | Column, model) -> Column:
@@ -254,24 +260,26 @@ def training_sentences(docs: DataFrame, labels: DataFrame) -> list[tuple[int, in
     chosen = F.broadcast(chosen.select(F.col("doc_id").alias("chosen_id"), "toxic"))  # at most 2 * SAMPLE_DOCS rows
     split = F.explode(F.split(F.col("text"), r"(?<=[.!?])\s+"))
     sentences = docs.select("doc_id", "text").join(chosen, F.col("doc_id") == F.col("chosen_id")).select("doc_id", "toxic", split.alias("sentence")).where("length(trim(sentence)) > 0 AND length(sentence) <= 5000")
-    out = []
-    for label in (0, 1):
-        out += sentences.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id", "sentence"), "doc_id", "sentence").limit(SAMPLE_SENTENCES).collect()
-    return [(r.doc_id, r.toxic, r.sentence) for r in out]
-
-
-def choose_landmarks(words: list[set[str]], toxic: np.ndarray) -> list[str]:
-    """Words that mark toxic-labelled sentences most, unlike each other; then clean words most like them."""
-    there, here = Counter(), Counter()
-    for ws, t in zip(words, toxic):
-        (here if t else there).update(ws)
-    ratio = toxic.sum() / max(1, (~toxic).sum())
-    lift = {w: (n - ratio * there[w]) / np.sqrt(n + 1) for w, n in here.items() if len(w) > LENGTH and n > PURE * ratio * there[w]}
-    ranked = sorted(lift, key=lambda w: (-lift[w], w))[:CANDIDATES]
+    kept = (sentences.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id", "sentence"), "doc_id", "sentence").limit(SAMPLE_SENTENCES) for label in (0, 1))
+    return [(r.doc_id, r.toxic, r.sentence) for part in kept for r in part.toLocalIterator()]
+
+
+def choose_landmarks(every: list[str], here: np.ndarray, there: np.ndarray, ratio: float) -> list[str]:
+    """Words that mark toxic-labelled sentences most, unlike each other; then clean words most like them.
+
+    here, there: in how many toxic and clean sentences each word of ``every`` is; ratio: toxic to clean sentences.
+    """
+    long = np.fromiter((len(w) > LENGTH for w in every), bool, len(every))
+    lift = (here - ratio * there) / np.sqrt(here + 1)
+    some = np.flatnonzero(long & (here > PURE * ratio * there))
+    some = sorted(some.tolist(), key=lambda i: (-lift[i], every[i]))[:CANDIDATES]
+    ranked = [every[i] for i in some]
     if ranked:  # words like a candidate are evidence too, for and against it
-        at, clean = Landmarks(ranked), sorted(there)
-        for_it = at.values(ranked).T @ np.array([here[w] for w in ranked], float)
-        against = sum(at.values(part).T @ np.array([ratio * there[w] for w in part]) for part in (clean[i : i + 8192] for i in range(0, max(1, len(clean)), 8192)))
+        at, clean = Landmarks(ranked), np.flatnonzero(there)
+        for_it, against = at.values(ranked).T @ here[some], np.zeros(len(ranked))
+        for k in range(0, len(clean), 8192):
+            part = clean[k : k + 8192]
+            against += at.values([every[i] for i in part]).T @ (ratio * there[part])
         sure = (for_it - against) / np.sqrt(for_it + against + 1)
         ranked = [ranked[i] for i in np.lexsort((np.arange(len(ranked)), -sure)) if sure[i] >= SURE and for_it[i] > PURE * against[i]]
 
@@ -286,7 +294,8 @@ def choose_landmarks(words: list[set[str]], toxic: np.ndarray) -> list[str]:
     positive = unlike(ranked, POSITIVE, 0.6)
     if not positive:
         return []
-    clean = sorted((w for w in there if len(w) > LENGTH and w not in here), key=lambda w: (-there[w], w))[:20_000]
+    plain = np.flatnonzero(long & (there > 0) & (here == 0)).tolist()
+    clean = [every[i] for i in sorted(plain, key=lambda i: (-there[i], every[i]))[:20_000]]
     if not clean:
         return positive
     like = Landmarks(positive).values(clean).max(axis=1)
@@ -326,20 +335,22 @@ def train(docs: DataFrame, labels: DataFrame, rounds: int = 3) -> Model:
     toxic = np.array([t == 1 for _, t, _ in rows], bool)
     if not toxic.any() or toxic.all():
         return Model()
-    words = [{p for s in sentences_of(text) for w in s for p in pieces_of(w)} for _, _, text in rows]
+    number: dict[str, int] = {}
+    words = [np.unique(np.array([number.setdefault(p, len(number)) for s in sentences_of(text) for w in s for p in pieces_of(w)], np.int32)) for _, _, text in rows]
+    every = list(number)
     # copies of a sentence are evidence once
     once = list({(text, t): i for i, (_, t, text) in enumerate(rows)}.values())
-    landmarks = choose_landmarks([words[i] for i in once], toxic[once])
+    count = lambda label: np.bincount(np.concatenate([words[i] for i in once if toxic[i] == label] or [np.zeros(0, np.int32)]), minlength=len(every)).astype(float)
+    landmarks = choose_landmarks(every, count(True), count(False), toxic[once].sum() / max(1, (~toxic[once]).sum()))
     if not landmarks:
         return Model()
     at = Landmarks(landmarks)
-    every = sorted(set().union(*words))
-    number = {w: i for i, w in enumerate(every)}
     values = at.values(every)
-    near = np.array([values[[number[w] for w in ws]].max(axis=0) if ws else np.zeros(len(landmarks)) for ws in words])
+    near = np.array([values[ws].max(axis=0) if len(ws) else np.zeros(len(landmarks), np.float32) for ws in words])
+    del values, words, number, every
     eigen, basis = np.linalg.eigh((k := at.values(landmarks).astype(float)) / 2 + k.T / 2)
     root = basis @ np.diag(1 / np.sqrt(np.maximum(eigen, 1e-2))) @ basis.T
-    x = near @ root
+    x = (near @ root).astype(np.float32)
     document = np.unique([d for d, _, _ in rows], return_inverse=True)[1]
     positive = toxic & (near[:, : min(POSITIVE, len(landmarks))].max(axis=1) > 0.6)
     for _ in range(rounds):
