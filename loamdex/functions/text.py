@@ -48,7 +48,7 @@ def stable_hash(c: str | Column) -> Column:
     Longs are masked after every product: 32 by 32 bits stays below 2**63.
     """
     digits = F.hex(F.encode(col(c), "UTF-16BE"))
-    units = F.filter(F.transform(F.sequence(F.lit(0), F.length(digits) / 4), lambda i: F.substring(digits, (i * 4 + 1).cast("int"), F.lit(4))), lambda u: u != "")
+    units = F.filter(F.transform(F.sequence(F.lit(0), F.floor(F.length(digits) / 4).cast("int")), lambda i: F.substring(digits, (i * 4 + 1).cast("int"), F.lit(4))), lambda u: u != "")
     mask = F.lit(0xFFFFFFFF).cast("long")
 
     def step(acc: Column, unit: Column) -> Column:
@@ -196,7 +196,8 @@ def extracted_json(raw: str | Column) -> Column:
     first = F.regexp_instr(plain, F.lit(r"[\{\[]"))
     body = F.when(first > 0, trim_blank(F.substring(plain, first, F.length(plain))))
     cut = F.regexp_extract(body, r"(?s)^(.*[\}\]])", 1)
-    return F.when(F.try_parse_json(body).isNotNull(), body).when(F.try_parse_json(cut).isNotNull(), cut)
+    # the parser stops after the first value, so the text has to end with a bracket too
+    return F.when(F.try_parse_json(body).isNotNull() & body.rlike(r"[}\]]$"), body).when(F.try_parse_json(cut).isNotNull(), cut)
 
 
 def dataview_query(raw: str | Column) -> Column:
