@@ -352,7 +352,7 @@ _EVENTS = """e AS (SELECT event_id, epoch_ms(ts) AS ms, CASE event_type WHEN 'si
   c AS (SELECT session, path, 'upsert' AS op, ms, event_id, 0 AS part FROM s WHERE op IN ('create', 'modify') UNION ALL SELECT session, path, 'delete', ms, event_id, 0 FROM s WHERE op IN ('delete', 'rename') UNION ALL SELECT session, new_path, 'upsert', ms, event_id, 1 FROM s WHERE op = 'rename' AND new_path LIKE '%.md')"""
 
 
-@query(f"WITH {_EVENTS} SELECT CAST(session AS BIGINT) AS session, path, arg_max(op, ms * 1000000000 + event_id * 10 + part) AS op FROM c GROUP BY session, path")
+@query(f"WITH {_EVENTS} SELECT CAST(session AS BIGINT) AS session, path, arg_max(op, ms * 1000000 + event_id * 2 + part) AS op FROM c GROUP BY session, path")
 def sync_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.col("event_type")
     op = F.when(kind == "signup", "create").when(kind == "purchase", "rename").when(kind == "error", "delete").otherwise("modify")

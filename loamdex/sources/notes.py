@@ -24,16 +24,21 @@ def read_paths(notes: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFram
     return found, wanted.join(notes.where(T.is_markdown("path")).select("path"), "path", "left_anti")
 
 
+FRONT = r"^\x{FEFF}?---\r?\n((?s:.*?\n)?)---(?:\r?\n|$)"
+
+
 def frontmatter(content: str | F.Column) -> F.Column:
     """The block between the first line ``---`` and the next such line; null without one."""
-    return F.nullif(F.regexp_extract(T.col(content), r"^\x{FEFF}?---\r?\n((?s:.*?\n)?)---(?:\r?\n|$)", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(T.col(content), FRONT, 1), F.lit(""))
 
 
 def with_metadata(notes: DataFrame) -> DataFrame:
     """Notes with ``tags``, ``links`` and ``n_links``, read from their content."""
     front = F.coalesce(frontmatter("content"), F.lit(""))
+    body = F.regexp_replace("content", FRONT, "")
     value = F.regexp_extract(front, r"(?m)^tags?:[ \t]*\[?([^\]\r\n]*)\]?[ \t]*$", 1)
-    rows = notes.withColumns({"tags": F.array_distinct(T.all_tags(T.inline_tags("content"), T.frontmatter_tags(value))), "links": T.links("content")})
+    value = F.translate(value, "'\"", "")
+    rows = notes.withColumns({"tags": F.array_distinct(T.all_tags(T.inline_tags(body), T.frontmatter_tags(value))), "links": T.links("content")})
     return rows.withColumn("n_links", F.size("links").cast("long"))
 
 

@@ -13,6 +13,7 @@ import json
 from dataclasses import asdict, dataclass
 from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,6 +78,8 @@ class GenerationStore:
         stream = self._fs.open(at)
         try:
             return bytes(stream.readAllBytes()).decode()
+        except Py4JJavaError as e:
+            raise CorruptionError("the manifest can't be read") from e
         finally:
             stream.close()
 
