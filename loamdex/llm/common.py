@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -45,10 +46,13 @@ def released(spark: SparkSession) -> None:
     """Let Spark's cleaner remove the shuffle files of jobs whose results have been written out.
 
     It does so when the driver's references to them are collected, which between two
-    jobs of one operator would otherwise happen by chance.
+    jobs of one operator would otherwise happen by chance. References go in two steps
+    (Python's, then the JVM's), and the cleaner works in the background.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(1)
 
 
 def _dropped(spark: SparkSession, path: str) -> None:
