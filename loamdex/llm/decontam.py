@@ -20,7 +20,6 @@ doc_id and text (item_id and text) are ignored.
 
 from __future__ import annotations
 
-import hashlib
 from collections import defaultdict
 
 import pandas as pd
@@ -163,7 +162,3 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK
     )
     items = F.array_sort(F.array_distinct(F.concat(*(F.col(f"{n}.items") for n in names))))
     return docs.withColumn("_leak", F.struct(F.col(f"{names[0]}.n_words"), union.alias("n_hit"), items.alias("items"))).drop(*names)
-
-
-def digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(items).encode()).hexdigest()

@@ -80,6 +80,13 @@ ORACLE_SQL = {
         r(action, h, p) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/'))
         SELECT page_id, host, path, max_by(h || p, length(h || p)) AS rule, coalesce(max_by(action, length(h || p)), 'allow') AS verdict
         FROM (SELECT row_number() OVER () AS k, * FROM u) LEFT JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY k, page_id, host, path""",
+    "op7_substring": r"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        s AS (SELECT r, i, md5_number(array_to_string(w[i : i + 34], ' ')) AS h FROM d, unnest(range(1, len(w) - 33)) AS u(i)),
+        g AS (SELECT r, i FROM s WHERE h IN (SELECT h FROM s GROUP BY h HAVING count(*) > 1)),
+        x AS (SELECT a.r, a.j, a.word, max(g.i) OVER (PARTITION BY a.r ORDER BY a.j) AS last FROM (SELECT r, j, w[j] AS word FROM d, unnest(range(1, len(w) + 1)) AS u(j)) a LEFT JOIN g ON g.r = a.r AND g.i = a.j),
+        k AS (SELECT r, count(*) AS n, count(*) FILTER (last IS NOT NULL AND j - last < 35) AS gone, string_agg(word, ' ' ORDER BY j) FILTER (last IS NULL OR j - last >= 35) AS kept FROM x GROUP BY r)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (r)""",
     "op8_chat": r"""
         WITH t AS (SELECT conv_id, turn, CAST(floor(turn / 256) AS BIGINT) AS page, coalesce(role, 'unknown') AS who, replace(coalesce(text, ''), '<|', '< |') AS said FROM conversations),
         p AS (SELECT DISTINCT conv_id, who AS perspective FROM t WHERE who <> 'system'),

@@ -93,10 +93,6 @@ def cascade_holds(levels: list[Bloom], keys: list[str]) -> np.ndarray:
     return out
 
 
-def key_hash(keys: Column) -> Column:
-    return F.xxhash64(keys)
-
-
 def universe_of(urls: DataFrame, lengths: list[int]) -> DataFrame:
     """The distinct keys of all urls: (key). Hosts and path heads are made distinct first, so common ones are made into keys once."""
     most = max(lengths, default=0)
