@@ -86,7 +86,7 @@ class NoteIndex:
     def similar(self, path: str, limit: int = 10, matches: int = 3) -> DataFrame:
         return search.similar(self._ready(), path, limit, matches)
 
-    def duplicates(self, threshold: float = search.THRESHOLD, limit: int = 100, matches: int = 3) -> DataFrame:
+    def duplicates(self, threshold: float = 0.95, limit: int = 100, matches: int = 3) -> DataFrame:
         """(left_path, right_path, side, match_rank, id, score, pair_score) of the best pairs."""
         rows = self._ready()
         pairs = similarity.duplicates(search.centroids(rows), threshold, limit)

@@ -10,19 +10,21 @@ from loamdex.sources import records
 from loamdex.sources.store import GenerationStore
 
 
-class Keywords:
-    """[0,1,0] for beta, [0,0,1] for gamma, else [1,0,0]."""
+def providers():
+    """Local classes, so that they travel to the workers whole: [0,1,0] for beta, [0,0,1] for gamma, else [1,0,0]; and one that fails."""
 
-    def dimensions(self):
-        return 3
+    class Keywords:
+        def dimensions(self):
+            return 3
 
-    def embed(self, texts):
-        return [np.array([0, 1, 0] if "beta" in t else [0, 0, 1] if "gamma" in t else [1, 0, 0], np.float32) for t in texts]
+        def embed(self, texts):
+            return [np.array([0, 1, 0] if "beta" in t else [0, 0, 1] if "gamma" in t else [1, 0, 0], np.float32) for t in texts]
 
+    class Failing(Keywords):
+        def embed(self, texts):
+            raise RuntimeError("no")
 
-class Failing(Keywords):
-    def embed(self, texts):
-        raise RuntimeError("no")
+    return Keywords, Failing
 
 
 def notes_of(spark, **notes):
@@ -33,6 +35,7 @@ LONG = " and some more words to be eligible here"
 
 
 def test_index_lifecycle(spark, tmp_path):
+    Keywords, Failing = providers()
     index = NoteIndex(GenerationStore(spark, str(tmp_path / "i"), "s", 3), Keywords, Options())
     assert index.status() == "not-initialized" and index.flush({"reconcile_all": True}, lambda p: None) is None
     with pytest.raises(errors.NotInitializedError):
@@ -51,7 +54,7 @@ def test_index_lifecycle(spark, tmp_path):
     content = {"a.md": "# A\n\nbeta" + LONG}
     read = lambda wanted: spark.createDataFrame([(p, content[p]) for p in wanted if p in content], "path string, content string")
     synced = index.flush({"reconcile_all": False, "upserts": ["a.md", "lost.md"], "deletes": ["c.md"]}, read)
-    assert (synced["documents_seen"], synced["documents_changed"], synced["documents_unchanged"], synced["documents_deleted"], synced["chunks_deleted"], synced["generation_after"]) == (3, 1, 1, 1, 1, 2)
+    assert (synced["documents_seen"], synced["documents_changed"], synced["documents_unchanged"], synced["documents_deleted"], synced["chunks_deleted"], synced["generation_after"]) == (3, 1, 1, 1, 2, 2)
     pairs = index.duplicates().collect()
     assert {(r.left_path, r.right_path) for r in pairs} == {("a.md", "b.md")} and len(pairs) == 2
     assert [r.path for r in index.similar("a.md").collect()] == ["b.md"]
