@@ -51,7 +51,7 @@ def most(counts: DataFrame, key: str, limit: int) -> DataFrame:
     return counts.orderBy(F.desc("n"), "first", key).limit(limit).select(key, "n")
 
 
-def collected(notes: DataFrame, config_dir: str = ".obsidian", backups: bool = True, dot_names: bool = True, templates_any_case: bool = True) -> DataFrame:
+def collected(notes: DataFrame, config_dir: str = ".config", backups: bool = True, dot_names: bool = True, templates_any_case: bool = True) -> DataFrame:
     """Notes that an audit takes. The collectors differ in what they leave out: backup folders, names with a dot first, templates in any case."""
     path = F.lower("path")
     keep = T.is_markdown("path") & ~path.startswith(config_dir.lower() + "/") & ~(path if templates_any_case else F.col("path")).startswith("templates/")

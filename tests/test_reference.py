@@ -162,7 +162,7 @@ def test_vault_and_links(spark, tmp_path):
 
 
 def test_audit_pieces(spark):
-    names = spark.createDataFrame([(p,) for p in ("a.md", ".obsidian/x.md", "Templates/t.md", ".ai-backup-1/y.md", "d/.hidden.md", "z.txt")], "path string")
+    names = spark.createDataFrame([(p,) for p in ("a.md", ".config/x.md", "Templates/t.md", ".ai-backup-1/y.md", "d/.hidden.md", "z.txt")], "path string")
     assert [r.path for r in audit.collected(names).collect()] == ["a.md"]
     assert audit.collected(names, backups=False, dot_names=False, templates_any_case=False).count() == 4
     assert audit.estimate(11) == {"batches": 3, "requests": 5, "minutes": 1, "single_minutes": 2}
