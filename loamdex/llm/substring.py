@@ -113,7 +113,7 @@ class FingerprintIndex:
 
 
 def repeated_runs(docs: DataFrame, repeats: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, key, start, n): all runs of windows that occur more than once. Every text is moved once: the caller's join uses the same exchange."""
+    """(doc_id, key, start, n): all runs of windows that occur more than once."""
     least = F.min(F.struct("doc_id", "key", "start", "n")).alias("at")
     # written out for the same reason as anchors are
     spans = checkpointed(repeats.groupBy("anchor", "span").agg(F.count("*").alias("c"), least))
@@ -138,9 +138,9 @@ def repeated_runs(docs: DataFrame, repeats: DataFrame, window: int = WINDOW) ->
                 yield pa.RecordBatch.from_pydict({"anchor": anchor, "hash": hashes, "c": c, "doc_id": batch.column(0).take(pa.array(i)), "key": batch.column(1).take(pa.array(i)), "start": at.astype(np.int32)})
 
     # rows that repeat give their windows repeatedly, which counts for nothing: their runs have c > 1 as it is
-    single = windows.with_lists(docs, looked, ["anchor", "c", "start", "n"], "inner").mapInArrow(hashed, "anchor long, hash long, c long, doc_id long, key long, start int")
-    single = single.repartition("anchor", "hash")
-    common = single.groupBy("anchor", "hash").agg(F.sum("c").alias("total")).where("total > 1").select("anchor", "hash")
+    single = written(windows.with_lists(docs, looked, ["anchor", "c", "start", "n"], "inner").mapInArrow(hashed, "anchor long, hash long, c long, doc_id long, key long, start int"))
+    released(docs.sparkSession)
+    common = checkpointed(single.groupBy("anchor", "hash").agg(F.sum("c").alias("total")).where("total > 1").select("anchor", "hash"))
     parts = single.where("c = 1").join(common, ["anchor", "hash"]).select("doc_id", "key", "start", F.lit(1).alias("n"))
     return whole.unionByName(parts)
 
