@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import groupby
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -9,6 +15,8 @@ from pyspark.sql.window import Window
 from ..functions import text as T
 
 DAY_MS = 86_400_000
+#: Paths sampled for each cut of the path order.
+CUT_SAMPLE = 20
 
 
 def js_round(x: Column) -> Column:
@@ -112,32 +120,116 @@ def estimate(notes: int, batch: int = 5, concurrency: int = 3, delay: int = 1000
 # note audits
 
 
-def packed(notes: DataFrame, batch_files: int = 5, batch_chars: int = 20_000, parts: int = 1) -> DataFrame:
+def fold_batches(sizes: list, state: tuple[int, int | None], batch_files: int, batch_chars: int) -> tuple[list[bool], tuple[int, int | None]]:
+    """Which notes open a batch, and the (notes, characters) of the batch still open; characters with an unknown size are unknown."""
+    n, chars = state
+    opens = []
+    for size in sizes:
+        grown = None if chars is None or size is None else chars + size
+        full = n > 0 and (n >= batch_files or (grown is not None and grown > batch_chars))
+        n, chars = (1, size) if full else (n + 1, grown)
+        opens.append(full)
+    return opens, (n, chars)
+
+
+def exits(sizes: list, after: list, batch_files: int, batch_chars: int) -> list[tuple[int, int]]:
+    """For each number of leading notes that belong to an earlier batch: how many notes after the range its last batch takes, and the batches begun in it.
+
+    ``after``: sizes of the next notes, as many as a batch may still take.
+    """
+    out: list[tuple[int, int]] = []
+    for entry in range(batch_files):
+        if entry >= len(sizes):
+            out.append((entry - len(sizes), 0))
+            continue
+        opens, state = fold_batches(sizes[entry:], (0, 0), batch_files, batch_chars)
+        taken = fold_batches(after, state, batch_files, batch_chars)[0]
+        out.append((taken.index(True) if True in taken else len(taken), 1 + sum(opens)))
+    return out
+
+
+def packed(notes: DataFrame, batch_files: int = 5, batch_chars: int = 20_000, parts: int = 0) -> DataFrame:
     """(part, batch, path, position): notes, in path order, in batches of bounded number and size.
 
-    Packing restarts where a batch is full, so it is a fold over the order. ``parts``
-    cuts the path order in ranges packed separately (batches then end at the cuts);
-    with one part it is the fold over all notes.
+    Packing restarts where a batch is full, so it is a fold over the order. The
+    path order is cut in ``parts`` ranges (0: as many as shuffle partitions), which
+    change only the column part. A range's first batch starts at one of its first
+    ``batch_files`` notes (or later, if it is shorter): each range gives, for each
+    such entry, where the next range is entered and how many batches begin in it.
+    The driver composes these small maps; then every range folds on from its own entry.
     """
+    files = max(batch_files, 1)
+    files = max(batch_files, 1)
+    parts = parts or int(notes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = notes.select("path", F.col("size").cast("long").alias("size"))
-    if parts > 1:
-        rows = rows.repartitionByRange(parts, "path").withColumn("part", F.spark_partition_id())
-    else:
-        rows = rows.withColumn("part", F.lit(0))
-
-    def fold(acc: Column, note: Column) -> Column:
-        full = (acc["n"] > 0) & ((acc["n"] >= batch_files) | (acc["chars"] + note["size"] > batch_chars))
-        batch = F.when(full, acc["batch"] + 1).otherwise(acc["batch"])
-        return F.struct(
-            batch.alias("batch"), F.when(full, 1).otherwise(acc["n"] + 1).alias("n"), F.when(full, note["size"]).otherwise(acc["chars"] + note["size"]).alias("chars"),
-            F.concat(acc["out"], F.array(batch)).alias("out"),
-        )
-
-    start = F.struct(F.lit(0).alias("batch"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("chars"), F.array().cast("array<int>").alias("out"))
-    listed = rows.groupBy("part").agg(F.array_sort(F.collect_list(F.struct("path", "size"))).alias("notes"))
-    packed_ = listed.withColumn("batches", F.aggregate("notes", start, fold, lambda a: a["out"]))
-    flat = packed_.select("part", F.explode(F.arrays_zip("notes", "batches")).alias("x")).select("part", F.col("x.batches").alias("batch"), "x.notes.path")
-    return flat.withColumn("position", F.row_number().over(Window.partitionBy("part", "batch").orderBy("path")) - 1)
+    some = rows.where("path IS NOT NULL").orderBy(F.xxhash64("path"), "path").limit(parts * CUT_SAMPLE).select("path").collect() if parts > 1 else []
+    sample = sorted({r.path for r in some})
+    cuts = np.array(sorted({sample[len(sample) * i // parts] for i in range(1, parts)} if sample else ()), object)
+
+    @F.pandas_udf("int")
+    def part_of(paths: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(cuts, paths.fillna("").to_numpy(object), side="right"), dtype="int32")
+
+    placed = rows.withColumn("part", part_of("path") if len(cuts) else F.lit(0)).repartition(parts, "part").sortWithinPartitions("part", "path", "size")
+
+    def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+        """Each batch's stretches of one part."""
+        for batch in batches:
+            part = batch.column("part").to_numpy()
+            ends = [*(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(part)] if len(part) else []
+            for at, end in zip([0, *ends], ends):
+                yield int(part[at]), batch.slice(at, end - at)
+
+    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, stretches in groupby(ranges(batches), lambda x: x[0]):
+            first, n = [], 0
+            for _, batch in stretches:
+                first += batch.column("size").slice(0, files - len(first)).to_pylist()
+                n += batch.num_rows
+            yield pa.RecordBatch.from_pylist([{"part": part, "n": n, "first": first}], pa.schema({"part": pa.int32(), "n": pa.int64(), "first": pa.list_(pa.int64())}))
+
+    known = sorted(placed.mapInArrow(heads, "part int, n long, first array<long>").collect())
+    after: dict[int, list] = {}
+    for k, r in enumerate(known):
+        following: list = []
+        for later in known[k + 1 :]:
+            following += later.first
+            if len(following) >= files:
+                break
+        after[r.part] = following[:files]
+
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, stretches in groupby(ranges(batches), lambda x: x[0]):
+            sizes = [s for _, batch in stretches for s in batch.column("size").to_pylist()]
+            found = exits(sizes, after[part], files, batch_chars)
+            yield pa.RecordBatch.from_pylist([{"part": part, "entry": e, "leaves": leaves, "begun": begun} for e, (leaves, begun) in enumerate(found)], pa.schema({"part": pa.int32(), "entry": pa.int32(), "leaves": pa.int32(), "begun": pa.int64()}))
+
+    steps = {(r.part, r.entry): (r.leaves, r.begun) for r in placed.mapInArrow(mapped, "part int, entry int, leaves int, begun long").collect()} if len(known) > 1 else {}
+    entries, entry, begun = {}, 0, 0
+    for r in known:
+        entries[r.part] = (entry, begun)
+        if steps:
+            entry, more = steps[r.part, entry]
+            begun += more
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, stretches in groupby(ranges(batches), lambda x: x[0]):
+            (skip, batch_no), state = entries[part], (0, 0)
+            batch_no -= 1
+            for _, batch in stretches:
+                early = min(skip, batch.num_rows)
+                numbers, skip = [batch_no] * early, skip - early
+                opens, grown = fold_batches(batch.column("size").to_pylist()[early:], state, files, batch_chars)
+                if opens and state[0] == 0:
+                    opens[0] = True
+                for opened in opens:
+                    batch_no += opened
+                    numbers.append(batch_no)
+                state = grown
+                yield pa.RecordBatch.from_arrays([batch.column("part"), pa.array(numbers, pa.int32()), batch.column("path")], ["part", "batch", "path"])
+
+    flat = placed.mapInArrow(numbered, "part int, batch int, path string")
+    return flat.withColumn("position", F.row_number().over(Window.partitionBy("batch").orderBy("path")) - 1)
 
 
 def reduce_groups(batches: DataFrame, size: int = 24) -> DataFrame:
@@ -145,23 +237,45 @@ def reduce_groups(batches: DataFrame, size: int = 24) -> DataFrame:
     return batches.withColumn("reduce_group", F.floor(F.col("batch") / size).cast("long"))
 
 
-def dedupe_clusters(clusters: DataFrame) -> DataFrame:
-    """Clusters of one name (trimmed, any case) become one; unnamed ones stay apart.
+def cluster_key() -> Column:
+    """Name, trimmed and in lower case; unnamed clusters have their seq."""
+    name = T.trim_blank(F.coalesce("name", F.lit("")))
+    return F.when(name == "", F.concat(F.lit("#"), F.col("seq").cast("string"))).otherwise(F.concat(F.lit("="), F.lower(name)))
 
-    clusters: (seq, name, description, paths, moc). Paths are joined in order of first
-    appearance, the longest trimmed description wins (the earlier of equal ones),
-    and the first suggestion that isn't blank; output order is of first appearance.
+
+def cluster_members(clusters: DataFrame) -> DataFrame:
+    """(key, path, seq, place): a row for each path of each merged cluster, with where it first appears; (seq, place) is the order."""
+    listed = clusters.select(cluster_key().alias("key"), "seq", F.posexplode("paths").alias("place", "path"))
+    return listed.groupBy("key", "path").agg(F.min(F.struct("seq", "place")).alias("at")).select("key", "path", "at.seq", "at.place")
+
+
+def cluster_heads(clusters: DataFrame) -> DataFrame:
+    """(key, seq, name, description, moc, file_count): each merged cluster without its paths.
+
+    The longest trimmed description wins (the earlier of equal ones), and the first
+    suggestion that isn't blank.
     """
-    name = T.trim_blank(F.coalesce("name", F.lit("")))
-    key = F.when(name == "", F.concat(F.lit("#"), F.col("seq").cast("string"))).otherwise(F.concat(F.lit("="), F.lower(name)))
     about = T.trim_blank(F.coalesce("description", F.lit("")))
     moc = F.when(T.trim_blank(F.coalesce("moc", F.lit(""))) != "", F.col("moc"))
-    merged = clusters.groupBy(key.alias("key")).agg(
+    heads = clusters.groupBy(cluster_key().alias("key")).agg(
         F.min("seq").alias("seq"), F.min_by("name", "seq").alias("name"), F.max_by(about, F.struct(F.length(about), -F.col("seq"))).alias("description"),
-        F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("seq", F.coalesce("paths", F.array().cast("array<string>")).alias("paths")))), lambda x: x["paths"]))).alias("paths"),
         F.min_by(moc, F.when(moc.isNotNull(), F.col("seq"))).alias("moc"),
     )
-    return merged.withColumn("file_count", F.size("paths").cast("long")).drop("key")
+    counts = cluster_members(clusters).groupBy("key").agg(F.count("*").alias("file_count"))
+    return heads.join(counts, "key", "left").withColumn("file_count", F.coalesce("file_count", F.lit(0).cast("long")))
+
+
+def dedupe_clusters(clusters: DataFrame) -> DataFrame:
+    """Clusters of one name (trimmed, any case) become one; unnamed ones stay apart.
+
+    clusters: (seq, name, description, paths, moc). Paths are joined in order of first
+    appearance; output order is of first appearance. A row holds all distinct paths of
+    its cluster: where a cluster may be large, use ``cluster_heads`` and ``cluster_members``.
+    """
+    spots = F.transform(F.array_sort(F.collect_list(F.struct("seq", "place", "path"))), lambda x: x["path"])
+    paths = cluster_members(clusters).groupBy("key").agg(spots.alias("paths"))
+    merged = cluster_heads(clusters).join(paths, "key", "left")
+    return merged.select("seq", "name", "description", F.coalesce("paths", F.array().cast("array<string>")).alias("paths"), "moc", "file_count")
 
 
 RECORD = "mainIdea string, keyPoints array<string>, entities array<string>, quality string, suggestedTags array<string>, suggestedLinks array<string>"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import providers as P
@@ -377,16 +377,33 @@ _CLUSTERS = f"""c AS (SELECT doc_id AS seq, CASE doc_id % 4 WHEN 0 THEN ' ' || s
   k AS (SELECT *, CASE WHEN trim(name) = '' THEN '#' || seq ELSE '=' || lower(trim(name)) END AS key, trim(about, '{_BLANK}') AS d FROM c)"""
 
 
+def _clusters(spark: SparkSession, sf_dir: str, about: Column | None = None) -> DataFrame:
+    kinds, fives = F.col("doc_id") % 4, F.col("doc_id") % 5
+    name = F.when(kinds == 0, F.concat(F.lit(" "), "source", F.lit(" "))).when(kinds == 1, F.upper("source")).when(kinds == 2, F.col("source")).otherwise("")
+    moc = F.when(fives == 0, F.concat(F.lit("MOC "), "source")).when(fives == 1, " ")
+    if about is None:
+        about = F.substring("text", F.lit(1), (F.col("doc_id") % 17).cast("int"))
+    return N.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq"), name.alias("name"), about.alias("description"), F.array(N.note_path(), F.concat(F.lit("shared/"), "lang", F.lit(".md"))).alias("paths"), moc.alias("moc"))
+
+
 @query(f"""WITH {_CLUSTERS}, p AS (SELECT key, path, min(seq * 10 + i) AS spot FROM (SELECT key, seq, paths[i] AS path, i FROM k, unnest(range(1, 3)) AS u(i)) GROUP BY ALL)
     SELECT min(seq) AS seq, arg_min(name, seq) AS name, arg_max(d, length(d) * 1000000000 - seq) AS description, arg_min(CASE WHEN trim(moc) <> '' THEN moc END, CASE WHEN trim(moc) <> '' THEN seq END) AS moc,
     (SELECT string_agg(path, '|' ORDER BY spot) FROM p WHERE p.key = k.key) AS paths, (SELECT count(*) FROM p WHERE p.key = k.key) AS file_count FROM k GROUP BY key""")
 def deduped_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kinds, fives = F.col("doc_id") % 4, F.col("doc_id") % 5
-    name = F.when(kinds == 0, F.concat(F.lit(" "), "source", F.lit(" "))).when(kinds == 1, F.upper("source")).when(kinds == 2, F.col("source")).otherwise("")
-    moc = F.when(fives == 0, F.concat(F.lit("MOC "), "source")).when(fives == 1, " ")
-    about = F.substring("text", F.lit(1), (F.col("doc_id") % 17).cast("int"))
-    clusters = N.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq"), name.alias("name"), about.alias("description"), F.array(N.note_path(), F.concat(F.lit("shared/"), "lang", F.lit(".md"))).alias("paths"), moc.alias("moc"))
-    return audit.dedupe_clusters(clusters).select("seq", "name", "description", "moc", F.array_join("paths", "|").alias("paths"), "file_count")
+    """Merged clusters with their paths in one string, as SQL has them; ``cluster_members`` and ``cluster_heads`` bound every row."""
+    return audit.dedupe_clusters(_clusters(spark, sf_dir)).select("seq", "name", "description", "moc", F.array_join("paths", "|").alias("paths"), "file_count")
+
+
+@query()
+def cluster_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each path of each merged cluster; checked against ``deduped_clusters`` in tests."""
+    return audit.cluster_members(_clusters(spark, sf_dir))
+
+
+@query()
+def cluster_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merged clusters with whole texts as descriptions and counts of paths; checked in tests."""
+    return audit.cluster_heads(_clusters(spark, sf_dir, F.col("text")))
 
 
 @query()

@@ -174,6 +174,36 @@ def test_audit_pieces(spark):
     assert audit.packed(sizes, 3, 10, parts=2).count() == 8
 
 
+@pytest.mark.parametrize("parts", [1, 2, 7, 60])
+def test_packing_is_one_fold_for_any_ranges(spark, parts):
+    rng = np.random.default_rng(parts)
+    sizes = [None if i % 17 == 5 else int(x) for i, x in enumerate(rng.choice([0, 1, 2, 3, 9, 30], 90))]
+    batch, n, chars, want = 0, 0, 0, {}
+    for i, size in enumerate(sizes):
+        grown = None if chars is None or size is None else chars + size
+        if n and (n >= 5 or (grown is not None and grown > 10)):
+            batch, n, grown, want_position = batch + 1, 0, size, 0
+        else:
+            want_position = n
+        n, chars, want[f"n{i:03}"] = n + 1, grown, (batch, want_position)
+    df = spark.createDataFrame([(f"n{i:03}", s) for i, s in enumerate(sizes)], "path string, size long").repartition(4)
+    got = audit.packed(df, 5, 10, parts=parts).collect()
+    assert {r.path: (r.batch, r.position) for r in got} == want and len(got) == 90
+    assert parts == 1 or len({r.part for r in got}) > 1
+    assert audit.packed(df.limit(0), 5, 10, parts=parts).collect() == []
+
+
+def test_cluster_members_are_rows(spark):
+    rows = [(1, " A ", "x" * 40, ["p", "q", "p"], " "), (2, "a", "y", ["r", "q"], "M"), (3, "", None, None, None), (4, "", "z", ["p"], None)]
+    clusters = spark.createDataFrame(rows, "seq long, name string, description string, paths array<string>, moc string")
+    members = sorted((r.key, r.seq, r.place, r.path) for r in audit.cluster_members(clusters).collect())
+    assert members == [("#4", 4, 0, "p"), ("=a", 1, 0, "p"), ("=a", 1, 1, "q"), ("=a", 2, 0, "r")]
+    heads = {r.key: (r.seq, r.description, r.moc, r.file_count) for r in audit.cluster_heads(clusters).collect()}
+    assert heads == {"=a": (1, "x" * 40, "M", 3), "#3": (3, "", None, 0), "#4": (4, "z", None, 1)}
+    whole = {r.seq: r.paths for r in audit.dedupe_clusters(clusters).collect()}
+    assert whole == {1: ["p", "q", "r"], 3: [], 4: ["p"]}
+
+
 def test_reports(spark):
     clusters = spark.createDataFrame([(0, "One", "about", [f"d/n{i}.md" for i in range(25)], None, 0, 2), (1, "Two", "", ["a.md"], "Map", 1, 2)], "seq int, name string, description string, paths array<string>, moc string, i int, total int")
     first = reports.cluster_report(clusters).orderBy("seq").first().section
