@@ -120,6 +120,10 @@ def _document_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "path", V.unit_f32("vector").alias("vector"))
 
 
+def _document_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.centroids(_document_vectors(spark, sf_dir).select("path", F.col("path").alias("id"), F.lit(0).alias("ordinal"), "vector"))
+
+
 @query(f"""WITH {_BOW}, unit AS (SELECT doc_id, list_transform(d, lambda x: CAST(x / sqrt(list_dot_product(d, d)) AS FLOAT)) AS v FROM wide)
     SELECT doc_id, CAST(i - 1 AS INTEGER) AS bucket, round(CAST(v[i] AS DOUBLE), 6) AS value FROM unit, unnest(range(1, 65)) AS u(i) WHERE v[i] > 0""")
 def offline_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,11 +135,24 @@ def offline_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     doc AS (SELECT source || '/' || lang || '/doc-' || lpad(CAST(doc_id AS VARCHAR), 6, '0') || '.md' AS path, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS c FROM unit JOIN documents USING (doc_id))
     SELECT a.path AS left_path, b.path AS right_path, round(least(1.0, list_dot_product(a.c, b.c)), 6) AS score FROM doc a JOIN doc b ON a.path < b.path WHERE list_dot_product(a.c, b.c) >= 0.985""")
 def near_duplicate_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = _document_vectors(spark, sf_dir).select("path", F.col("path").alias("id"), F.lit(0).alias("ordinal"), "vector")
-    pairs = similarity.pairs_above(search.centroids(vectors), 0.985)
+    """All pairs at SQL's 0.985; ``near_duplicate_classes`` goes down to the default of 0.95 and lists copies once."""
+    pairs = similarity.pairs_above(_document_centroids(spark, sf_dir), 0.985, vectors=False)
     return pairs.select("left_path", "right_path", F.round("score", 6).alias("score"))
 
 
+@query()
+def near_duplicate_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of representatives at the default threshold; no SQL, as all pairs of equal documents aren't listed. Checked in tests."""
+    pairs = similarity.class_pairs(_document_centroids(spark, sf_dir))
+    return pairs.select("left_path", "right_path", F.round("score", 6).alias("score"))
+
+
+@query()
+def near_duplicate_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document with the representative of its class."""
+    return similarity.class_members(_document_centroids(spark, sf_dir))
+
+
 # text functions
 
 _BLANK = "".join(chr(c) for c in (9, 10, 11, 12, 13, 32, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF))

@@ -94,6 +94,35 @@ def test_similarity_join_is_exact(spark, cell_rows, threshold):
     assert got == [(f"p{i:03}", f"p{j:03}") for i in range(70) for j in range(i + 1, 70) if v[i] @ v[j] >= threshold]
 
 
+def test_equal_documents_are_one_class(spark):
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(6, 5))
+    v = np.vstack([base, base + rng.normal(size=(6, 5)) * 0.1])
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    of = [i % 12 if i < 24 else 3 for i in range(90)]
+    paths = [f"p{rng.integers(1000):03}-{i}" for i in range(90)]
+    df = spark.createDataFrame([(p, v[k].tolist(), None) for p, k in zip(paths, of)], "path string, centroid array<double>, chars long").repartition(3)
+    pairs = similarity.class_pairs(df, 0.95).collect()
+    assert len({(r.left_path, r.right_path) for r in pairs}) == len(pairs) == sum(v[i] @ v[j] >= 0.95 for i in range(12) for j in range(i))
+    members = similarity.class_members(df).collect()
+    group = {}
+    for r in members:
+        group.setdefault(r.representative, []).append(r.path)
+    assert len(members) == 90 and len(group) == 12 and all(min(g) == k and len(g) == r.copies for r in members for k, g in [(r.representative, group[r.representative])])
+    told = {tuple(sorted((a, b))) for g in group.values() for a in g for b in g if a < b} | {tuple(sorted((a, b))) for r in pairs for a in group[r.left_path] for b in group[r.right_path]}
+    every = similarity.pairs_above(df, 0.95).collect()
+    assert told == {(r.left_path, r.right_path) for r in every}
+    for limit in (1, 7, 40, 500):
+        best = [(r.left_path, r.right_path) for r in similarity.duplicates(df, 0.95, limit).collect()]
+        assert best == [(r.left_path, r.right_path) for r in sorted(every, key=lambda r: (-r.score, r.left_path, r.right_path))][:limit]
+
+
+def test_near_duplicate_classes_reach_the_default(spark):
+    found = queries.near_duplicate_classes(spark, SF).collect()
+    assert search.THRESHOLD == 0.95 and any(0.95 <= r.score < 0.985 for r in found)
+    assert {r.representative for r in queries.near_duplicate_members(spark, SF).collect()} >= {p for r in found for p in (r.left_path, r.right_path)}
+
+
 def test_many_one_hot_documents(spark):
     df = spark.createDataFrame([(f"d{i:03}", [float(k == i % 8) for k in range(8)]) for i in range(500)], "path string, centroid array<double>")
     assert similarity.pairs_above(df, 1.0).count() == sum(n * (n - 1) // 2 for n in (63,) * 4 + (62,) * 4)
