@@ -28,6 +28,7 @@ columns other than doc_id and text are ignored.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import accumulate, combinations
@@ -40,7 +41,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, connected_components
+from .common import checkpointed, connected_components, written
 
 BITS, SHINGLE, RADIUS, SEED = 64, 4, 4, 42
 PARTS = (2, 3, 4, 5, 6)
@@ -48,6 +49,8 @@ PARTS = (2, 3, 4, 5, 6)
 ROW_COST, PAIR_COST = 1.0, 0.01
 #: Rows of a bucket that one task compares at once.
 BUCKET_ROWS = 4096
+#: Shingle sets of a block that one task compares at once.
+SET_ROWS = 1024
 #: Bit of a filing key from which the part's number is kept.
 PART_SHIFT = 40
 
@@ -301,3 +304,74 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     ids = of_class.groupBy("component").agg(F.min("least").alias("component_id"))
     named = of_class.drop("least").join(ids, "component")
     return prints.join(named, "fp").select("doc_id", "fp", "component_id", "component", *keep)
+
+
+def shingle_set(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
+    """Distinct shingles' XXH64, ascending; the shingles are those of the fingerprint, none without words."""
+    words = (text or "").encode().lower().split()
+    if not words:
+        return np.zeros(0, np.int64)
+    hashed = xxhash.xxh64_intdigest
+    return np.unique(np.array([hashed(b" ".join(words[i : i + shingle]), seed) for i in range(max(1, len(words) - shingle + 1))], np.uint64).view(np.int64))
+
+
+def alike(both: Column, a: Column, b: Column) -> Column:
+    """Similarity 0.8 or more of sets of sizes a and b that share ``both``, in whole numbers; empty sets are equal."""
+    return 9 * both >= 4 * (a + b)
+
+
+def verified(members: DataFrame, shingle: int = SHINGLE, seed: int = SEED, set_rows: int = SET_ROWS) -> DataFrame:
+    """members (component, text, ...) with ``part`` for text: rows of a component are in one part if links of shingle similarity >= 0.8 connect them.
+
+    Equal shingle sets are one class. Every class is compared with its component's
+    least, the pivot; where some aren't like it, each of these is compared with all
+    classes of the component, in a grid of blocks. So no pair that could connect
+    something is left out, and a group of near copies of one text is linear.
+    """
+
+    @F.pandas_udf("klass string, shingles array<long>")
+    def classed(texts: pd.Series) -> pd.DataFrame:
+        sets = [shingle_set(t, shingle, seed) for t in texts]
+        return pd.DataFrame({"klass": [hashlib.md5(s.tobytes()).hexdigest() for s in sets], "shingles": sets})
+
+    own = [c for c in members.columns if c not in ("component", "text")]
+    node = F.concat_ws(":", F.col("component").cast("string"), "_class.klass")
+    rows = written(members.withColumn("_class", classed("text")).select("component", node.alias("node"), "_class.shingles", *own))
+    classes = written(rows.groupBy("component", "node").agg(F.first("shingles").alias("shingles")))
+    pivots = classes.groupBy("component").agg(F.min("node").alias("pivot"), F.min_by("shingles", "node").alias("_set"), F.count("*").alias("n")).where("n > 1")
+    like = alike(F.size(F.array_intersect("shingles", "_set")), F.size("shingles"), F.size("_set"))
+    compared = written(classes.join(pivots, "component").select("component", "node", "pivot", "shingles", "n", like.alias("near")))
+    far = compared.where("NOT near").groupBy("component").agg(F.count("*").alias("far"))
+    grid = compared.join(far, "component")
+    block = lambda n: F.pmod(F.xxhash64("node"), F.ceil(n / set_rows)).cast("int")
+    every = lambda n: F.sequence(F.lit(0), F.ceil(n / set_rows).cast("int") - 1)
+    as_far = F.when(~F.col("near"), F.transform(every(F.col("n")), lambda j: F.struct(block(F.col("far")).alias("i"), j.alias("j"), F.lit(True).alias("row"))))
+    as_any = F.transform(every(F.col("far")), lambda i: F.struct(i.alias("i"), block(F.col("n")).alias("j"), F.lit(False).alias("row")))
+    spots = F.explode(F.concat(F.coalesce(as_far, F.array().cast("array<struct<i:int,j:int,row:boolean>>")), as_any))
+    placed = grid.withColumn("spot", spots).select("component", "spot.*", "node", F.when(F.col("near"), F.col("pivot")).otherwise(F.col("node")).alias("root"), "shingles")
+
+    def linked(group: pd.DataFrame) -> pd.DataFrame:
+        left, right = group[group["row"]], group[~group["row"]]
+        roots = {r: r for r in group["root"]}
+
+        def top(x: str) -> str:
+            while roots[x] != x:
+                roots[x] = roots[roots[x]]
+                x = roots[x]
+            return x
+
+        others = [(n, r, set(s.tolist())) for n, r, s in zip(right["node"], right["root"], right["shingles"])]
+        found = []
+        for x, own_root, shingles in zip(left["node"], left["root"], left["shingles"]):
+            mine = set(shingles.tolist())
+            for y, root, theirs in others:
+                # 0.8 needs sizes within a factor of 0.8
+                if 5 * min(len(mine), len(theirs)) >= 4 * max(len(mine), len(theirs)) and top(own_root) != top(root) and 9 * len(mine & theirs) >= 4 * (len(mine) + len(theirs)):
+                    roots[top(own_root)] = top(root)
+                    found.append((x, y))
+        return pd.DataFrame(found, columns=["a", "b"])
+
+    more = placed.groupBy("component", "i", "j").applyInPandas(linked, "a string, b string")
+    edges = compared.where("near AND node != pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).union(more)
+    roots = connected_components(edges, "a", "b").withColumnRenamed("node", "_node")
+    return rows.join(roots, F.col("node") == F.col("_node"), "left").select("component", F.coalesce("root", "node").alias("part"), *own)

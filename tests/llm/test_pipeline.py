@@ -47,3 +47,40 @@ def test_run(spark, sf_dir):
     for r in got:
         slots.setdefault(r.shard, []).append(r.slot)
     assert got and all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
+def shingles(text, k=corpus_pipeline.SHINGLE):
+    words = (text or "").encode().lower().split()
+    return frozenset(tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1))) if words else frozenset()
+
+
+@pytest.mark.parametrize("set_rows", [1024, 3])
+def test_links_are_checked_on_shingles(spark, rows, set_rows):
+    line = "one very common line of many words that repeats " * 60
+    texts = [r[1] for r in rows if len(r[1] or "") < 20_000] + [line + " ".join(f"t{k}w{i}" for i in range(100)) for k in range(6)]
+    chain = [f"c{i}" for i in range(100)]
+    texts += [" ".join(chain[:k] and [f"n{i}" for i in range(k)] + chain[k:]) for k in range(1, 60, 4)]
+    # whatever the fingerprints say, all texts are candidates of two components here
+    df = spark.createDataFrame([(i % 2, t, i) for i, t in enumerate(texts)], "component long, text string, k long").repartition(3)
+    got = {r.k: r.part for r in simhash.verified(df, corpus_pipeline.SHINGLE, set_rows=set_rows).collect()}
+    sets, root = [shingles(t) for t in texts], list(range(len(texts)))
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i % 2, i, 2):
+            both, either = len(sets[i] & sets[j]), len(sets[i] | sets[j])
+            if 5 * both >= 4 * either:
+                root[top(i)] = top(j)
+    want, names = [top(i) for i in range(len(texts))], {}
+    assert len(got) == len(texts) and all(names.setdefault(got[i], want[i]) == want[i] for i in got) and len(names) == len(set(want))
+
+
+def test_texts_that_share_a_repeated_line_stay(spark, tmp_path):
+    line = "one very common line of many words that repeats " * 60
+    docs = spark.createDataFrame([(k, line + " ".join(f"t{k}w{i}" for i in range(100)), "en", "s", None) for k in range(6)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert len({r.component for r in simhash.near_duplicates(docs, shingle=corpus_pipeline.SHINGLE).collect()}) == 1
+    assert corpus_pipeline.near_duplicates_out(spark, docs, str(tmp_path)).count() == 6
