@@ -19,11 +19,17 @@ two fingerprints within the radius differ by at most t_i bits in some part i. So
 Copies share a fingerprint and are one class from the start. Components follow
 from the links by star contraction.
 
+A similarity of 0.8 takes a wide radius, at which 64 bits let strangers through.
+With ``wide`` a second fingerprint of 64 bits, from the same hashes mixed anew,
+goes along with the first, and a link also has to be within ``wide`` bits of both
+together; parts and probes are those of the first. ``verified`` then cuts components
+where no exact shingle similarity of 0.8 connects.
+
 Defined results: null and empty texts and texts without words have fingerprint
-zero and link like any other; texts shorter than a shingle are one shingle;
-repeated rows stay; null doc_ids are ignored in a component's smallest doc_id,
-which is null only if all its documents have none; an empty table gives no rows;
-columns other than doc_id and text are ignored.
+zero and link like any other; texts shorter than a shingle are one shingle; very long
+texts count whole; repeated rows stay; null doc_ids are ignored in a component's
+smallest doc_id, which is null only if all its documents have none; an empty table
+gives no rows; columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -42,9 +48,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpointed, connected_components, written
+from .windows import mixed
 
 BITS, SHINGLE, RADIUS, SEED = 64, 4, 4, 42
-PARTS = (2, 3, 4, 5, 6)
+PARTS = (2, 3, 4, 5, 6, 7, 8)
+#: Radius of 64 bits and of 128 that together find most pairs of a shingle similarity of 0.8 or more (see README).
+NEAR_RADIUS, NEAR_WIDE = 15, 30
 #: Microseconds to shuffle a filed row, and to verify a pair.
 ROW_COST, PAIR_COST = 1.0, 0.01
 #: Rows of a bucket that one task compares at once.
@@ -55,23 +64,35 @@ SET_ROWS = 1024
 PART_SHIFT = 40
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
-    """Bit i is 1 if it is set in over half of the shingles' XXH64."""
+def shingle_hashes(text: str | None, shingle: int, seed: int) -> np.ndarray:
+    """XXH64 of each shingle, none without words."""
     words = (text or "").encode().lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined, hashed = b" ".join(words), xxhash.xxh64_intdigest
-    ends = list(accumulate(len(w) + 1 for w in words))
     if len(words) <= shingle:
-        hashes = [hashed(joined, seed)]
-    else:
-        hashes = [hashed(joined[a : b - 1], seed) for a, b in zip([0, *ends], ends[shingle - 1 :])]
-    values = np.array(hashes, np.uint64).astype("<u8")
+        return np.array([hashed(joined, seed)], np.uint64)
+    ends = list(accumulate(len(w) + 1 for w in words))
+    return np.fromiter((hashed(joined[a : b - 1], seed) for a, b in zip([0, *ends], ends[shingle - 1 :])), np.uint64, len(words) - shingle + 1)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Bit i is 1 if it is set in over half of the hashes."""
     counts = np.zeros(BITS, np.int64)
-    for at in range(0, len(values), 1 << 16):
-        bits = np.unpackbits(values[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        counts += bits.sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * counts > len(values), bitorder="little").view("<u8")[0])
+    for at in range(0, len(hashes), 1 << 16):
+        counts += bits_of(hashes[at : at + (1 << 16)]).sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
+    """Bit i is 1 if it is set in over half of the shingles' XXH64."""
+    return majority(shingle_hashes(text, shingle, seed))
+
+
+def wide_fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> tuple[int, int]:
+    """The fingerprint, and the one of the same hashes mixed anew."""
+    hashes = shingle_hashes(text, shingle, seed)
+    return majority(hashes), majority(mixed(hashes))
 
 
 def fingerprints(text: str | Column, shingle: int = SHINGLE, seed: int = SEED) -> Column:
@@ -84,6 +105,17 @@ def fingerprints(text: str | Column, shingle: int = SHINGLE, seed: int = SEED) -
     return printed(text)
 
 
+def wide_fingerprints(text: str | Column, shingle: int = SHINGLE, seed: int = SEED) -> Column:
+    """struct(fp, more): both fingerprints as signed longs."""
+
+    @F.pandas_udf("fp long, more long")
+    def printed(texts: pd.Series) -> pd.DataFrame:
+        both = np.array([wide_fingerprint(t, shingle, seed) for t in texts], np.uint64).reshape(-1, 2).view(np.int64)
+        return pd.DataFrame({"fp": both[:, 0], "more": both[:, 1]})
+
+    return printed(text)
+
+
 def bits_of(values: np.ndarray) -> np.ndarray:
     """rows x 64 of 0 and 1, from the lowest bit."""
     return np.unpackbits(values.view(np.uint64).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -188,35 +220,38 @@ def plan_layout(classes: DataFrame, radius: int = RADIUS) -> Layout:
     return min(layouts, key=lambda x: x.cost)
 
 
-def filed(classes: DataFrame, layout: Layout) -> DataFrame:
-    """(key, fp, probe): each fingerprint under its own value and all it probes.
+def filed(classes: DataFrame, layout: Layout, probing: bool = True) -> DataFrame:
+    """(key, fp[, more], probe): each fingerprint under its own value and, if ``probing``, all it probes.
 
     Of two fingerprints that a mask maps onto each other one probe is enough:
     the one from the fingerprint whose bit at the mask's lowest bit is 0.
     """
-    todo = []
+    todo, names = [], [c for c in ("fp", "more") if c in classes.columns]
     for i, (part, t) in enumerate(zip(layout.parts, layout.thresholds)):
         if t >= 0:
-            masks = [c for d in range(1, t + 1) for c in combinations(range(len(part)), d)]
+            masks = [c for d in range(1, t + 1) for c in combinations(range(len(part)), d)] if probing else []
             todo.append((i, part, [(c[0], sum(1 << b for b in c)) for c in masks]))
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows(key: np.ndarray, prints: list[np.ndarray], probe: bool) -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict({"key": key, **dict(zip(names, prints)), "probe": np.full(len(key), probe)})
+
         for batch in batches:
             for at in range(0, batch.num_rows, 1 << 14):
-                fps = batch.column(0).slice(at, 1 << 14).to_numpy()
-                bits = bits_of(fps)
+                prints = [batch.column(k).slice(at, 1 << 14).to_numpy() for k in range(len(names))]
+                bits = bits_of(prints[0])
                 for i, part, masks in todo:
                     values = bits[:, part].astype(np.int64) @ (1 << np.arange(len(part), dtype=np.int64))
-                    yield pa.RecordBatch.from_pydict({"key": values | i << PART_SHIFT, "fp": fps, "probe": np.zeros(len(fps), bool)})
+                    yield rows(values | i << PART_SHIFT, prints, False)
                     for low, mask in masks:
                         here = (values >> low) & 1 == 0
-                        yield pa.RecordBatch.from_pydict({"key": (values[here] ^ mask) | i << PART_SHIFT, "fp": fps[here], "probe": np.ones(int(here.sum()), bool)})
+                        yield rows((values[here] ^ mask) | i << PART_SHIFT, [p[here] for p in prints], True)
 
-    return classes.select("fp").mapInArrow(keys, "key long, fp long, probe boolean")
+    return classes.select(*names).mapInArrow(keys, "key long, " + "".join(f"{n} long, " for n in names) + "probe boolean")
 
 
-def forest(group: np.ndarray, fps: np.ndarray, probe: np.ndarray, block: np.ndarray, same: np.ndarray, radius: int) -> tuple[list[int], list[int]]:
-    """Links within each run of equal ``group``, only those that connect something new there.
+def forest(group: np.ndarray, prints: list[np.ndarray], probe: np.ndarray, block: np.ndarray, same: np.ndarray, radius: int, wide: int | None = None) -> tuple[list[int], list[int]]:
+    """Row numbers of links within each run of equal ``group``, only those that connect something new there.
 
     Rows of a group come with those that are filed, not probing, first. In a group
     of two blocks (``same`` false) only rows of different blocks are compared.
@@ -224,6 +259,7 @@ def forest(group: np.ndarray, fps: np.ndarray, probe: np.ndarray, block: np.ndar
     """
     n = len(group)
     parent, stale = list(range(n)), np.arange(n)
+    prints = [p.view(np.uint64) for p in prints]
 
     def top(x: int) -> int:
         while parent[x] != x:
@@ -236,17 +272,19 @@ def forest(group: np.ndarray, fps: np.ndarray, probe: np.ndarray, block: np.ndar
     while len(live):
         live = live[live + d < n]
         live = live[group[live + d] == group[live]]
-        other = live + d
-        near = np.bitwise_count(fps[live].view(np.uint64) ^ fps[other].view(np.uint64)) <= radius
-        near &= same[live] | (block[live] != block[other])
-        a, b = live[near], other[near]
-        new = stale[a] != stale[b]
+        apart = np.bitwise_count(prints[0][live] ^ prints[0][live + d])
+        near = np.flatnonzero(apart <= radius)
+        a = live[near]
+        b = a + d
+        new = (stale[a] != stale[b]) & (same[a] | (block[a] != block[b]))
+        if wide is not None:
+            new &= apart[near].astype(np.int64) + np.bitwise_count(prints[1][a] ^ prints[1][b]) <= wide
         for x, y in zip(a[new].tolist(), b[new].tolist()):
             p, q = top(x), top(y)
             if p != q:
                 parent[max(p, q)] = min(p, q)
-                left.append(int(fps[x]))
-                right.append(int(fps[y]))
+                left.append(x)
+                right.append(y)
                 joined += 1
         if joined:
             stale = np.array(parent)
@@ -257,27 +295,29 @@ def forest(group: np.ndarray, fps: np.ndarray, probe: np.ndarray, block: np.ndar
     return left, right
 
 
-def links(classes: DataFrame, layout: Layout, radius: int = RADIUS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """(a, b): verified links that connect all that is linked."""
-    rows = filed(classes, layout)
-    hot = checkpointed(rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > bucket_rows).select("key", F.ceil(F.col("n") / bucket_rows).cast("int").alias("blocks")))
+def links(classes: DataFrame, layout: Layout, radius: int = RADIUS, bucket_rows: int = BUCKET_ROWS, wide: int | None = None) -> DataFrame:
+    """(a, b): verified links that connect all that is linked, as structs of the classes' fingerprints."""
+    rows, names = filed(classes, layout), [c for c in ("fp", "more") if c in classes.columns]
+    # what a bucket costs goes by the rows that are filed in it; these are few beside the probes
+    own = filed(classes, layout, probing=False).groupBy("key").agg(F.count("*").alias("n"))
+    hot = checkpointed(own.where(F.col("n") > bucket_rows).select("key", F.ceil(F.col("n") / bucket_rows).cast("int").alias("blocks")))
     zero = F.lit(0)
     if hot.isEmpty():
-        rows = rows.select("key", zero.alias("p"), zero.alias("q"), zero.alias("block"), "fp", "probe")
+        rows = rows.select("key", zero.alias("p"), zero.alias("q"), zero.alias("block"), "probe", *names)
     else:
-        rows = rows.join(hot, "key", "left").withColumn("block", F.coalesce(F.pmod(F.xxhash64("fp", "probe"), F.col("blocks")).cast("int"), zero))
+        rows = rows.join(hot, "key", "left").withColumn("block", F.coalesce(F.pmod(F.xxhash64(*names, "probe"), F.col("blocks")).cast("int"), zero))
         with_all = F.transform(F.sequence(zero, F.coalesce(F.col("blocks") - 1, zero)), lambda c: F.struct(F.least(F.col("block"), c).alias("p"), F.greatest(F.col("block"), c).alias("q")))
-        rows = rows.withColumn("pq", F.explode(with_all)).select("key", "pq.p", "pq.q", "block", "fp", "probe")
+        rows = rows.withColumn("pq", F.explode(with_all)).select("key", "pq.p", "pq.q", "block", "probe", *names)
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[pa.RecordBatch] = []
 
         def emit(whole: pa.Table) -> Iterator[pa.RecordBatch]:
-            key, p, q, block, fps, probe = (whole.column(i).to_numpy() for i in range(6))
+            key, p, q, block, probe, *prints = (whole.column(i).to_numpy() for i in range(5 + len(names)))
             change = np.r_[True, (key[1:] != key[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])]
-            left, right = forest(np.cumsum(change), fps, probe.astype(bool), block, p == q, radius)
+            left, right = forest(np.cumsum(change), prints, probe.astype(bool), block, p == q, radius, wide)
             if left:
-                yield pa.RecordBatch.from_pydict({"a": np.array(left, np.int64), "b": np.array(right, np.int64)})
+                yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays([pa.array(x[side]) for x in prints], names=names) for side in (left, right)], names=["a", "b"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -292,27 +332,28 @@ def links(classes: DataFrame, layout: Layout, radius: int = RADIUS, bucket_rows:
         if kept:
             yield from emit(pa.Table.from_batches(kept))
 
-    return rows.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q", "probe").mapInArrow(verified, "a long, b long")
+    node = f"struct<{', '.join(f'{n}: long' for n in names)}>"
+    return rows.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q", "probe").mapInArrow(verified, f"a {node}, b {node}")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, seed: int = SEED, keep: tuple[str, ...] = (), bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """(doc_id, fp, component_id, component, *keep) for each row; component is a fingerprint that stands for the component."""
-    prints = checkpointed(docs.select("doc_id", fingerprints("text", shingle, seed).alias("fp"), *keep))
-    classes = checkpointed(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = connected_components(links(classes, plan_layout(classes, radius), radius, bucket_rows), "a", "b")
-    of_class = classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("component"))
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, seed: int = SEED, keep: tuple[str, ...] = (), bucket_rows: int = BUCKET_ROWS, wide: int | None = None) -> DataFrame:
+    """(doc_id, fp, component_id, component, *keep) for each row; component is a fingerprint (a struct) that stands for the component."""
+    if wide is None:
+        printed, node = F.struct(fingerprints("text", shingle, seed).alias("fp")), ["node.fp"]
+    else:
+        printed, node = wide_fingerprints("text", shingle, seed), ["node.fp", "node.more"]
+    prints = checkpointed(docs.select("doc_id", printed.alias("node"), *keep))
+    classes = checkpointed(prints.groupBy("node").agg(F.min("doc_id").alias("least")).select("node", "least", *node))
+    roots = connected_components(links(classes, plan_layout(classes, radius), radius, bucket_rows, wide), "a", "b")
+    of_class = classes.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("component"))
     ids = of_class.groupBy("component").agg(F.min("least").alias("component_id"))
     named = of_class.drop("least").join(ids, "component")
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id", "component", *keep)
+    return prints.join(named, "node").select("doc_id", "node.fp", "component_id", "component", *keep)
 
 
 def shingle_set(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
     """Distinct shingles' XXH64, ascending; the shingles are those of the fingerprint, none without words."""
-    words = (text or "").encode().lower().split()
-    if not words:
-        return np.zeros(0, np.int64)
-    hashed = xxhash.xxh64_intdigest
-    return np.unique(np.array([hashed(b" ".join(words[i : i + shingle]), seed) for i in range(max(1, len(words) - shingle + 1))], np.uint64).view(np.int64))
+    return np.unique(shingle_hashes(text, shingle, seed).view(np.int64))
 
 
 def alike(both: Column, a: Column, b: Column) -> Column:
@@ -360,15 +401,19 @@ def verified(members: DataFrame, shingle: int = SHINGLE, seed: int = SEED, set_r
                 x = roots[x]
             return x
 
-        others = [(n, r, set(s.tolist())) for n, r, s in zip(right["node"], right["root"], right["shingles"])]
         found = []
-        for x, own_root, shingles in zip(left["node"], left["root"], left["shingles"]):
-            mine = set(shingles.tolist())
-            for y, root, theirs in others:
-                # 0.8 needs sizes within a factor of 0.8
-                if 5 * min(len(mine), len(theirs)) >= 4 * max(len(mine), len(theirs)) and top(own_root) != top(root) and 9 * len(mine & theirs) >= 4 * (len(mine) + len(theirs)):
-                    roots[top(own_root)] = top(root)
-                    found.append((x, y))
+        sizes = right["shingles"].map(len).to_numpy()
+        others = list(zip(right["node"], right["root"], right["shingles"]))
+        for x, own_root, mine in zip(left["node"], left["root"], left["shingles"]):
+            # 0.8 needs sizes within a factor of 0.8
+            for k in np.flatnonzero(5 * np.minimum(len(mine), sizes) >= 4 * np.maximum(len(mine), sizes)).tolist():
+                y, root, theirs = others[k]
+                if top(own_root) != top(root):
+                    spot = np.minimum(np.searchsorted(theirs, mine), max(len(theirs) - 1, 0))
+                    both = int((theirs[spot] == mine).sum()) if len(theirs) else 0
+                    if 9 * both >= 4 * (len(mine) + len(theirs)):
+                        roots[top(own_root)] = top(root)
+                        found.append((x, y))
         return pd.DataFrame(found, columns=["a", "b"])
 
     more = placed.groupBy("component", "i", "j").applyInPandas(linked, "a string, b string")

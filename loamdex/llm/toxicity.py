@@ -9,39 +9,51 @@ common subsequence with a word is under ``SCREEN`` of their letters count as 0
 for it, which spares most of the work.
 
 Training (rows with ``crc32(doc_id) mod 5 <> 0`` only) takes at most
-``SAMPLE_DOCS`` labelled documents and ``SAMPLE_SENTENCES`` of their sentences for
-each class, the ones of least hash. Landmarks are the words that mark
-toxic-labelled sentences most, and clean words that look like them; sentences
-are mapped onto them through the inverse root of the landmarks' kernel matrix,
+``SAMPLE_DOCS`` labelled documents of each class, the ones of least hash, and all
+their sentences; a sentence without an end is cut after ``STRETCH`` words, here and
+in scoring. Words are counted and sentences mapped by the executors. Landmarks are
+the words that mark toxic-labelled sentences most, at most ``POSITIVE`` out of
+``CANDIDATES``, and clean words that look like them, at most ``NEGATIVE`` out of
+``NEAREST``; sentences are mapped onto them through the inverse root of the landmarks' kernel matrix,
 and a linear SVM with squared hinge loss is fitted. A toxic document need not be
 toxic in every sentence: its positive sentences are those the last round took
-for such, and its best one. A document's margin is that of its worst sentence, and no less than that of a sentence like no
-landmark;
-a logistic curve over the sample's documents makes it a score from 0 to 1.
+for such, and its best one. A document's margin is that of its worst sentence, and no
+less than that of a sentence like no landmark; a logistic curve over the sample's documents makes it a score from 0 to 1.
 
 Scoring covers whole texts of all rows; labels, language, source and ids are no
 inputs of a score. Defined results: null and empty texts get the score of no
 evidence; without toxic or clean labels all scores are 0; labels that repeat count
 as toxic if one of them is; null labels and unknown doc_ids are left out; a null
-doc_id is held out; repeated rows get equal scores; an empty table gives no rows.
+doc_id is held out; repeated rows get equal scores; words that tie as landmarks come
+in order of code points; very long texts are read whole, in sentences of bounded
+length; an empty table gives no rows; extra columns stay as they are, except that
+``scored`` replaces a column called score.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import checkpointed
+
 LENGTH, DECAY, SCREEN = 3, 0.6, 0.7
-SAMPLE_DOCS, SAMPLE_SENTENCES = 3000, 40_000
+#: Labelled documents of each class that training takes at most; all their sentences count.
+SAMPLE_DOCS = 3000
+#: Landmarks among marking and among clean words, at most.
 POSITIVE, NEGATIVE = 40, 16
 #: Times the rate in clean sentences at which a word that marks toxic ones has to occur.
 PURE = 5
-#: Words looked at as landmarks, and standard deviations by which one has to stand out.
-CANDIDATES, SURE = 400, 1.5
+#: Marking words and clean words looked at as landmarks, and standard deviations by which a marking one has to stand out.
+CANDIDATES, NEAREST, SURE = 400, 300, 1.5
+#: Words after which a sentence without an end is cut.
+STRETCH = 64
 #: Letters of a word that are compared; longer ones are compared in overlapping pieces.
 LONGEST = 24
 #: Words a worker remembers, and characters of text it looks at together.
@@ -68,6 +80,7 @@ def sentences_of(text: str) -> list[list[str]]:
     """Words of each sentence, with those that runs of single letters spell."""
     out: list[list[str]] = [[]]
     single: list[str] = []
+    since = 0
     for token in [*text.split(), ""]:
         if len(token) == 1:
             single.append(token)
@@ -76,8 +89,10 @@ def sentences_of(text: str) -> list[list[str]]:
             single = []
         if token:
             out[-1].append(token)
-            if token[-1] in ".!?":
+            since += 1
+            if token[-1] in ".!?" or since == STRETCH:
                 out.append([])
+                since = 0
     return [s for s in out if s]
 
 
@@ -198,10 +213,14 @@ class Scorer:
             marks = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
             row = marks >> 2
             hit = np.flatnonzero(row)
-            values, of = rows[row[hit]], np.cumsum(np.r_[0, marks[:-1] & 1])[hit] if len(hit) else hit
             single = np.flatnonzero((marks >> 1) & 1)
+            values, of = rows[row[hit]], hit
+            if len(hit) or len(single) >= 3:
+                starts = np.r_[0, np.flatnonzero(marks[:-1] & 1) + 1]
+                nth = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(marks)]))
+                sentence = starts[nth] + (np.arange(len(marks)) - starts[nth]) // STRETCH * STRETCH
+                of = sentence[hit]
             if len(single) >= 3:
-                sentence = np.cumsum(np.r_[0, marks[:-1] & 1])
                 more = [(p, sentence[run[-1]]) for run in np.split(single, np.flatnonzero(np.diff(single) > 1) + 1) for w in spelled([words[i] for i in run]) for p in pieces_of(w)]
                 if more:
                     values, of = np.concatenate([values, self.at.values([p for p, _ in more])]), np.r_[of, [k for _, k in more]].astype(np.int64)
@@ -250,38 +269,66 @@ def held_out(doc_id: str | Column) -> Column:
     return F.crc32(text) % 5 == 0
 
 
-def training_sentences(docs: DataFrame, labels: DataFrame) -> list[tuple[int, int, str]]:
-    """(doc_id, label, sentence) of the bounded sample."""
+def training_sentences(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
+    """(doc, toxic, words) for each sentence of the sample: its distinct pieces of words, in order."""
     marked = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(~held_out("doc_id")).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = None
     for label in (0, 1):
-        some = marked.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
+        some = marked.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
         chosen = some if chosen is None else chosen.union(some)
-    chosen = F.broadcast(chosen.select(F.col("doc_id").alias("chosen_id"), "toxic"))  # at most 2 * SAMPLE_DOCS rows
-    split = F.explode(F.split(F.col("text"), r"(?<=[.!?])\s+"))
-    sentences = docs.select("doc_id", "text").join(chosen, F.col("doc_id") == F.col("chosen_id")).select("doc_id", "toxic", split.alias("sentence")).where("length(trim(sentence)) > 0 AND length(sentence) <= 5000")
-    kept = (sentences.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id", "sentence"), "doc_id", "sentence").limit(SAMPLE_SENTENCES) for label in (0, 1))
-    return [(r.doc_id, r.toxic, r.sentence) for part in kept for r in part.toLocalIterator()]
+    chosen = F.broadcast(chosen.select(F.col("doc_id").alias("chosen_id"), "toxic"))  # at most 2 * sample_docs rows
+    texts = docs.select("doc_id", "text").join(chosen, F.col("doc_id") == F.col("chosen_id")).select(F.xxhash64("doc_id").alias("doc"), F.col("toxic").cast("int").alias("toxic"), F.coalesce("text", F.lit("")).alias("text"))
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                words = [sorted({p for w in s for p in pieces_of(w)}) for s in sentences_of(batch.column(2)[i].as_py())]
+                if words:
+                    at = pa.array(np.full(len(words), i))
+                    yield pa.RecordBatch.from_pydict({"doc": batch.column(0).take(at), "toxic": batch.column(1).take(at), "words": pa.array(words, pa.list_(pa.string()))})
+
+    return texts.mapInArrow(split, "doc long, toxic int, words array<string>")
+
+
+def per_word(words: DataFrame, landmarks: list[str], result: str, of_values) -> DataFrame:
+    """Rows that ``of_values(batch, values)`` makes of words (word, ...) and their values at the landmarks, a bounded list."""
+    shared = words.sparkSession.sparkContext.broadcast(landmarks)
+
+    def valued(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = Landmarks(shared.value)
+        for batch in batches:
+            for k in range(0, batch.num_rows, 8192):
+                part = batch.slice(k, 8192)
+                yield of_values(part, at.values(part.column(0).to_pylist()))
+
+    return words.mapInArrow(valued, result)
 
 
-def choose_landmarks(every: list[str], here: np.ndarray, there: np.ndarray, ratio: float) -> list[str]:
-    """Words that mark toxic-labelled sentences most, unlike each other; then clean words most like them.
+def choose_landmarks(words: DataFrame, ratio: float) -> tuple[list[str], int]:
+    """Words that mark toxic-labelled sentences most, unlike each other; then clean words most like them; and how many are of the first kind.
 
-    here, there: in how many toxic and clean sentences each word of ``every`` is; ratio: toxic to clean sentences.
+    words: (word, here, there), in how many toxic and clean sentences each word is; ratio: toxic to clean sentences.
+    At most ``CANDIDATES`` and ``NEAREST`` words reach the driver.
     """
-    long = np.fromiter((len(w) > LENGTH for w in every), bool, len(every))
-    lift = (here - ratio * there) / np.sqrt(here + 1)
-    some = np.flatnonzero(long & (here > PURE * ratio * there))
-    some = sorted(some.tolist(), key=lambda i: (-lift[i], every[i]))[:CANDIDATES]
-    ranked = [every[i] for i in some]
-    if ranked:  # words like a candidate are evidence too, for and against it
-        at, clean = Landmarks(ranked), np.flatnonzero(there)
-        for_it, against = at.values(ranked).T @ here[some], np.zeros(len(ranked))
-        for k in range(0, len(clean), 8192):
-            part = clean[k : k + 8192]
-            against += at.values([every[i] for i in part]).T @ (ratio * there[part])
-        sure = (for_it - against) / np.sqrt(for_it + against + 1)
-        ranked = [ranked[i] for i in np.lexsort((np.arange(len(ranked)), -sure)) if sure[i] >= SURE and for_it[i] > PURE * against[i]]
+    long = F.length("word") > LENGTH
+    lift = (F.col("here") - ratio * F.col("there")) / F.sqrt(F.col("here") + 1)
+    some = words.where(long & (F.col("here") > PURE * ratio * F.col("there"))).orderBy(lift.desc(), "word").limit(CANDIDATES).collect()
+    if not some:
+        return [], 0
+    ranked = [r.word for r in some]
+    # words like a candidate are evidence too, for and against it; whole numbers, so that the sum does not depend on its order
+    unit = 1 << 16
+
+    def against(batch: pa.RecordBatch, values: np.ndarray) -> pa.RecordBatch:
+        n = np.rint(values * unit).astype(np.int64).T @ batch.column(2).to_numpy()
+        return pa.RecordBatch.from_pydict({"k": np.arange(len(n)), "n": n})
+
+    clean = np.zeros(len(ranked))
+    for r in per_word(words.where("there > 0"), ranked, "k long, n long", against).groupBy("k").agg(F.sum("n").alias("n")).collect():
+        clean[r.k] = ratio * r.n / unit
+    for_it = Landmarks(ranked).values(ranked).T @ np.array([float(r.here) for r in some])
+    sure = (for_it - clean) / np.sqrt(for_it + clean + 1)
+    ranked = [ranked[i] for i in np.lexsort((np.arange(len(ranked)), -np.round(sure, 9))) if sure[i] >= SURE and for_it[i] > PURE * clean[i]]
 
     def unlike(candidates: list[str], most: int, limit: float) -> list[str]:
         near, out, covered = Landmarks(candidates).values(candidates) if candidates else None, [], np.zeros(len(candidates))
@@ -293,14 +340,38 @@ def choose_landmarks(every: list[str], here: np.ndarray, there: np.ndarray, rati
 
     positive = unlike(ranked, POSITIVE, 0.6)
     if not positive:
-        return []
-    plain = np.flatnonzero(long & (there > 0) & (here == 0)).tolist()
-    clean = [every[i] for i in sorted(plain, key=lambda i: (-there[i], every[i]))[:20_000]]
-    if not clean:
-        return positive
-    like = Landmarks(positive).values(clean).max(axis=1)
-    nearest = [clean[i] for i in np.lexsort((np.arange(len(clean)), -like))[:300] if like[i] > 0]
-    return positive + unlike(nearest, NEGATIVE, 0.7)
+        return [], 0
+
+    def likeness(batch: pa.RecordBatch, values: np.ndarray) -> pa.RecordBatch:
+        like = np.rint(values.max(axis=1, initial=0) * unit).astype(np.int64)
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(like)], names=["word", "there", "like"])
+
+    plain = per_word(words.where(long & (F.col("there") > 0) & (F.col("here") == 0)), positive, "word string, there long, like long", likeness)
+    nearest = [r.word for r in plain.where("like > 0").orderBy(F.desc("like"), F.desc("there"), "word").limit(NEAREST).collect()]
+    return positive + unlike(nearest, NEGATIVE, 0.7), len(positive)
+
+
+def mapped(sentences: DataFrame, landmarks: list[str]) -> DataFrame:
+    """(doc, toxic, near, n): each sentence's values at the landmarks, as float32 bytes; equal ones of a document once, with their number."""
+    shared = sentences.sparkSession.sparkContext.broadcast(landmarks)
+
+    def valued(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, known = Landmarks(shared.value), {}
+        none = np.zeros(len(at.words), np.float32)
+        for batch in batches:
+            lists = batch.column(2)
+            new = [w for w in lists.flatten().unique().to_pylist() if w not in known]
+            values = np.round(at.values(new), 4)
+            known.update({w: v if v.any() else None for w, v in zip(new, values)})
+            near = []
+            for words in lists.to_pylist():
+                found = [v for w in words if (v := known[w]) is not None]
+                near.append((np.max(found, axis=0) if found else none).tobytes())
+            if len(known) > REMEMBERED:
+                known.clear()
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(near, pa.binary())], names=["doc", "toxic", "near"])
+
+    return sentences.mapInArrow(valued, "doc long, toxic int, near binary").groupBy("doc", "toxic", "near").agg(F.count("*").alias("n"))
 
 
 def fit_svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
@@ -330,33 +401,32 @@ def fit_logistic(m: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(max(w[0], 1e-3)), float(w[1])
 
 
-def train(docs: DataFrame, labels: DataFrame, rounds: int = 3) -> Model:
-    rows = training_sentences(docs, labels)
-    toxic = np.array([t == 1 for _, t, _ in rows], bool)
-    if not toxic.any() or toxic.all():
+def train(docs: DataFrame, labels: DataFrame, rounds: int = 3, sample_docs: int = SAMPLE_DOCS) -> Model:
+    """Texts and words stay with the executors: bounded lists of words and the sample's distinct rows of landmark values reach the driver."""
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sentences = checkpointed(training_sentences(docs, labels, sample_docs).repartition(parts))
+    once = sentences.select("toxic", "words").distinct()  # copies of a sentence are evidence once
+    totals = {r.toxic: r.n for r in once.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    if len(totals) < 2:
         return Model()
-    number: dict[str, int] = {}
-    words = [np.unique(np.array([number.setdefault(p, len(number)) for s in sentences_of(text) for w in s for p in pieces_of(w)], np.int32)) for _, _, text in rows]
-    every = list(number)
-    # copies of a sentence are evidence once
-    once = list({(text, t): i for i, (_, t, text) in enumerate(rows)}.values())
-    count = lambda label: np.bincount(np.concatenate([words[i] for i in once if toxic[i] == label] or [np.zeros(0, np.int32)]), minlength=len(every)).astype(float)
-    landmarks = choose_landmarks(every, count(True), count(False), toxic[once].sum() / max(1, (~toxic[once]).sum()))
+    is_toxic = (F.col("toxic") == 1).cast("long")
+    words = once.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(F.sum(is_toxic).alias("here"), F.sum(1 - is_toxic).alias("there"))
+    landmarks, marking = choose_landmarks(checkpointed(words.repartition(parts, "word")), totals[1] / totals[0])
     if not landmarks:
         return Model()
-    at = Landmarks(landmarks)
-    values = at.values(every)
-    near = np.array([values[ws].max(axis=0) if len(ws) else np.zeros(len(landmarks), np.float32) for ws in words])
-    del values, words, number, every
-    eigen, basis = np.linalg.eigh((k := at.values(landmarks).astype(float)) / 2 + k.T / 2)
+    rows = mapped(sentences, landmarks).orderBy("doc", "toxic", "near").toArrow()
+    toxic, n = rows["toxic"].to_numpy() == 1, rows["n"].to_numpy()
+    near = np.frombuffer(b"".join(x.as_py() for x in rows["near"]), np.float32).reshape(len(n), len(landmarks))
+    document = np.unique(rows["doc"].to_numpy(), return_inverse=True)[1]
+    own = Landmarks(landmarks).values(landmarks).astype(float)
+    eigen, basis = np.linalg.eigh(own / 2 + own.T / 2)
     root = basis @ np.diag(1 / np.sqrt(np.maximum(eigen, 1e-2))) @ basis.T
-    x = (near @ root).astype(np.float32)
-    document = np.unique([d for d, _, _ in rows], return_inverse=True)[1]
-    positive = toxic & (near[:, : min(POSITIVE, len(landmarks))].max(axis=1) > 0.6)
+    x = near @ root
+    positive = toxic & (near[:, :marking].max(axis=1) > 0.6)
     for _ in range(rounds):
         positive = positive & toxic if (positive & toxic).any() else toxic
         use = positive | ~toxic
-        weight = np.where(positive, 0.5 / positive.sum(), 0.5 / (~toxic).sum())
+        weight = n * np.where(positive, 0.5 / n[positive].sum(), 0.5 / n[~toxic].sum())
         w = fit_svm(x[use], np.where(positive[use], 1.0, -1.0), weight[use])
         margin = x @ w[:-1] + w[-1]
         best = np.full(document.max() + 1, -np.inf)

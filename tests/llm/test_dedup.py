@@ -51,7 +51,7 @@ def test_simhash_layout_finds_every_pair(spark):
     layout = simhash.plan_layout(classes)
     assert sum(layout.thresholds) == 4 - len(layout.parts) + 1 and sorted(b for p in layout.parts for b in p) == list(range(64))
     for parts, thresholds in ((layout.parts, layout.thresholds), (simhash.grouped_bits(np.eye(64), 2, 3), (1, 1, 0)), (simhash.grouped_bits(np.eye(64), 2, 4), (2, 0, 0, -1))):
-        found = {tuple(sorted(r)) for r in simhash.links(classes, simhash.Layout(parts, thresholds, 0)).collect()}
+        found = {tuple(sorted((r.a.fp, r.b.fp))) for r in simhash.links(classes, simhash.Layout(parts, thresholds, 0)).collect()}
         assert all(near(a, b) for a, b in found)
         root = {v: v for v in every}
 
