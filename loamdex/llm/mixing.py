@@ -1,21 +1,23 @@
 """Mixing sources to target weights by Sainte-Lague apportionment.
 
 The words of a source, its documents in seeded order, are one long row cut in
-blocks of ``block`` words. The mix has ``total / block`` seats; seats go to the
-sources by the highest quotients ``target / (2 k + 1)``, so that any run of
-consecutive seats - a shard of the mix - holds every source in proportion, and
-the quota of a shard is an integer per source. A source with more seats than
-blocks is taken whole that often; the rest of its seats select blocks by a
-seeded permutation of the block numbers.
+equal blocks of at most ``block`` words. A source's target is so many of its blocks;
+the mix has as many seats as all targets have blocks, and they go to the sources by
+the highest quotients ``target / (2 k + 1)``. The mix comes in ``shards``: shard s
+holds the seats from s to s + 1 shards-ths, so its quota of blocks is an integer per
+source and every shard holds every source in proportion. Each shard then draws its
+quota, block by block, from the source's seeded permutation of block numbers, going
+on where the shard before it stopped and round again after the last block.
 
 Only one row per source reaches the driver. Offsets are running sums within
 ``BUCKETS`` parts of each source's order, laid end to end, so no source has to
 pass through one task.
 
-Defined results: null text has no words and takes none; documents that repeat
-(same id and text) are separate documents, interchangeable; null is a source of
-its own, last in order; a source without words has target 0; an empty table
-gives no rows; extra columns are ignored.
+Defined results: null text has no words and takes none; very long texts span many
+blocks; documents that repeat (same id and text) are separate documents,
+interchangeable; null is a source of its own, last in order; a source without words
+has target 0; an empty table gives no rows; extra columns are ignored unless ``keep``
+names them, which has to differ from the result's own names.
 """
 
 from __future__ import annotations
@@ -23,25 +25,30 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 from fractions import Fraction
+from itertools import accumulate
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import checkpointed, word_count
+from .common import checkpointed, word_count, written
 
 WEIGHTS, SHARE, CAP, BLOCK, SEED = (3, 1, 2), 1.5, 2, 32, 20250
+#: Shards of the mix.
+SHARDS = 16
 #: Parts of a source's seeded order: three hexadecimal digits.
 BUCKETS = 4096
 
 
 @dataclass(frozen=True)
 class Plan:
+    """upto: the blocks that the shards before each one, and all of them at last, draw from the source."""
+
     source: str | None
     size: int
     target: float
     blocks: int
-    quota: int
+    upto: tuple[int, ...]
     step: int
     shift: int
 
@@ -92,28 +99,30 @@ def sainte_lague(votes: list[float], seats: int, most: list[int] | None = None)
     return out
 
 
-def plan_mix(sources: list[tuple[str | None, int]], weights=WEIGHTS, share=SHARE, cap=CAP, block=BLOCK, seed=SEED) -> list[Plan]:
+def shard_quotas(wanted: list[float], most: list[int], shards: int) -> list[list[int]]:
+    """Blocks that each shard draws from each source; shard s has the seats from s to s + 1 shards-ths of all."""
+    seats = min(round(sum(wanted)), sum(most))
+    upto = [sainte_lague(wanted, seats * s // shards, most) for s in range(shards + 1)]
+    return [[b - a for a, b in zip(upto[s], upto[s + 1])] for s in range(shards)]
+
+
+def plan_mix(sources: list[tuple[str | None, int]], weights=WEIGHTS, share=SHARE, cap=CAP, block=BLOCK, seed=SEED, shards=SHARDS) -> list[Plan]:
     """sources: (name, words), in order of names by code point with null last."""
     sizes = [n for _, n in sources]
     targets = capped_shares(sizes, [weights[i % len(weights)] for i in range(len(sizes))], share * sum(sizes), cap)
     blocks = [-(-n // block) for n in sizes]
-    quotas = sainte_lague(targets, round(sum(targets) / block), [int(cap) * n // block for n in sizes])
+    # a target in blocks of the source's own size; blocks are equal but for sources that fill none
+    quotas = shard_quotas([t * b / n if n else 0.0 for t, b, n in zip(targets, blocks, sizes)], [int(cap * b) for b in blocks], shards)
     plans = []
     for i, (name, n) in enumerate(sources):
         step = max(1, (seed * 7919 + 104729 * (i + 1)) % (1 << 20))
         while math.gcd(step, max(1, blocks[i])) != 1:
             step += 1
-        plans.append(Plan(name, n, targets[i], blocks[i], quotas[i], step, (seed + 31 * i) % max(1, blocks[i])))
+        upto = tuple(accumulate((q[i] for q in quotas), initial=0))
+        plans.append(Plan(name, n, targets[i], blocks[i], upto, step, (seed + 31 * i) % max(1, blocks[i])))
     return plans
 
 
-def shard_quotas(plans: list[Plan], shards: int) -> list[list[int]]:
-    """Integer quotas of blocks for each shard and source: seat by seat, shard s holds the seats from s to s + 1 shards-ths."""
-    seats, most = sum(p.quota for p in plans), [p.quota for p in plans]
-    upto = [sainte_lague([p.target for p in plans], seats * s // shards, most) for s in range(shards + 1)]
-    return [[b - a for a, b in zip(upto[s], upto[s + 1])] for s in range(shards)]
-
-
 def spotted(docs: DataFrame, seed: int, keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, source, size, spot, *keep) and the key (named, none, bucket): a document's place in its source's seeded order, and that order's part.
 
@@ -124,39 +133,58 @@ def spotted(docs: DataFrame, seed: int, keep: tuple[str, ...] = ()) -> DataFrame
     return docs.select("doc_id", "source", word_count("text").alias("size"), order.alias("spot"), *keep).withColumns({"named": F.coalesce("source", F.lit("")), "none": F.col("source").isNull(), "bucket": F.substring("spot", 1, 3)})
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, share=SHARE, cap=CAP, block=BLOCK, seed=SEED, keep: tuple[str, ...] = ()) -> DataFrame:
+def mix(docs: DataFrame, weights=WEIGHTS, share=SHARE, cap=CAP, block=BLOCK, seed=SEED, shards=SHARDS, keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, source, size, source_size, target, start, pieces, taken, copies, *keep).
 
     ``start``: where the document's words begin in its source's seeded order;
-    ``pieces``: its blocks as (block, words, copies); ``taken``: words times copies
-    over them; ``copies``: those of the block with its first word, for mixes of whole
-    documents. Rows are dealt out once, by source and part of its order.
+    ``pieces``: its blocks as (block, words, shards), with each shard that draws the
+    block; ``taken``: its words in all shards; ``copies``: how often the block with its
+    first word is drawn, for mixes of whole documents. Texts are read once.
     """
-    rows = spotted(docs, seed, keep)
+    rows = written(spotted(docs, seed, keep))
     part = ["named", "none", "bucket"]
     cells = checkpointed(rows.groupBy(*part).agg(F.sum("size").alias("words")))
     sizes = cells.groupBy("named", "none").agg(F.sum("words").alias("n")).collect()  # one row per source
-    plans = plan_mix([(None if r.none else r.named, r.n) for r in sorted(sizes, key=lambda r: (r.none, r.named))], weights, share, cap, block, seed)
-    fields = "named string, none boolean, source_size long, target double, blocks long, quota long, step long, shift long"
-    table = docs.sparkSession.createDataFrame([(p.source or "", p.source is None, p.size, p.target, p.blocks, p.quota, p.step, p.shift) for p in plans], fields)
+    plans = plan_mix([(None if r.none else r.named, r.n) for r in sorted(sizes, key=lambda r: (r.none, r.named))], weights, share, cap, block, seed, shards)
+    fields = "named string, none boolean, source_size long, target double, blocks long, upto array<long>, step long, shift long"
+    table = docs.sparkSession.createDataFrame([(p.source or "", p.source is None, p.size, p.target, p.blocks, list(p.upto), p.step, p.shift) for p in plans], fields)
     before = Window.partitionBy("named", "none").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.withColumn("first", F.coalesce(F.sum("words").over(before), F.lit(0))).join(table, ["named", "none"]).drop("words")
     inner = Window.partitionBy(*part).orderBy("spot", "size").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("inside", F.coalesce(F.sum("size").over(inner), F.lit(0)))
     rows = rows.join(cells, part).withColumn("start", F.col("first") + F.col("inside"))
-    first, last = F.floor(F.col("start") / block), F.floor((F.col("start") + F.greatest("size", F.lit(1)) - 1) / block)
-    blocks = F.greatest("blocks", F.lit(1))
-    full, extra = F.expr("quota div greatest(blocks, 1)"), F.col("quota") % blocks
+    none, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    count = F.greatest("blocks", one)
+    # equal blocks: the first ``longer`` of them have a word more than the others' ``least``
+    least, longer = _div(F.col("source_size"), count), F.col("source_size") % count
 
-    def copies(b):
-        return (full + ((b * F.col("step") + F.col("shift")) % blocks < extra).cast("long")).cast("long")
+    def begins(b):
+        return b * least + F.least(b, longer)
 
-    def piece(b):
-        words = F.least((b + 1) * block, F.col("start") + F.col("size")) - F.greatest(b * block, F.col("start"))
-        return F.struct(b.alias("block"), words.alias("words"), copies(b).alias("copies"))
+    def block_of(word):
+        beyond = word - longer * (least + 1)
+        return F.when(beyond < 0, _div(word, least + 1)).otherwise(longer + _div(beyond, F.greatest(least, one)))
+
+    def drawn_by(b):
+        """The shards that draw block b, once for each time."""
+        first = (b * F.col("step") + F.col("shift")) % count
+        quota = F.element_at("upto", -1)
+        draws = F.when(first < quota, F.sequence(first, quota - 1, count)).otherwise(F.array().cast("array<long>"))
+        return F.transform(draws, lambda t: F.size(F.filter("upto", lambda u: u <= t)) - 1)
 
-    rows = rows.withColumn("pieces", F.when(F.col("size") > 0, F.transform(F.sequence(first, last), piece)))
-    none = F.lit(0).cast("long")
-    taken = F.coalesce(F.aggregate("pieces", none, lambda a, p: a + p["words"] * p["copies"]), none)
-    rows = rows.withColumn("taken", taken).withColumn("copies", copies(F.least(first, F.greatest(F.col("blocks") - 1, none))))
+    def piece(b):
+        words = F.least(begins(b + 1), F.col("start") + F.col("size")) - F.greatest(begins(b), F.col("start"))
+        return F.struct(b.alias("block"), words.alias("words"), drawn_by(b).alias("shards"))
+
+    last = F.col("start") + F.greatest("size", one) - 1
+    rows = rows.withColumn("pieces", F.when(F.col("size") > 0, F.transform(F.sequence(block_of(F.col("start")), block_of(last)), piece)))
+    taken = F.coalesce(F.aggregate("pieces", none, lambda a, p: a + p["words"] * F.size(p["shards"])), none)
+    # a text without words after the last word goes with the last block
+    copies = F.size(drawn_by(F.least(block_of(F.col("start")), count - 1))).cast("long")
+    rows = rows.withColumn("taken", taken).withColumn("copies", copies)
     return rows.select("doc_id", "source", "size", "source_size", "target", "start", "pieces", "taken", "copies", *keep)
+
+
+def _div(a: Column, b: Column) -> Column:
+    """Whole part of a / b, both whole numbers."""
+    return F.call_function("div", a, b)

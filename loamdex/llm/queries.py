@@ -49,7 +49,7 @@ def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rendered = chat.rotate(table(spark, sf_dir, "conversations"))
     spans = F.array_join(F.transform("mask", lambda s: F.concat(s["start"].cast("string"), F.lit("-"), s["end"].cast("string"))), ",")
-    return rendered.select("conv_id", "perspective", "page", "n_turns", "text", spans.alias("mask"))
+    return rendered.select("conv_id", "perspective", "page", "part", "n_turns", "text", spans.alias("mask"))
 
 
 def op9_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,10 +88,11 @@ ORACLE_SQL = {
         k AS (SELECT r, count(*) AS n, count(*) FILTER (last IS NOT NULL AND j - last < 35) AS gone, string_agg(word, ' ' ORDER BY j) FILTER (last IS NULL OR j - last >= 35) AS kept FROM x GROUP BY r)
         SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (r)""",
     "op8_chat": r"""
-        WITH t AS (SELECT conv_id, turn, CAST(floor(turn / 256) AS BIGINT) AS page, coalesce(role, 'unknown') AS who, replace(coalesce(text, ''), '<|', '< |') AS said FROM conversations),
+        WITH r AS (SELECT conv_id, turn, CAST(floor(turn / 256) AS BIGINT) AS page, coalesce(role, 'unknown') AS who, replace(coalesce(text, ''), '<|', '< |') AS said FROM conversations),
+        t AS (SELECT *, CAST(floor((row_number() OVER (PARTITION BY conv_id, page ORDER BY turn, who, said) - 1) / 256) AS BIGINT) AS part FROM r),
         p AS (SELECT DISTINCT conv_id, who AS perspective FROM t WHERE who <> 'system'),
-        s AS (SELECT p.conv_id, perspective, page, turn, who, said, '<|im_start|>' || CASE WHEN who = perspective THEN 'assistant' WHEN who = 'system' THEN 'system' ELSE 'user name=' || who END || chr(10) AS head, said || '<|im_end|>' AS body, row_number() OVER (PARTITION BY p.conv_id, perspective, page ORDER BY turn NULLS LAST, who, said) AS k FROM p JOIN t ON p.conv_id IS NOT DISTINCT FROM t.conv_id),
-        o AS (SELECT *, coalesce(sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, perspective, page ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(head) AS a FROM s)
-        SELECT conv_id, perspective, page, CAST(count(*) AS INTEGER) AS n_turns, string_agg(head || body || chr(10), '' ORDER BY k) AS text,
-        coalesce(string_agg(CASE WHEN who = perspective THEN CAST(a AS BIGINT) || '-' || CAST(a + length(body) AS BIGINT) END, ',' ORDER BY k), '') AS mask FROM o GROUP BY conv_id, perspective, page""",
+        s AS (SELECT p.conv_id, perspective, page, part, turn, who, said, '<|im_start|>' || CASE WHEN who = perspective THEN 'assistant' WHEN who = 'system' THEN 'system' ELSE 'user name=' || replace(replace(replace(who, '<|', '< |'), chr(10), ' '), chr(13), ' ') END || chr(10) AS head, said || '<|im_end|>' AS body, row_number() OVER (PARTITION BY p.conv_id, perspective, page, part ORDER BY turn, who, said) AS k FROM p JOIN t ON p.conv_id IS NOT DISTINCT FROM t.conv_id),
+        o AS (SELECT *, coalesce(sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, perspective, page, part ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(head) AS a FROM s)
+        SELECT conv_id, perspective, page, part, CAST(count(*) AS INTEGER) AS n_turns, string_agg(head || body || chr(10), '' ORDER BY k) AS text,
+        coalesce(string_agg(CASE WHEN who = perspective THEN CAST(a AS BIGINT) || '-' || CAST(a + length(body) AS BIGINT) END, ',' ORDER BY k), '') AS mask FROM o GROUP BY conv_id, perspective, page, part""",
 }

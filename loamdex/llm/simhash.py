@@ -200,7 +200,7 @@ def plan_layout(classes: DataFrame, radius: int = RADIUS) -> Layout:
     together = np.zeros(BITS * BITS)
     for r in counted:
         together[r.k] = r.n
-    together, n = together.reshape(BITS, BITS), classes.count()
+    together, n = together.reshape(BITS, BITS), max(classes.count(), 1)  # probes cost something even in an empty table
     groups = [grouped_bits(together, n, m) for m in PARTS if m <= radius + 2]
     blocks = sorted({b for parts in groups for p in parts for b in sub_blocks(p)})
 
