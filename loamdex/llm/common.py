@@ -7,10 +7,14 @@ import gc
 import tempfile
 import time
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Edges that one task contracts.
+PORTION = 1_000_000
 #: Words of the contracts: runs of anything but ASCII blanks.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -68,19 +72,48 @@ def word_count(text: str | Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
-    """(node, root) for every node that has an edge; root is the component's least node.
+def contracted(edges: DataFrame, parts: int) -> DataFrame:
+    """Edges (u, v) that connect what the given ones do: within each of ``parts`` portions, every node and the least it reaches there."""
+    kind = edges.schema["u"].dataType.simpleString()
 
-    Alternating large-star and small-star rounds (Kiveris et al. 2014): every
-    round is two grouped minima and joins over an edge set that never grows,
-    so hubs are combined before they are shuffled and nothing is collected.
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parent: dict = {}
+
+        def top(x):
+            while (y := parent[x]) != x:
+                parent[x] = x = parent[y]
+            return x
+
+        for batch in batches:
+            for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                p, q = top(u) if u in parent else parent.setdefault(u, u), top(v) if v in parent else parent.setdefault(v, v)
+                if p != q:
+                    parent[max(p, q)] = min(p, q)
+        found = [(x, r) for x in parent if (r := top(x)) != x]
+        for at in range(0, len(found), 1 << 16):
+            u, v = zip(*found[at : at + (1 << 16)])
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+
+    return edges.repartition(parts).mapInArrow(joined, f"u {kind}, v {kind}")
+
+
+def connected_components(edges: DataFrame, a: str, b: str, portion: int = PORTION) -> DataFrame:
+    """(node, root) for every node that has an edge; root is the component's least node. Nodes are longs or strings.
+
+    Portions of bounded size are contracted first, which leaves at most one edge
+    per node in each; what is one portion is done with that. Then alternating large-star
+    and small-star rounds (Kiveris et al. 2014): every round is two grouped minima
+    and joins over an edge set that never grows, so hubs are combined before they
+    are shuffled and nothing is collected.
     """
-    edges = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
-    edges, seen = checkpointed(edges), None
-    while True:
+    edges = checkpointed(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
+    seen, parts = None, -(-edges.count() // portion)
+    if parts:
+        edges = checkpointed(contracted(edges, parts))
+    while parts > 1:
         mark = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark == seen or not mark[0]:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select("v", "v").distinct())
+        if mark == seen:
+            break
         seen = mark
         both = edges.select(F.col("u").alias("n"), F.col("v").alias("o")).union(edges.select("v", "u"))
         least = both.groupBy("n").agg(F.min("o").alias("m")).select("n", F.least("n", "m").alias("m"))
@@ -88,3 +121,4 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = checkpointed(small.union(least).distinct())
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select("v", "v").distinct())

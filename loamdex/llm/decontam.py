@@ -98,11 +98,18 @@ class Searcher:
                     yield start, self.items[places][same]
 
 
+class _Numbers(dict):
+    """Numbers of the patterns' words, -1 for any other."""
+
+    def __missing__(self, word: bytes) -> int:
+        return -1
+
+
 class Matcher:
     """All patterns of a block of items, by length."""
 
     def __init__(self, items: list[tuple[str | None, str | None]], window: int = WINDOW):
-        self.numbers: dict[bytes, int] = {}
+        self.numbers = _Numbers()
         self.names = [item for item, _ in items]
         texts = [np.array([self.numbers.setdefault(w, len(self.numbers)) for w in words_of(text)], np.int32) for _, text in items]
         lengths = np.array([len(t) for t in texts], np.int64)
@@ -117,9 +124,9 @@ class Matcher:
 
     def find(self, texts: list[list[bytes]]) -> list[tuple[list[tuple[int, int]], list[str]]]:
         """For each text's words, the stretches that are hit and the items that occur."""
-        get = self.numbers.get
         # a word that no pattern has stands between texts
-        numbers = np.array([x for words in texts for x in (*(get(w, -1) for w in words), -1)], np.int32)
+        flat = [w for words in texts for w in (*words, b"")]
+        numbers = np.fromiter(map(self.numbers.__getitem__, flat), np.int32, len(flat))
         ends = np.cumsum([len(words) + 1 for words in texts])
         first = np.r_[0, ends[:-1]]
         edges, items = np.zeros(len(numbers) + 1, np.int32), {}

@@ -55,9 +55,11 @@ PARTS = (2, 3, 4, 5, 6, 7, 8)
 #: Radius of 64 bits and of 128 that together find most pairs of a shingle similarity of 0.8 or more (see README).
 NEAR_RADIUS, NEAR_WIDE = 15, 30
 #: Microseconds to shuffle a filed row, and to verify a pair.
-ROW_COST, PAIR_COST = 1.0, 0.01
+ROW_COST, PAIR_COST = 1.5, 0.002
 #: Rows of a bucket that one task compares at once.
 BUCKET_ROWS = 4096
+#: Rows up to which buckets are compared all together, and pairs that are compared at once beyond.
+SMALL, PAIRS = 24, 1 << 18
 #: Shingle sets of a block that one task compares at once.
 SET_ROWS = 1024
 #: Bit of a filing key from which the part's number is kept.
@@ -250,53 +252,85 @@ def filed(classes: DataFrame, layout: Layout, probing: bool = True) -> DataFrame
     return classes.select(*names).mapInArrow(keys, "key long, " + "".join(f"{n} long, " for n in names) + "probe boolean")
 
 
-def forest(group: np.ndarray, prints: list[np.ndarray], probe: np.ndarray, block: np.ndarray, same: np.ndarray, radius: int, wide: int | None = None) -> tuple[list[int], list[int]]:
+class Joined:
+    """Which of n rows are connected so far; ``label`` is brought up to date by ``settle``."""
+
+    def __init__(self, n: int):
+        self.parent, self.label = list(range(n)), np.arange(n)
+
+    def _top(self, x: int) -> int:
+        while self.parent[x] != x:
+            self.parent[x] = self.parent[self.parent[x]]
+            x = self.parent[x]
+        return x
+
+    def links(self, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+        """Those that connect something new."""
+        new, out = self.label[left] != self.label[right], []
+        for x, y in zip(left[new].tolist(), right[new].tolist()):
+            p, q = self._top(x), self._top(y)
+            if p != q:
+                self.parent[max(p, q)] = min(p, q)
+                out.append((x, y))
+        if out:
+            label = np.array(self.parent)
+            while not np.array_equal(up := label[label], label):
+                label = up
+            self.label, self.parent = label, label.tolist()
+        return out
+
+
+def forest(group: np.ndarray, prints: list[np.ndarray], probe: np.ndarray, block: np.ndarray, same: np.ndarray, radius: int, wide: int | None = None, small: int = SMALL) -> list[tuple[int, int]]:
     """Row numbers of links within each run of equal ``group``, only those that connect something new there.
 
     Rows of a group come with those that are filed, not probing, first. In a group
-    of two blocks (``same`` false) only rows of different blocks are compared.
-    Row k meets row k + d for d = 1, 2, ..., all k at once.
+    of two blocks (``same`` false) only rows of different blocks are compared. In
+    groups of up to ``small`` rows, row k meets row k + d for d = 1, 2, ..., all k of
+    all groups at once; in larger ones, some filed rows meet all rows after them.
     """
-    n = len(group)
-    parent, stale = list(range(n)), np.arange(n)
-    prints = [p.view(np.uint64) for p in prints]
-
-    def top(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
+    prints, found = [p.view(np.uint64) for p in prints], []
+    begins = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+    ends = np.r_[begins[1:], len(group)]
+    end_of = np.repeat(ends, ends - begins)
 
-    left, right, joined, d = [], [], 0, 1
-    live = np.flatnonzero(~probe)
-    while len(live):
-        live = live[live + d < n]
-        live = live[group[live + d] == group[live]]
-        apart = np.bitwise_count(prints[0][live] ^ prints[0][live + d])
-        near = np.flatnonzero(apart <= radius)
-        a = live[near]
-        b = a + d
-        new = (stale[a] != stale[b]) & (same[a] | (block[a] != block[b]))
+    def near(a: np.ndarray, b: np.ndarray, apart: np.ndarray) -> np.ndarray:
+        good = same[a] | (block[a] != block[b])
         if wide is not None:
-            new &= apart[near].astype(np.int64) + np.bitwise_count(prints[1][a] ^ prints[1][b]) <= wide
-        for x, y in zip(a[new].tolist(), b[new].tolist()):
-            p, q = top(x), top(y)
-            if p != q:
-                parent[max(p, q)] = min(p, q)
-                left.append(x)
-                right.append(y)
-                joined += 1
-        if joined:
-            stale = np.array(parent)
-            while not np.array_equal(up := stale[stale], stale):
-                stale = up
-            parent, joined = stale.tolist(), 0
+            good &= apart.astype(np.int64) + np.bitwise_count(prints[1][a] ^ prints[1][b]) <= wide
+        return good
+
+    joined, d = Joined(len(group)), 1
+    live = np.flatnonzero(~probe & np.repeat(ends - begins <= small, ends - begins))
+    while len(live := live[live + d < end_of[live]]):
+        apart = np.bitwise_count(prints[0][live] ^ prints[0][live + d])
+        close = np.flatnonzero(apart <= radius)
+        a = live[close]
+        close = close[near(a, a + d, apart[close])]
+        found += joined.links(live[close], live[close] + d)
         d += 1
-    return left, right
+    for begin, end in zip(begins.tolist(), ends.tolist()):
+        if end - begin > small:
+            joined, here, filed_to = Joined(end - begin), prints[0][begin:end], begin + int((~probe[begin:end]).sum())
+            at, rows = begin, 1  # the first row alone: it may connect most of the others
+            while at < filed_to:
+                upto = min(at + rows, filed_to)
+                apart = np.bitwise_count(prints[0][at:upto, None] ^ here[at - begin :])
+                x, y = np.nonzero(apart <= radius)
+                later = y > x
+                x, y = x[later], y[later]
+                good = near(x + at, y + at, apart[x, y])
+                found += [(i + begin, j + begin) for i, j in joined.links(x[good] + at - begin, y[good] + at - begin)]
+                at, rows = upto, min(4 * rows, max(1, PAIRS // (end - begin)))
+    return found
+
+
+def node_of(wide: int | None) -> Column:
+    """A class's name: its fingerprint, or both in hexadecimal digits."""
+    return F.col("fp") if wide is None else F.concat(F.lpad(F.hex("fp"), 16, "0"), F.lpad(F.hex("more"), 16, "0"))
 
 
 def links(classes: DataFrame, layout: Layout, radius: int = RADIUS, bucket_rows: int = BUCKET_ROWS, wide: int | None = None) -> DataFrame:
-    """(a, b): verified links that connect all that is linked, as structs of the classes' fingerprints."""
+    """(a, b): verified links that connect all that is linked; nodes as ``node_of`` names them."""
     rows, names = filed(classes, layout), [c for c in ("fp", "more") if c in classes.columns]
     # what a bucket costs goes by the rows that are filed in it; these are few beside the probes
     own = filed(classes, layout, probing=False).groupBy("key").agg(F.count("*").alias("n"))
@@ -315,9 +349,12 @@ def links(classes: DataFrame, layout: Layout, radius: int = RADIUS, bucket_rows:
         def emit(whole: pa.Table) -> Iterator[pa.RecordBatch]:
             key, p, q, block, probe, *prints = (whole.column(i).to_numpy() for i in range(5 + len(names)))
             change = np.r_[True, (key[1:] != key[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])]
-            left, right = forest(np.cumsum(change), prints, probe.astype(bool), block, p == q, radius, wide)
-            if left:
-                yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays([pa.array(x[side]) for x in prints], names=names) for side in (left, right)], names=["a", "b"])
+            found = forest(np.cumsum(change), prints, probe.astype(bool), block, p == q, radius, wide)
+            if found:
+                sides = [[x[list(side)] for x in prints] for side in zip(*found)]
+                if wide is not None:
+                    sides = [[["%016X%016X" % both for both in zip(*(x.view(np.uint64).tolist() for x in side))]] for side in sides]
+                yield pa.RecordBatch.from_arrays([pa.array(side[0]) for side in sides], names=["a", "b"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -332,23 +369,24 @@ def links(classes: DataFrame, layout: Layout, radius: int = RADIUS, bucket_rows:
         if kept:
             yield from emit(pa.Table.from_batches(kept))
 
-    node = f"struct<{', '.join(f'{n}: long' for n in names)}>"
+    node = "long" if wide is None else "string"
     return rows.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q", "probe").mapInArrow(verified, f"a {node}, b {node}")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, seed: int = SEED, keep: tuple[str, ...] = (), bucket_rows: int = BUCKET_ROWS, wide: int | None = None) -> DataFrame:
-    """(doc_id, fp, component_id, component, *keep) for each row; component is a fingerprint (a struct) that stands for the component."""
+    """(doc_id, fp, component_id, component, *keep) for each row; component is a class that stands for the component."""
     if wide is None:
-        printed, node = F.struct(fingerprints("text", shingle, seed).alias("fp")), ["node.fp"]
+        printed = docs.select("doc_id", fingerprints("text", shingle, seed).alias("fp"), *keep)
     else:
-        printed, node = wide_fingerprints("text", shingle, seed), ["node.fp", "node.more"]
-    prints = checkpointed(docs.select("doc_id", printed.alias("node"), *keep))
-    classes = checkpointed(prints.groupBy("node").agg(F.min("doc_id").alias("least")).select("node", "least", *node))
+        printed = docs.select("doc_id", wide_fingerprints("text", shingle, seed).alias("both"), *keep).select("doc_id", "both.fp", "both.more", *keep)
+    prints = checkpointed(printed.withColumn("node", node_of(wide)))
+    classes = checkpointed(prints.groupBy(*[c for c in ("node", "fp", "more") if c in prints.columns]).agg(F.min("doc_id").alias("least")))
     roots = connected_components(links(classes, plan_layout(classes, radius), radius, bucket_rows, wide), "a", "b")
     of_class = classes.select("node", "least").join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("component"))
     ids = of_class.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = of_class.drop("least").join(ids, "component")
-    return prints.join(named, "node").select("doc_id", "node.fp", "component_id", "component", *keep)
+    # written out, so that the join's sides are plain exchanges and a class of very many copies can be split
+    named = checkpointed(of_class.drop("least").join(ids, "component"))
+    return prints.join(named, "node").select("doc_id", "fp", "component_id", "component", *keep)
 
 
 def shingle_set(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:

@@ -9,6 +9,7 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from loamdex.llm import simhash, substring, suffixarray, windows
+from loamdex.llm.common import connected_components
 
 
 def brute_fingerprint(text, k=4):
@@ -51,7 +52,7 @@ def test_simhash_layout_finds_every_pair(spark):
     layout = simhash.plan_layout(classes)
     assert sum(layout.thresholds) == 4 - len(layout.parts) + 1 and sorted(b for p in layout.parts for b in p) == list(range(64))
     for parts, thresholds in ((layout.parts, layout.thresholds), (simhash.grouped_bits(np.eye(64), 2, 3), (1, 1, 0)), (simhash.grouped_bits(np.eye(64), 2, 4), (2, 0, 0, -1))):
-        found = {tuple(sorted((r.a.fp, r.b.fp))) for r in simhash.links(classes, simhash.Layout(parts, thresholds, 0)).collect()}
+        found = {tuple(sorted((r.a, r.b))) for r in simhash.links(classes, simhash.Layout(parts, thresholds, 0)).collect()}
         assert all(near(a, b) for a, b in found)
         root = {v: v for v in every}
 
@@ -65,6 +66,47 @@ def test_simhash_layout_finds_every_pair(spark):
         assert all(top(a) == top(b) for a in every for b in every if near(a, b))
 
 
+@pytest.mark.parametrize("wide", [None, 26])
+def test_forest_connects_what_all_pairs_do(wide):
+    rng = np.random.default_rng(4)
+    n = 600
+    base = rng.integers(0, 1 << 62, (6, 2), dtype=np.int64)[rng.integers(0, 6, n)]
+    flips = np.bitwise_or.reduce(np.where(rng.random((n, 2, 4)) < 0.7, np.int64(1) << rng.integers(0, 62, (n, 2, 4)), 0), axis=2)
+    prints = [np.ascontiguousarray(c) for c in (base ^ flips).T]
+    group = np.sort(np.r_[rng.integers(0, 40, 200), np.full(n - 200, 41)])
+    probe, block = rng.random(n) < 0.5, rng.integers(0, 3, n)
+    by = np.lexsort((probe, group))
+    probe, same = probe[by], (group % 2 == 0) | (group == 41)
+
+    def labels(pairs):
+        root = list(range(n))
+        for a, b in pairs:
+            if root[a] != root[b]:
+                root = [root[b] if r == root[a] else r for r in root]
+        return [root.index(r) for r in root]
+
+    def linked(a, b):
+        apart = [(int(p[a]) ^ int(p[b])).bit_count() for p in prints]
+        return group[a] == group[b] and not (probe[a] and probe[b]) and (same[a] or block[a] != block[b]) and apart[0] <= 8 and (wide is None or sum(apart) <= wide)
+
+    found = [simhash.forest(group, prints, probe, block, same, 8, wide, small) for small in (24, 0, 1000)]
+    want = labels([(a, b) for a in range(n) for b in range(a) if linked(a, b)])
+    assert all(labels(pairs) == want and all(linked(a, b) for a, b in pairs) for pairs in found)
+
+
+@pytest.mark.parametrize("portion", [1_000_000, 40])
+def test_components(spark, portion):
+    rng = np.random.default_rng(2)
+    pairs = [(int(a), int(b)) for a, b in rng.integers(0, 300, (160, 2))] + [(500 + i, 501 + i) for i in range(50)]
+    root = {x: x for p in pairs for x in p}
+    for _ in range(60):
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+    got = connected_components(spark.createDataFrame([(str(1000 + a), str(1000 + b)) for a, b in pairs], "a string, b string"), "a", "b", portion).collect()
+    linked = {x for a, b in pairs if a != b for x in (a, b)}
+    assert {int(r.node) - 1000: int(r.root) - 1000 for r in got} == {x: root[x] for x in linked} and len(got) == len(linked)
+
+
 def test_simhash_empty(none):
     assert simhash.near_duplicates(none).collect() == []
 
