@@ -42,7 +42,7 @@ def written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_folder(spark)}/loamdex-table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(_dropped, spark, path)
+    atexit.register(dropped, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -59,7 +59,8 @@ def released(spark: SparkSession) -> None:
         time.sleep(1)
 
 
-def _dropped(spark: SparkSession, path: str) -> None:
+def dropped(spark: SparkSession, path: str) -> None:
+    """Delete a folder, wherever it is."""
     context = spark.sparkContext
     if context._jsc is None or context._jsc.sc().isStopped():
         return

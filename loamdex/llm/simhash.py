@@ -315,7 +315,7 @@ def forest(group: np.ndarray, prints: list[np.ndarray], probe: np.ndarray, block
             while at < filed_to:
                 upto = min(at + rows, filed_to)
                 apart = np.bitwise_count(prints[0][at:upto, None] ^ here[at - begin :])
-                x, y = np.nonzero(apart <= radius)
+                x, y = np.divmod(np.flatnonzero((apart <= radius).ravel()), apart.shape[1])
                 later = y > x
                 x, y = x[later], y[later]
                 good = near(x + at, y + at, apart[x, y])

@@ -4,8 +4,8 @@ The index holds the runs of windows of all batches so far (see windows.py) in
 immutable tables, each sorted by anchor and bucketed by it, so that a new batch,
 written as a table of its own, is merge-joined with the older ones without moving
 them. A join yields the anchors that repeat, within the batch or against history;
-these are verified on the windows themselves, and when ``fanout`` tables have
-gathered they are compacted into one.
+these are verified on the windows themselves. When ``fanout`` tables have gathered,
+they are compacted into one before the next batch is filed.
 
 Every word covered by a window that starts anywhere else, in another or the same
 document, is removed, in all its places. A window repeats if its run's span does, or if
@@ -15,7 +15,7 @@ window have to agree.
 Defined results: null and empty texts, and texts shorter than a window, lose
 nothing; rows that repeat are documents of their own, so their windows repeat;
 several rows with one doc_id are told apart by their texts; null doc_ids are kept;
-an empty table gives no rows; columns other than doc_id and text are ignored.
+very long texts are read whole, by one task each; an empty table gives no rows; columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -31,9 +31,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import windows
-from .common import checkpointed, released, written
+from .common import checkpoint_folder, checkpointed, dropped, released, written
 
-WINDOW, GRAM, BATCHES, FANOUT = 35, 12, 3, 3
+WINDOW, GRAM, BATCHES, FANOUT = 35, 12, 4, 3
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
@@ -58,7 +58,7 @@ def word_coder():
 
 
 class FingerprintIndex:
-    """Sorted, bucketed, immutable tables of runs; ``close`` drops them."""
+    """Sorted, bucketed, immutable tables of runs in the shared folder; ``close`` drops them."""
 
     def __init__(self, spark: SparkSession, window: int = WINDOW, gram: int = GRAM, fanout: int = FANOUT):
         self.spark, self.window, self.gram, self.fanout = spark, window, gram, fanout
@@ -68,9 +68,19 @@ class FingerprintIndex:
 
     def _write(self, rows: DataFrame) -> str:
         name = f"loamdex_runs_{uuid.uuid4().hex}"
-        rows.repartition(self.buckets, "anchor").sortWithinPartitions("anchor").write.bucketBy(self.buckets, "anchor").sortBy("anchor").saveAsTable(name)
+        writer = rows.repartition(self.buckets, "anchor").sortWithinPartitions("anchor").write.bucketBy(self.buckets, "anchor").sortBy("anchor")
+        writer.option("path", self._path(name)).saveAsTable(name)
         return name
 
+    def _path(self, name: str) -> str:
+        return f"{checkpoint_folder(self.spark)}/{name}"
+
+    def _drop(self) -> None:
+        for name in self.tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            dropped(self.spark, self._path(name))
+        self.tables = []
+
     def rows(self) -> DataFrame:
         out = self.spark.table(self.tables[0])
         for name in self.tables[1:]:
@@ -79,6 +89,8 @@ class FingerprintIndex:
 
     def add(self, docs: DataFrame) -> DataFrame:
         """File a batch of keyed documents; gives the anchors that it repeats."""
+        if len(self.tables) >= self.fanout:
+            self.compact()
         name = self._write(windows.file_runs(docs, word_coder, self.window, self.gram))
         new = self.spark.table(name).groupBy("anchor").agg(F.count("*").alias("n"))
         again = new.where("n > 1").select("anchor")
@@ -87,15 +99,12 @@ class FingerprintIndex:
         again = checkpointed(again.distinct())
         self.tables.append(name)
         self.repeated.append(again)
-        if len(self.tables) > self.fanout:
-            self.compact()
         return again
 
     def compact(self) -> None:
         """Merge all tables into one."""
         merged = self._write(self.rows())
-        for name in self.tables:
-            self.spark.sql(f"DROP TABLE {name}")
+        self._drop()
         self.tables = [merged]
 
     def repeats(self) -> DataFrame:
@@ -107,9 +116,7 @@ class FingerprintIndex:
         return self.rows().join(checkpointed(anchors.distinct()), "anchor")
 
     def close(self) -> None:
-        for name in self.tables:
-            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
-        self.tables = []
+        self._drop()
 
 
 def repeated_runs(docs: DataFrame, repeats: DataFrame, window: int = WINDOW) -> DataFrame:
