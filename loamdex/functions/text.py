@@ -165,15 +165,16 @@ def flashcards_section(content: str | Column, cards: str | Column) -> Column:
 def repetition_loop(c: str | Column, window: int = 200, threshold: int = 3) -> Column:
     """Whether a text ends in ``threshold`` equal blocks of 20, 30, ..., window / 2 characters.
 
-    Looks at the last three windows of a text of at least two; blocks with under
-    ten characters that aren't blank don't count.
+    Looks at the last ``threshold`` windows of a text of at least two; blocks that have
+    under ten characters without the blanks at their ends don't count.
     """
-    tail = F.when(F.length(col(c)) > 3 * window, F.substring(col(c), -3 * window, 3 * window)).otherwise(col(c))
+    most = threshold * window
+    tail = F.when(F.length(col(c)) > most, F.substring(col(c), -most, most)).otherwise(col(c))
 
     def loops(n: Column) -> Column:
         last = F.substring(tail, F.length(tail) - n + 1, n)
         again = [F.substring(tail, F.length(tail) - n * (k + 1) + 1, n) == last for k in range(1, threshold)]
-        filled = F.length(F.regexp_replace(last, f"[{BLANK}]", "")) >= 10
+        filled = F.length(trim_blank(last)) >= 10
         return reduce(lambda a, b: a & b, again, filled & (F.length(tail) >= n * threshold))
 
     return (F.length(col(c)) >= 2 * window) & F.exists(F.sequence(F.lit(20), F.lit(window // 2), F.lit(10)), loops)
@@ -204,3 +205,36 @@ def dataview_query(raw: str | Column) -> Column:
     """A query block without fences and its leading language name; null unless it starts as a query does."""
     plain = trim_blank(F.regexp_replace(strip_fences(raw), r"(?i)^dataview\b", ""))
     return F.when(plain.rlike(r"(?i)^(TABLE|LIST|TASK|CALENDAR|FROM)\b"), plain)
+
+
+def truncated(content: str | Column, limit: int) -> Column:
+    """A note cut to about ``limit`` characters; what was cut ends with a mark.
+
+    Frontmatter stays whole, unless it leaves no more than 100 characters: then the
+    note is just cut off. What is left goes evenly to the sections (cut before
+    headings of levels 1 to 4), which give their first paragraphs and the beginning
+    of the next one.
+    """
+    c = col(content)
+    front = F.regexp_extract(c, r"^(---[\s\S]*?---\n*)", 1)
+    body, left = F.substring(c, F.length(front) + 1, F.length(c)), F.greatest(F.lit(0), limit - F.length(front))
+    sections = F.split(body, r"(?m)(?=^#{1,4} )")
+    share = F.floor(left / F.size(sections)).cast("int")
+
+    def beginning(section: Column, budget: Column) -> Column:
+        start = F.struct(F.lit("").alias("text"), F.lit(False).alias("full"))
+
+        def grown(at: Column, paragraph: Column) -> Column:
+            over = F.length(at["text"]) + F.length(paragraph) + 2 > budget
+            more = F.when(over, F.concat(at["text"], F.substring(paragraph, F.lit(1), budget - F.length(at["text"])), F.lit("…"))).otherwise(F.concat(at["text"], paragraph, F.lit("\n\n")))
+            return F.when(at["full"], at).otherwise(F.struct(more.alias("text"), over.alias("full")))
+
+        return F.aggregate(F.split(section, "\n\n"), start, grown, lambda at: at["text"])
+
+    def joined(text: Column, section: Column) -> Column:
+        budget = F.least(share, limit - F.length(text))
+        return F.when(F.length(text) >= limit, text).when(F.length(section) <= budget, F.concat(text, section)).otherwise(F.concat(text, beginning(section, budget)))
+
+    cut = F.aggregate(sections, front, joined)
+    marked = F.when(F.length(cut) < F.length(c), F.concat(cut, F.lit("\n\n*[truncated]*"))).otherwise(cut)
+    return F.when(F.length(c) <= limit, c).when(left <= 100, F.concat(F.substring(c, 1, limit), F.lit("\n…"))).otherwise(marked)

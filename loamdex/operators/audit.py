@@ -120,14 +120,20 @@ def estimate(notes: int, batch: int = 5, concurrency: int = 3, delay: int = 1000
 # note audits
 
 
-def fold_batches(sizes: list, state: tuple[int, int | None], batch_files: int, batch_chars: int) -> tuple[list[bool], tuple[int, int | None]]:
-    """Which notes open a batch, and the (notes, characters) of the batch still open; characters with an unknown size are unknown."""
+def note_block(path: str | Column, tags: str | Column, content: str | Column, limit: int = 4000) -> Column:
+    """What a batch holds of a note: its path, name, tags and its content, truncated."""
+    path = T.col(path)
+    name = F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.[^.]*$", "")
+    return F.concat(F.lit("\n=== FILE ===\nPATH: "), path, F.lit("\nBASENAME: "), name, F.lit("\nEXISTING_TAGS: "), T.col(tags), F.lit("\nCONTENT:\n"), T.truncated(content, limit), F.lit("\n=== END FILE ===\n"))
+
+
+def fold_batches(sizes: list[int], state: tuple[int, int], batch_files: int, batch_chars: int) -> tuple[list[bool], tuple[int, int]]:
+    """Which notes open a batch, and the (notes, characters) of the batch still open."""
     n, chars = state
     opens = []
     for size in sizes:
-        grown = None if chars is None or size is None else chars + size
-        full = n > 0 and (n >= batch_files or (grown is not None and grown > batch_chars))
-        n, chars = (1, size) if full else (n + 1, grown)
+        full = n > 0 and (n >= batch_files or chars + size > batch_chars)
+        n, chars = (1, size) if full else (n + 1, chars + size)
         opens.append(full)
     return opens, (n, chars)
 
@@ -149,7 +155,7 @@ def exits(sizes: list, after: list, batch_files: int, batch_chars: int) -> list[
 
 
 def packed(notes: DataFrame, batch_files: int = 5, batch_chars: int = 20_000, parts: int = 0) -> DataFrame:
-    """(part, batch, path, position): notes, in path order, in batches of bounded number and size.
+    """(part, batch, path, position): notes (path, size), in path order, in batches of bounded number and size; a null size is 0.
 
     Packing restarts where a batch is full, so it is a fold over the order. The
     path order is cut in ``parts`` ranges (0: as many as shuffle partitions), which
@@ -159,9 +165,8 @@ def packed(notes: DataFrame, batch_files: int = 5, batch_chars: int = 20_000, pa
     The driver composes these small maps; then every range folds on from its own entry.
     """
     files = max(batch_files, 1)
-    files = max(batch_files, 1)
     parts = parts or int(notes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = notes.select("path", F.col("size").cast("long").alias("size"))
+    rows = notes.select("path", F.coalesce(F.col("size").cast("long"), F.lit(0)).alias("size"))
     some = rows.where("path IS NOT NULL").orderBy(F.xxhash64("path"), "path").limit(parts * CUT_SAMPLE).select("path").collect() if parts > 1 else []
     sample = sorted({r.path for r in some})
     cuts = np.array(sorted({sample[len(sample) * i // parts] for i in range(1, parts)} if sample else ()), object)
@@ -252,13 +257,13 @@ def cluster_members(clusters: DataFrame) -> DataFrame:
 def cluster_heads(clusters: DataFrame) -> DataFrame:
     """(key, seq, name, description, moc, file_count): each merged cluster without its paths.
 
-    The longest trimmed description wins (the earlier of equal ones), and the first
-    suggestion that isn't blank.
+    The description that is longest when trimmed wins, as it is (the earlier of equal
+    ones), and the first suggestion that isn't blank.
     """
     about = T.trim_blank(F.coalesce("description", F.lit("")))
     moc = F.when(T.trim_blank(F.coalesce("moc", F.lit(""))) != "", F.col("moc"))
     heads = clusters.groupBy(cluster_key().alias("key")).agg(
-        F.min("seq").alias("seq"), F.min_by("name", "seq").alias("name"), F.max_by(about, F.struct(F.length(about), -F.col("seq"))).alias("description"),
+        F.min("seq").alias("seq"), F.min_by("name", "seq").alias("name"), F.max_by(F.coalesce("description", F.lit("")), F.struct(F.length(about), -F.col("seq"))).alias("description"),
         F.min_by(moc, F.when(moc.isNotNull(), F.col("seq"))).alias("moc"),
     )
     counts = cluster_members(clusters).groupBy("key").agg(F.count("*").alias("file_count"))
@@ -278,13 +283,24 @@ def dedupe_clusters(clusters: DataFrame) -> DataFrame:
     return merged.select("seq", "name", "description", F.coalesce("paths", F.array().cast("array<string>")).alias("paths"), "moc", "file_count")
 
 
-RECORD = "mainIdea string, keyPoints array<string>, entities array<string>, quality string, suggestedTags array<string>, suggestedLinks array<string>"
+RECORD = "mainIdea string, keyPoints array<string>, entities array<string>, quality string, suggestedTags array<string>, topics array<string>, suggestedLinks array<string>"
+#: What a note may be called.
+QUALITIES = ("draft", "developed", "polished")
 
 
-def coerced_record(answer: str | Column, basename: str | Column) -> Column:
-    """A model's answer as a record: lists capped, wrong shapes empty, unknown qualities ``draft``; unreadable answers give a minimal record."""
-    record = F.from_json(T.extracted_json(answer), RECORD)
-    capped = lambda name, n: F.slice(F.coalesce(record[name], F.array().cast("array<string>")), 1, n).alias(name)
-    idea = F.substring(F.coalesce(F.nullif(record["mainIdea"], F.lit("")), T.col(basename)), 1, 300)
-    quality = F.when(record["quality"].isin("draft", "good", "excellent", "stub"), record["quality"]).otherwise("draft")
-    return F.struct(idea.alias("mainIdea"), capped("keyPoints", 7), capped("entities", 15), quality.alias("quality"), capped("suggestedTags", 8), capped("suggestedLinks", 5))
+def coerced_record(answer: str | Column, word_count: str | Column | None = None, links: str | Column | None = None) -> Column:
+    """A model's answer as a record: lists capped, wrong shapes empty, unknown qualities ``draft``; what can't be read says so.
+
+    word_count and links (in and out) are the note's own; without links it is an orphan.
+    """
+    raw = T.extracted_json(answer)
+    record = F.from_json(raw, RECORD)
+    none = F.array().cast("array<string>")
+    capped = lambda name, n: F.slice(F.coalesce(record[name], none), 1, n).alias(name)
+    idea = F.when(raw.isNull(), "The model's answer can't be read").otherwise(F.substring(F.coalesce(record["mainIdea"], F.lit("")), 1, 300))
+    quality = F.when(record["quality"].isin(*QUALITIES), record["quality"]).otherwise("draft")
+    words, linked = (F.lit(0) if c is None else F.coalesce(T.col(c), F.lit(0)) for c in (word_count, links))
+    return F.struct(
+        idea.alias("mainIdea"), capped("keyPoints", 7), capped("entities", 15), quality.alias("quality"), capped("suggestedTags", 8), words.cast("long").alias("wordCount"),
+        F.coalesce(record["topics"], none).alias("topics"), capped("suggestedLinks", 5), (linked == 0).alias("orphan"), F.lit("single").alias("mode"),
+    )

@@ -198,7 +198,7 @@ def flashcards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH t AS (SELECT conv_id, turn, length(text) AS n, right(text, 600) AS s FROM (SELECT conv_id, turn, text || repeat(right(text, 40), CASE WHEN conv_id % 3 = 0 THEN 20 ELSE 0 END) AS text FROM conversations))
     SELECT conv_id, turn, n >= 400 AND EXISTS (SELECT 1 FROM unnest(range(20, 101, 10)) AS u(k) WHERE length(s) >= 3 * k AND right(s, k) = substr(s, length(s) - 2 * k + 1, k) AND right(s, k) = substr(s, length(s) - 3 * k + 1, k)
-      AND length(regexp_replace(right(s, k), '[{_BLANK}]', '', 'g')) >= 10) AS loops FROM t""")
+      AND length(trim(right(s, k), '{_BLANK}')) >= 10) AS loops FROM t""")
 def repetition_loops(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = N.table(spark, sf_dir, "conversations")
     text = F.concat("text", F.repeat(F.substring("text", -40, 40), F.when(F.col("conv_id") % 3 == 0, 20).otherwise(0)))
@@ -381,12 +381,26 @@ def sync_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # note audits
 
-@query(f"""WITH RECURSIVE note AS (SELECT {_PATH} AS path, length(text) AS size, row_number() OVER (ORDER BY {_PATH}) AS k FROM documents),
+#: Notes of documents have neither frontmatter nor headings, so a note is one section.
+_TRUNCATED = f"""x AS (SELECT doc_id, {_PATH} AS path, text, string_split(text, chr(10) || chr(10)) AS paras FROM documents),
+    q AS (SELECT doc_id, length(para) AS n, coalesce(sum(length(para) + 2) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM (SELECT doc_id, i, paras[i] AS para FROM x, unnest(range(1, len(paras) + 1)) AS u(i) WHERE length(text) > 4000)),
+    s AS (SELECT doc_id, min(before) AS before, arg_min(n, before) AS n FROM q WHERE before + n + 2 > 4000 GROUP BY doc_id),
+    z AS (SELECT path, text, CASE WHEN length(text) <= 4000 THEN text ELSE substr(text, 1, CAST(least(before + n, 4000) AS INTEGER)) || '…' END AS cut FROM x LEFT JOIN s USING (doc_id)),
+    note_text AS (SELECT path, CASE WHEN length(cut) < length(text) THEN cut || chr(10) || chr(10) || '*[truncated]*' ELSE cut END AS content FROM z)"""
+
+
+@query(f"WITH {_TRUNCATED} SELECT path, content FROM note_text")
+def truncated_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return N.table(spark, sf_dir, "documents").select(N.note_path().alias("path"), T.truncated("text", 4000).alias("content"))
+
+
+@query(f"""WITH RECURSIVE {_TRUNCATED},
+    note AS (SELECT path, length(path) + length(regexp_extract(path, '([^/]*)[.][^.]*$', 1)) + length(content) + 75 AS size, row_number() OVER (ORDER BY path) AS k FROM note_text),
     f AS (SELECT k, path, 0 AS batch, 1 AS n, CAST(size AS BIGINT) AS chars FROM note WHERE k = 1 UNION ALL
       SELECT note.k, note.path, CASE WHEN f.n >= 5 OR f.chars + note.size > 20000 THEN f.batch + 1 ELSE f.batch END, CASE WHEN f.n >= 5 OR f.chars + note.size > 20000 THEN 1 ELSE f.n + 1 END, CAST(CASE WHEN f.n >= 5 OR f.chars + note.size > 20000 THEN note.size ELSE f.chars + note.size END AS BIGINT) FROM f JOIN note ON note.k = f.k + 1)
     SELECT CAST(batch AS INTEGER) AS batch, path, CAST(row_number() OVER (PARTITION BY batch ORDER BY path) - 1 AS INTEGER) AS position, CAST(batch // 24 AS BIGINT) AS reduce_group FROM f""")
 def audit_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    notes = N.table(spark, sf_dir, "documents").select(N.note_path().alias("path"), F.length("text").alias("size"))
+    notes = N.table(spark, sf_dir, "documents").select(N.note_path().alias("path"), F.length(audit.note_block(N.note_path(), F.lit(""), "text")).alias("size"))
     return audit.reduce_groups(audit.packed(notes)).select("batch", "path", "position", "reduce_group")
 
 
@@ -404,7 +418,7 @@ def _clusters(spark: SparkSession, sf_dir: str, about: Column | None = None) ->
 
 
 @query(f"""WITH {_CLUSTERS}, p AS (SELECT key, path, min(seq * 10 + i) AS spot FROM (SELECT key, seq, paths[i] AS path, i FROM k, unnest(range(1, 3)) AS u(i)) GROUP BY ALL)
-    SELECT min(seq) AS seq, arg_min(name, seq) AS name, arg_max(d, length(d) * 1000000000 - seq) AS description, arg_min(CASE WHEN trim(moc) <> '' THEN moc END, CASE WHEN trim(moc) <> '' THEN seq END) AS moc,
+    SELECT min(seq) AS seq, arg_min(name, seq) AS name, arg_max(about, length(d) * 1000000000 - seq) AS description, arg_min(CASE WHEN trim(moc) <> '' THEN moc END, CASE WHEN trim(moc) <> '' THEN seq END) AS moc,
     (SELECT string_agg(path, '|' ORDER BY spot) FROM p WHERE p.key = k.key) AS paths, (SELECT count(*) FROM p WHERE p.key = k.key) AS file_count FROM k GROUP BY key""")
 def deduped_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Merged clusters with their paths in one string, as SQL has them; ``cluster_members`` and ``cluster_heads`` bound every row."""

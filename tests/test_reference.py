@@ -195,9 +195,10 @@ def test_audit_pieces(spark):
     assert [r.path for r in audit.collected(names).collect()] == ["a.md"]
     assert audit.collected(names, backups=False, dot_names=False, templates_any_case=False).count() == 4
     assert audit.estimate(11) == {"batches": 3, "requests": 5, "minutes": 1, "single_minutes": 2}
-    answers = spark.createDataFrame([("n", '```json\n{"mainIdea": "i", "keyPoints": ["1","2","3","4","5","6","7","8"], "quality": "odd"}\n```'), ("m", "nothing")], "b string, a string")
-    good, bad = (r[0] for r in answers.select(audit.coerced_record("a", "b")).collect())
-    assert len(good.keyPoints) == 7 and good.quality == "draft" and good.entities == [] and bad.mainIdea == "m"
+    answers = spark.createDataFrame([("n", '```json\n{"mainIdea": "i", "keyPoints": ["1","2","3","4","5","6","7","8"], "quality": "odd"}\n```'), ("m", "nothing"), ("p", '{"quality": "polished", "topics": ["t"], "entities": "e"}'), ("d", '{"quality": "developed"} and more')], "b string, a string")
+    good, bad, polished, developed = (r[0] for r in answers.select(audit.coerced_record("a", F.lit(7), F.lit(0))).collect())
+    assert len(good.keyPoints) == 7 and good.quality == "draft" and good.entities == [] and good.wordCount == 7 and good.orphan
+    assert "read" in bad.mainIdea and bad.quality == "draft" and polished.quality == "polished" and developed.quality == "developed" and developed.mainIdea == ""
     sizes = spark.createDataFrame([(f"n{i}", s) for i, s in enumerate((3, 3, 9, 20, 1, 1, 1, 1))], "path string, size long")
     assert [r.batch for r in audit.packed(sizes, 3, 10).orderBy("path").collect()] == [0, 0, 1, 2, 3, 3, 3, 4]
     assert audit.packed(sizes, 3, 10, parts=2).count() == 8
@@ -209,8 +210,9 @@ def test_packing_is_one_fold_for_any_ranges(spark, parts):
     sizes = [None if i % 17 == 5 else int(x) for i, x in enumerate(rng.choice([0, 1, 2, 3, 9, 30], 90))]
     batch, n, chars, want = 0, 0, 0, {}
     for i, size in enumerate(sizes):
-        grown = None if chars is None or size is None else chars + size
-        if n and (n >= 5 or (grown is not None and grown > 10)):
+        size = size or 0
+        grown = chars + size
+        if n and (n >= 5 or grown > 10):
             batch, n, grown, want_position = batch + 1, 0, size, 0
         else:
             want_position = n
@@ -266,7 +268,26 @@ def test_providers(spark):
     assert "model=model%7Cwith%3Ddelimiters" in space and "endpoint=https%3A%2F%2Fexample.com%2Fv1" in space
     assert P.endpoint("http://h/v1/", "/embeddings") == "http://h/v1/embeddings" == P.endpoint("http://h/v1/embeddings", "embeddings")
     assert P.fill("{a}{b}{c}", {"a": "{b}", "b": "1"}) == "{b}1{c}"
-    assert P.smart_truncate("short", 10) == "short" and "[truncated]" in P.smart_truncate("# a\n" + "x" * 99 + "\n# b\n" + "y" * 99, 50)
+
+
+def test_truncation(spark):
+    mark = "\n\n*[truncated]*"
+    front = "---\na: b\n---\n"
+    cases = [
+        ("short", "short"), ("x" * 300, "x" * 200 + "…" + mark), ("a" * 120 + "\n\n" + "b" * 120, "a" * 120 + "\n\n" + "b" * 78 + "…" + mark),
+        ("# a\n" + "x" * 150 + "\n# b\n" + "y" * 150, "# a\n" + "x" * 96 + "…" + "# b\n" + "y" * 95 + "…" + mark),
+        (front + "# a\n" + "x" * 10 + "\n## b\n" + "y" * 300, front + "# a\n" + "x" * 10 + "\n## b\n" + "y" * 88 + "…" + mark),
+        ("---\n" + "k: v\n" * 30 + "---\n" + "z" * 100, ("---\n" + "k: v\n" * 30 + "---\n" + "z" * 100)[:200] + "\n…"), (None, None),
+    ]
+    got = [r[0] for r in spark.createDataFrame([(c,) for c, _ in cases], "c string").select(T.truncated("c", 200)).collect()]
+    assert got == [want for _, want in cases]
+
+
+def test_loops_count_blanks_inside(spark):
+    block = "ab" + " " * 16 + "cd"
+    text = "".join(chr(97 + i * i % 26) for i in range(400)) + block * 3
+    assert one(spark, T.repetition_loop, text) is True
+    assert one(spark, T.repetition_loop, "".join(chr(97 + i * i % 26) for i in range(400)) + (" " * 16 + "abcd") * 3) is False
 
 
 EVENTS = "op string, path string, new_path string, ts timestamp, seq long"
