@@ -6,6 +6,7 @@ Offsets and lengths named utf16 count UTF-16 code units; ``length`` and
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -21,6 +22,11 @@ def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def trim_blank(c: str | Column) -> Column:
     return F.regexp_replace(col(c), f"^[{BLANK}]+|[{BLANK}]+$", "")
 
@@ -194,11 +200,14 @@ def checked_path(path: str | Column) -> Column:
 def extracted_json(raw: str | Column) -> Column:
     """The JSON part of a model's answer: fences go, it starts at the first bracket; null if it can't be parsed even when cut after the last bracket."""
     plain = F.regexp_replace(col(raw), r"```(?:json)?", "")
-    first = F.regexp_instr(plain, F.lit(r"[\{\[]"))
-    body = F.when(first > 0, trim_blank(F.substring(plain, first, F.length(plain))))
-    cut = F.regexp_extract(body, r"(?s)^(.*[\}\]])", 1)
-    # the parser stops after the first value, so the text has to end with a bracket too
-    return F.when(F.try_parse_json(body).isNotNull() & body.rlike(r"[}\]]$"), body).when(F.try_parse_json(cut).isNotNull(), cut)
+    body = let(plain, lambda p: trim_blank(F.substring(p, F.nullif(F.regexp_instr(p, F.lit(r"[\{\[]")), F.lit(0)), F.length(p))))
+
+    def parsed(b: Column) -> Column:
+        # the parser stops after the first value, so the text has to end with a bracket too
+        shorter = let(F.regexp_extract(b, r"(?s)^(.*[\}\]])", 1), lambda cut: F.when(F.try_parse_json(cut).isNotNull(), cut))
+        return F.when(F.try_parse_json(b).isNotNull() & b.rlike(r"[}\]]$"), b).otherwise(shorter)
+
+    return let(body, parsed)
 
 
 def dataview_query(raw: str | Column) -> Column:
@@ -238,3 +247,50 @@ def truncated(content: str | Column, limit: int) -> Column:
     cut = F.aggregate(sections, front, joined)
     marked = F.when(F.length(cut) < F.length(c), F.concat(cut, F.lit("\n\n*[truncated]*"))).otherwise(cut)
     return F.when(F.length(c) <= limit, c).when(left <= 100, F.concat(F.substring(c, 1, limit), F.lit("\n…"))).otherwise(marked)
+
+
+def breadcrumb(headings: str | Column) -> Column:
+    """Headings that aren't blank, outermost first."""
+    return F.array_join(F.filter(col(headings), lambda h: trim_blank(h) != ""), " › ")
+
+
+def shown_name(path: str | Column) -> Column:
+    """A path's last part without ``.md``; the path where nothing is left."""
+    return F.coalesce(F.nullif(F.regexp_replace(basename(path), r"(?i)\.md$", ""), F.lit("")), col(path))
+
+
+def score_text(score: str | Column) -> Column:
+    """A score with three decimals, a dash if it isn't finite.
+
+    The value in binary is rounded, ties away from zero: it is split in a float and
+    the rest, whose thousandfolds are exact, so the half is decided by an exact sign.
+    """
+    x = F.abs(col(score))
+    high = x.cast("float").cast("double")
+    a, b = high * 1000, (x - high) * 1000
+    low = F.floor(a + b).cast("double")
+    n = (low + F.when((a - (low + 0.5)) + b >= 0, 1).otherwise(0)).cast("long")
+    digits = F.concat(F.when(col(score) < 0, "-").otherwise(""), F.floor(n / 1000).cast("string"), F.lit("."), F.lpad((n % 1000).cast("string"), 3, "0"))
+    finite = col(score).isNotNull() & ~F.isnan(col(score)) & (x != float("inf"))
+    return F.when(~finite, "—").when(x < 1e12, digits).otherwise(F.format_string("%.3f", col(score)))
+
+
+def has_section(content: str | Column, headings: list[str]) -> Column:
+    """Whether a note holds a section's heading in any of its languages."""
+    return reduce(lambda a, b: a | b, (F.coalesce(F.contains(col(content), F.lit(h)), F.lit(False)) for h in headings), F.lit(False))
+
+
+def stamp(moment: str | Column, pattern: str = "dd-MM-yyyy HH-mm-ss") -> Column:
+    """A time as file names take it; the clock is an argument, so reruns agree."""
+    return F.date_format(col(moment), pattern)
+
+
+def stamped_name(template: str, moment: str | Column, topic: str | Column) -> Column:
+    """A name from a template with {{date}}, {{time}} and {{topic}}; a topic's own braces stay as they are."""
+    values = {"{{date}}": stamp(moment, "yyyyMMdd"), "{{time}}": stamp(moment, "HHmm"), "{{topic}}": col(topic)}
+    parts, rest = [], template
+    while found := [(rest.index(k), k) for k in values if k in rest]:
+        at, key = min(found)
+        parts += [F.lit(rest[:at]), values[key]]
+        rest = rest[at + len(key) :]
+    return F.concat(*parts, F.lit(rest))

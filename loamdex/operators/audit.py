@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import groupby
 
 import numpy as np
@@ -293,14 +294,68 @@ def coerced_record(answer: str | Column, word_count: str | Column | None = None,
 
     word_count and links (in and out) are the note's own; without links it is an orphan.
     """
-    raw = T.extracted_json(answer)
-    record = F.from_json(raw, RECORD)
     none = F.array().cast("array<string>")
-    capped = lambda name, n: F.slice(F.coalesce(record[name], none), 1, n).alias(name)
-    idea = F.when(raw.isNull(), "The model's answer can't be read").otherwise(F.substring(F.coalesce(record["mainIdea"], F.lit("")), 1, 300))
-    quality = F.when(record["quality"].isin(*QUALITIES), record["quality"]).otherwise("draft")
     words, linked = (F.lit(0) if c is None else F.coalesce(T.col(c), F.lit(0)) for c in (word_count, links))
-    return F.struct(
-        idea.alias("mainIdea"), capped("keyPoints", 7), capped("entities", 15), quality.alias("quality"), capped("suggestedTags", 8), words.cast("long").alias("wordCount"),
-        F.coalesce(record["topics"], none).alias("topics"), capped("suggestedLinks", 5), (linked == 0).alias("orphan"), F.lit("single").alias("mode"),
+
+    def coerced(record: Column) -> Column:
+        capped = lambda name, n: F.slice(F.coalesce(record[name], none), 1, n).alias(name)
+        idea = F.when(record.isNull(), "The model's answer can't be read").otherwise(F.substring(F.coalesce(record["mainIdea"], F.lit("")), 1, 300))
+        quality = F.when(record["quality"].isin(*QUALITIES), record["quality"]).otherwise("draft")
+        return F.struct(
+            idea.alias("mainIdea"), capped("keyPoints", 7), capped("entities", 15), quality.alias("quality"), capped("suggestedTags", 8), words.cast("long").alias("wordCount"),
+            F.coalesce(record["topics"], none).alias("topics"), capped("suggestedLinks", 5), (linked == 0).alias("orphan"), F.lit("single").alias("mode"),
+        )
+
+    return T.let(F.from_json(T.extracted_json(answer), RECORD), coerced)
+
+
+CLUSTERS = "clusters array<struct<name:string,description:string,suggestedMOC:string,filePaths:array<string>>>"
+
+
+def coerced_clusters(answers: DataFrame) -> DataFrame:
+    """(seq, name, description, moc, paths, file_count): clusters in models' answers; answers: (seq, answer).
+
+    Missing fields are empty, names are trimmed; an answer that can't be read has none.
+    A cluster's seq is 2**20 times its answer's plus its place there, so order stays.
+    """
+    none = F.array().cast("array<string>")
+    rows = answers.select("seq", F.posexplode(F.from_json(T.extracted_json("answer"), CLUSTERS)["clusters"]).alias("place", "c")).where("c IS NOT NULL")
+    text = lambda name: F.coalesce(F.col("c")[name], F.lit(""))
+    return rows.select(
+        (F.col("seq").cast("long") * 2**20 + F.col("place")).alias("seq"), T.trim_blank(text("name")).alias("name"), text("description").alias("description"),
+        text("suggestedMOC").alias("moc"), F.coalesce("c.filePaths", none).alias("paths"), F.coalesce(F.size("c.filePaths"), F.lit(0)).cast("long").alias("file_count"),
     )
+
+
+def joined_clusters(parts: list[DataFrame]) -> DataFrame:
+    """Partial lists of clusters one after the other: a list's place times 2**50 is added to its seqs."""
+    return reduce(DataFrame.unionByName, (p.withColumn("seq", F.col("seq") + F.lit(i << 50)) for i, p in enumerate(parts)))
+
+
+def joined_answers(answers: DataFrame, files: DataFrame) -> DataFrame:
+    """Answers with ``known``, ``mtime``, ``word_count``, ``basename`` and ``orphan`` of the file with their path.
+
+    files: (path, mtime, n_links, n_backlinks, word_count). An answer about no known
+    file stays as it is, for the report; only ``known`` ones belong in the index.
+    """
+    own = files.select(F.col("path").alias("_path"), "mtime", "word_count", is_orphan().alias("_orphan"))
+    both = answers.join(own, answers["path"] == own["_path"], "left")
+    known = F.col("_path").isNotNull()
+    name = F.regexp_replace(T.basename("path"), r"\.[^.]*$", "")
+    return both.withColumns({"known": known, "basename": F.when(known, name), "orphan": F.when(known, F.col("_orphan"))}).drop("_path", "_orphan")
+
+
+def quality_counts(summaries: DataFrame) -> DataFrame:
+    """One row: summaries by quality, and orphans."""
+    return summaries.agg(*(F.count_if(F.col("quality") == q).alias(q) for q in QUALITIES), F.count_if("orphan").alias("orphans"))
+
+
+def audit_counters(files: DataFrame, answers: DataFrame) -> DataFrame:
+    """One row: files (total), answered (processed), left out as fresh (skipped) and without an answer (failed).
+
+    files: (path, state); answers: (path, error), at most one for each stale or unseen file.
+    """
+    done = answers.where("error IS NULL").select(F.col("path").alias("_path")).distinct()
+    both = files.join(done, files["path"] == done["_path"], "left")
+    fresh, answered = F.col("state") == "fresh", F.col("_path").isNotNull()
+    return both.agg(F.count("*").alias("total"), F.count_if(~fresh & answered).alias("processed"), F.count_if(fresh).alias("skipped"), F.count_if(~fresh & ~answered).alias("failed"))

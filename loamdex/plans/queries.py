@@ -11,22 +11,7 @@ from ..functions import vectors as V
 from ..operators import audit, chunker, delta, search, similarity
 from ..sources import notes as N
 from ..streaming import sync
-
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Register a function under its name, with its SQL if there is any."""
-
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return register
-
+from .registry import ORACLE, QUERIES, query  # noqa: F401
 
 # vectors: five consecutive embeddings make a document
 
@@ -451,3 +436,6 @@ def chunk_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     plain = docs.where((T.trim_blank("text") != "") & (F.length("text") <= 1500) & ~F.col("text").rlike(r"(?:^|\n) {0,3}(?:[-+*>#<|`~0-9]|---)"))
     first = chunker.chunk_notes(N.notes_of(plain)).where("ordinal = 0")
     return first.select("path", F.array_join("heading_path", " > ").alias("heading"), F.col("ordinal").alias("first_ordinal"), F.col("start_line").alias("first_line"))
+
+
+from . import note_queries  # noqa: E402,F401  registers the others

@@ -24,6 +24,15 @@ def read_paths(notes: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFram
     return found, wanted.join(notes.where(T.is_markdown("path")).select("path"), "path", "left_anti")
 
 
+def folder_listing(notes: DataFrame, folder: str = "") -> DataFrame:
+    """Notes right inside a folder (empty: the top), with ``key``: the path as file systems without case compare it."""
+    from ..functions.providers import path_key
+
+    here = folder.strip("/") or "root"
+    inside = (T.parent_folder("path") == here) & (F.contains("path", F.lit("/")) if folder.strip("/") else ~F.contains("path", F.lit("/")))
+    return notes.where(inside & F.col("path").endswith(".md")).withColumn("key", path_key("path"))
+
+
 FRONT = r"^\x{FEFF}?---\r?\n((?s:.*?\n)?)---(?:\r?\n|$)"
 
 
@@ -32,6 +41,12 @@ def frontmatter(content: str | F.Column) -> F.Column:
     return F.nullif(F.regexp_extract(T.col(content), FRONT, 1), F.lit(""))
 
 
+def is_generated_map(content: str | F.Column) -> F.Column:
+    """Whether a note's frontmatter calls it a map note: only such may be overwritten."""
+    kind = F.regexp_extract(F.coalesce(frontmatter(content), F.lit("")), r"(?m)^type:[ \t]*(.*?)[ \t]*\r?$", 1)
+    return F.coalesce(F.regexp_replace(kind, r"^([\"'])(.*)\1$", "$2") == "moc", F.lit(False))
+
+
 def with_metadata(notes: DataFrame) -> DataFrame:
     """Notes with ``tags``, ``links`` and ``n_links``, read from their content."""
     front = F.coalesce(frontmatter("content"), F.lit(""))
