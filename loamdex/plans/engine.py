@@ -29,11 +29,12 @@ class NoteIndex:
         chunks = chunker.chunk_notes(notes, self.options)
         return chunks.withColumn("preview", T.preview("text"))
 
-    def update(self, notes: DataFrame, delete_paths: DataFrame | None = None, mode: str = "partial", should_commit: Callable[[], bool] = lambda: True) -> dict:
+    def update(self, notes: DataFrame, delete_paths: DataFrame | None = None, mode: str = "partial", should_commit: Callable[[], bool] = lambda: True, automatic: bool = False) -> dict:
         """Index notes; ``mode``: partial, sync (with explicit deletes) or reconcile (paths not given go).
 
         Only new and changed chunks are embedded. A run that changes nothing leaves the
-        generation as it is, and so does a failing provider.
+        generation as it is, and so does a failing provider. Unless it is ``automatic``,
+        a run turns automatic sync on again after a clear.
         """
         if mode not in ("partial", "sync", "reconcile") or (delete_paths is not None) != (mode == "sync"):
             raise ValidationError("mode is partial, sync with deletes, or reconcile")
@@ -53,18 +54,26 @@ class NoteIndex:
             upserts = fresh.select(*committed.columns)
             merged = delta.merge(committed, upserts, states.where("status = 'removed'"), gone)
             counts["committed"] = self.store.commit(merged, expected=counts["generation_before"], should_commit=should_commit) is not None
+        if not automatic:
+            self.store.suspend(False)
         return counts | {"generation_after": counts["generation_before"] + counts["committed"]}
 
     def flush(self, batch: dict, read: Callable[[list[str] | None], DataFrame], guard: Callable[[], bool] = lambda: True) -> dict | None:
-        """Apply an auto-sync batch, from current content; nothing happens before a first explicit index."""
-        if self.store.manifest() is None:
+        """Apply an auto-sync batch, from current content; nothing happens before a first explicit index, or between a clear and the next one."""
+        if self.store.manifest() is None or self.store.suspended():
             return None
         if batch["reconcile_all"]:
-            return self.update(read(None), mode="reconcile", should_commit=guard)
+            return self.update(read(None), mode="reconcile", should_commit=guard, automatic=True)
         paths = lambda names: self.spark.createDataFrame([(p,) for p in names], "path string")
         notes = read(batch["upserts"])
         missing = paths(batch["upserts"]).join(notes.select("path"), "path", "left_anti")
-        return self.update(notes, paths(batch["deletes"]).union(missing).distinct(), "sync", guard)
+        return self.update(notes, paths(batch["deletes"]).union(missing).distinct(), "sync", guard, automatic=True)
+
+    def clear(self) -> None:
+        """Empty the index. Automatic sync is off from before that until the next explicit update, also in other sessions."""
+        self.store.suspend(True)
+        if self.store.manifest() is not None:
+            self.store.clear()
 
     def delete(self, paths: DataFrame) -> dict:
         return self.update(self.spark.createDataFrame([], "path string, content string"), paths, "sync")

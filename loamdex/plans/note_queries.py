@@ -297,3 +297,13 @@ def chat_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def chat_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = P.request_bodies("openrouter", "m", F.lit("Be brief."), "text")
     return N.table(spark, sf_dir, "benchmark").select("item_id", F.md5(body.cast("binary")).alias("body_md5"))
+
+
+@query(f"""WITH note AS (SELECT *, source || '/' || lang AS folder, {_PATH} AS path FROM documents), t AS (SELECT count(*) AS total, count_if(doc_id % 4 = 0) AS orphaned FROM note),
+    f AS (SELECT folder, count(*) AS n, min(path) AS first FROM note GROUP BY folder ORDER BY n DESC, first LIMIT 10), l AS (SELECT string_agg('- ' || folder, '\\n' ORDER BY n DESC, folder) AS listed FROM f)
+    SELECT '{{"nodes":[{{"id":"center","type":"text","text":"# Vault audit\\n2024-01-02","x":0,"y":0,"width":400,"height":200,"color":"1"}},{{"id":"stats","type":"text","text":"## Totals\\nNotes: ' || total || '\\nOrphaned: ' || orphaned || '","x":-450,"y":-100,"width":300,"height":200}},'
+      || '{{"id":"advice","type":"text","text":"## Advice\\n' || repeat('Link more. ', 90) || 'Link more....","x":0,"y":250,"width":850,"height":400}},{{"id":"folders","type":"text","text":"## Folders\\n' || listed || '","x":450,"y":-100,"width":300,"height":200}}],'
+      || '"edges":[{{"id":"e1","fromNode":"center","fromSide":"left","toNode":"stats","toSide":"right"}},{{"id":"e2","fromNode":"center","fromSide":"right","toNode":"folders","toSide":"left"}},{{"id":"e3","fromNode":"center","fromSide":"bottom","toNode":"advice","toSide":"top"}}]}}' AS canvas FROM t, l""")
+def audit_canvas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    notes = _docs(spark, sf_dir).select("path", F.array("lang").alias("tags"), (F.col("doc_id") % 4).alias("n_links"), F.lit(0).alias("n_backlinks"))
+    return reports.audit_canvas(audit.totals(notes), audit.most(audit.folder_counts(notes), "folder", 10), "2024-01-02", "Link more. " * 100)

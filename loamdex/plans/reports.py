@@ -52,6 +52,34 @@ def canvas_json(nodes: DataFrame) -> DataFrame:
     return all_nodes.select(F.to_json(F.struct(F.concat(F.array(centre), F.col("n")).alias("nodes"), edges.alias("edges"))).alias("canvas"))
 
 
+ADVICE_CHARS = 1000
+#: id, x, y, width, height and color of an audit canvas' four nodes, and how the last three hang on the first.
+AUDIT_NODES = (("center", 0, 0, 400, 200, "1"), ("stats", -450, -100, 300, 200, None), ("advice", 0, 250, 850, 400, None), ("folders", 450, -100, 300, 200, None))
+AUDIT_EDGES = (("e1", "left", "stats", "right"), ("e2", "right", "folders", "left"), ("e3", "bottom", "advice", "top"))
+
+
+def audit_canvas(totals: DataFrame, folders: DataFrame, day: str, advice: str) -> DataFrame:
+    """(canvas): an audit's day, totals, advice (cut at 1000 characters) and largest folders as one JSON text.
+
+    totals: one row; folders: (folder, n), already limited to the few that are shown.
+    """
+    listed = folders.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("o"), "folder"))), lambda x: F.concat(F.lit("- "), x["folder"])), "\n").alias("listed"))
+    shown = advice[:ADVICE_CHARS] + ("..." if len(advice) > ADVICE_CHARS else "")
+    texts = {
+        "center": F.lit(f"# Vault audit\n{day}"),
+        "stats": F.format_string("## Totals\nNotes: %d\nOrphaned: %d", "total", "orphaned"),
+        "advice": F.lit(f"## Advice\n{shown}"),
+        "folders": F.concat(F.lit("## Folders\n"), F.col("listed")),
+    }
+    nodes = [
+        F.struct(F.lit(name).alias("id"), F.lit("text").alias("type"), texts[name].alias("text"), F.lit(x).alias("x"), F.lit(y).alias("y"), F.lit(width).alias("width"), F.lit(height).alias("height"), F.lit(color).cast("string").alias("color"))
+        for name, x, y, width, height, color in AUDIT_NODES
+    ]
+    edges = [F.struct(F.lit(name).alias("id"), F.lit("center").alias("fromNode"), F.lit(side).alias("fromSide"), F.lit(to).alias("toNode"), F.lit(end).alias("toSide")) for name, side, to, end in AUDIT_EDGES]
+    one = totals.crossJoin(listed)  # one row each
+    return one.select(F.to_json(F.struct(F.array(*nodes).alias("nodes"), F.array(*edges).alias("edges"))).alias("canvas"))
+
+
 def free_names(wanted: list[str], taken: set[str]) -> list[str]:
     """Each name, or with -2, -3, ... behind it, so that none is taken; few names, on the driver."""
     out, taken = [], {t.lower() for t in taken}

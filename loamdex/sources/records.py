@@ -31,3 +31,20 @@ def save_records(records: DataFrame, path: str) -> None:
         fs.rename(here, old)
     fs.rename(new, here)
     fs.delete(old, True)
+
+
+CLUSTERS = "seq long, name string, description string, moc string, path string, place int"
+
+
+def save_clusters(clusters: DataFrame, path: str) -> None:
+    """Replace the clusters of the last audit; clusters: (seq, name, description, moc, paths). A row for each path, so that none grows."""
+    rows = clusters.select("seq", "name", "description", "moc", F.posexplode_outer("paths").alias("place", "path"))
+    save_records(rows.select("seq", "name", "description", "moc", "path", "place"), path)
+
+
+def load_clusters(spark: SparkSession, path: str) -> DataFrame:
+    """(seq, name, description, moc, path, place) of the last audit; none if there was none."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+        return spark.createDataFrame([], CLUSTERS)
+    return spark.read.schema(CLUSTERS + ", version int").parquet(path).where(F.col("version") == VERSION).drop("version")

@@ -171,6 +171,18 @@ class GenerationStore:
         context = self.spark.sparkContext._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
         context.rename(self._fs.makeQualified(self._at("_CURRENT.tmp")), self._fs.makeQualified(self._at("_CURRENT")), options)
 
+    def suspended(self) -> bool:
+        """Whether automatic sync is off for this store."""
+        return self._fs.exists(self._at("_SUSPENDED"))
+
+    def suspend(self, on: bool) -> None:
+        """Turn automatic sync off or on again, for every session that uses the store."""
+        at = self._at("_SUSPENDED")
+        if on:
+            self._fs.create(at, True).close()
+        elif self._fs.exists(at) and not self._fs.delete(at, False):
+            raise PersistenceError("automatic sync could not be turned on again")
+
     def clear(self) -> Manifest | None:
         """Commit an empty snapshot."""
         return self.commit(self.spark.createDataFrame([], SCHEMA))
@@ -178,7 +190,7 @@ class GenerationStore:
     def reset(self) -> None:
         """Delete what this store wrote, and nothing else."""
         failed = []
-        known = ["_CURRENT", "_CURRENT.tmp"]
+        known = ["_CURRENT", "_CURRENT.tmp", "_SUSPENDED"]
         if self._fs.exists(self._path(self.root)):
             known += [s.getPath().getName() for s in self._fs.listStatus(self._path(self.root)) if s.getPath().getName().startswith("generation=")]
         for name in known:

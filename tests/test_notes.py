@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 from loamdex.functions import providers as P
 from loamdex.functions import text as T
 from loamdex.operators import audit, contract
-from loamdex.plans import rewrite
+from loamdex.plans import reports, rewrite
+from loamdex.plans.engine import NoteIndex
 from loamdex.sources import notes as N
+from loamdex.sources import records
+from loamdex.sources.store import GenerationStore
 
 
 def one(spark, *columns):
@@ -117,3 +120,40 @@ def test_requests(spark):
     body = json.loads(one(spark, P.request_bodies("ollama", "m", F.lit("s"), F.lit('u "x"'), stream=True).alias("b")).b)
     assert body == {"model": "m", "messages": [{"role": "system", "content": "s"}, {"role": "user", "content": 'u "x"'}], "temperature": 0.7, "max_tokens": 2000, "stream": True}
     assert json.loads(one(spark, P.request_bodies("openrouter", "m", F.lit("s"), F.lit("u")).alias("b")).b)["repetition_penalty"] == 1.15
+
+
+def test_clear_turns_automatic_sync_off(spark, tmp_path):
+    notes = spark.createDataFrame([("a.md", "# A\n\nsome words")], "path string, content string")
+    open_index = lambda: NoteIndex(GenerationStore(spark, str(tmp_path / "index"), "s", 64), P.HashedBow)
+    batch = {"epoch": 0, "reconcile_all": True, "upserts": [], "deletes": []}
+    read = lambda paths: notes
+    index = open_index()
+    index.clear()
+    assert index.store.manifest() is None and index.flush(batch, read) is None
+    index.update(notes, mode="reconcile")
+    assert index.flush(batch, read) is not None
+    index.clear()
+    again = open_index()
+    assert again.store.suspended() and again.flush(batch, read) is None and again.store.manifest().count == 0
+    again.update(notes, mode="reconcile")
+    assert not open_index().store.suspended() and again.store.manifest().count == 1
+
+
+def test_clusters_are_replaced(spark, tmp_path):
+    schema, at = "seq long, name string, description string, moc string, paths array<string>", str(tmp_path / "clusters")
+    assert records.load_clusters(spark, at).count() == 0
+    records.save_clusters(spark.createDataFrame([(1, "A", "", None, ["p", "q"]), (2, "B", "", None, [])], schema), at)
+    assert sorted((r.seq, r.path, r.place) for r in records.load_clusters(spark, at).collect() if r.path) == [(1, "p", 0), (1, "q", 1)]
+    records.save_clusters(spark.createDataFrame([(3, "C", "", None, ["r"])], schema), at)
+    assert [(r.seq, r.path) for r in records.load_clusters(spark, at).collect()] == [(3, "r")]
+
+
+def test_audit_canvas(spark):
+    totals = spark.createDataFrame([(3, 1)], "total long, orphaned long")
+    folders = spark.createDataFrame([("a", 1), ("b", 2)], "folder string, n long")
+    canvas = json.loads(reports.audit_canvas(totals, folders, "2024-01-02", 'x"' * 501).first().canvas)
+    texts = {n["id"]: n["text"] for n in canvas["nodes"]}
+    assert texts["advice"] == "## Advice\n" + 'x"' * 500 + "..." and texts["folders"] == "## Folders\n- b\n- a"
+    assert [e["toNode"] for e in canvas["edges"]] == ["stats", "folders", "advice"] and "color" not in canvas["nodes"][1]
+    empty = json.loads(reports.audit_canvas(totals, folders.limit(0), "", "").first().canvas)
+    assert [n["text"] for n in empty["nodes"]][2:] == ["## Advice\n", "## Folders\n"]
