@@ -28,11 +28,11 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def trim_blank(c: str | Column) -> Column:
-    return F.regexp_replace(col(c), f"^[{BLANK}]+|[{BLANK}]+$", "")
+    return F.regexp_replace(col(c), rf"^[{BLANK}]+|[{BLANK}]+\z", "")
 
 
 def rtrim_blank(c: str | Column) -> Column:
-    return F.regexp_replace(col(c), f"[{BLANK}]+$", "")
+    return F.regexp_replace(col(c), rf"[{BLANK}]+\z", "")
 
 
 def collapse_blank(c: str | Column) -> Column:
