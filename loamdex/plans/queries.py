@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import providers as P
 from ..functions import text as T
 from ..functions import vectors as V
-from ..operators import audit, chunker, delta, search, similarity
+from ..operators import audit, chunker, delta, search, similarity, structure
 from ..sources import notes as N
 from ..streaming import sync
 from .registry import ORACLE, QUERIES, query  # noqa: F401
@@ -429,13 +429,43 @@ def note_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.select("id", "path", "ordinal", F.array_join("heading_path", " > ").alias("heading"), "text", "content_hash", "start_offset", "end_offset", "start_line", "end_line", "oversized")
 
 
-@query(f"""SELECT {_PATH} AS path, 'Note ' || doc_id AS heading, 0 AS first_ordinal, 5 AS first_line FROM documents WHERE trim(text, '{_BLANK}') <> '' AND length(text) <= 1500 AND NOT regexp_matches(text, '(^|{chr(10)}) {{0,3}}([-+*>#<|`~0-9]|---)')""")
+def _outlined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents as notes in which every sentence ends before a heading: its mark decides the level."""
+    text = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", r"\? ", "?\n# "), r"! ", "!\n### "), r"\. ", ".\n## ")
+    return N.notes_of(N.table(spark, sf_dir, "documents").withColumn("text", F.coalesce(text, F.lit("")))).select("path", "content")
+
+
+_OUTLINED = f"""
+  n AS (SELECT {_PATH} AS path, '---' || chr(10) || 'tags: [' || lang || ', ' || source || ']' || chr(10) || '---' || chr(10) || '# Note ' || doc_id || chr(10) || chr(10) ||
+    replace(replace(replace(coalesce(text, ''), '? ', '?' || chr(10) || '# '), '! ', '!' || chr(10) || '### '), '. ', '.' || chr(10) || '## ') AS content FROM documents),
+  l AS (SELECT path, i - 1 AS i, rtrim(x[i], chr(13)) AS t, length(x[i]) + length(regexp_replace(x[i], '[^\\x{{10000}}-\\x{{10FFFF}}]', '', 'g')) + 1 AS units FROM (SELECT path, string_split(content, chr(10)) AS x FROM n), unnest(range(1, len(x) + 1)) AS u(i)),
+  o AS (SELECT path, i, t, CAST(coalesce(sum(units) OVER (PARTITION BY path ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INTEGER) AS start FROM l),
+  h AS (SELECT path, i, start, length(regexp_extract(t, '^ {{0,3}}(#{{1,6}})([ \\t].*)?$', 1, 's')) AS level, regexp_replace(trim(regexp_replace(trim(regexp_extract(t, '^ {{0,3}}#{{1,6}}[ \\t](.*)$', 1, 's'), '{_BLANK}'), '[ \\t]+#+[ \\t]*$', ''), '{_BLANK}'), '[ \\t]+', ' ', 'g') AS title FROM o WHERE i > 2),
+  a AS (SELECT *, {", ".join(f"max(CASE WHEN level = {k} THEN i END) OVER w AS i{k}, arg_max(title, CASE WHEN level = {k} THEN i END) OVER w AS t{k}" for k in range(1, 7))} FROM h WHERE level > 0 WINDOW w AS (PARTITION BY path ORDER BY i))"""
+
+
+@query(f"""WITH {_OUTLINED}
+    SELECT path, CAST(i AS INTEGER) AS line, start, CAST(level AS INTEGER) AS level, array_to_string(list_filter([{", ".join(f"CASE WHEN level >= {k} AND i{k} > {'greatest(-1, ' + ', '.join(f'i{m}' for m in range(1, k)) + ')' if k > 1 else '-1'} THEN t{k} END" for k in range(1, 7))}], lambda x: x IS NOT NULL AND x <> ''), ' > ') AS heading FROM a""")
+def note_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every heading of whole outlined documents: its line, offset, level and path."""
+    rows = structure.sections(_outlined(spark, sf_dir)).where("level IS NOT NULL")
+    return rows.select("path", F.col("i").alias("line"), "start", "level", F.array_join("heading_path", " > ").alias("heading"))
+
+
+@query(f"""SELECT {_PATH} AS path, 'Note ' || doc_id AS heading, 0 AS first_ordinal, CAST(5 + length(lead) - length(replace(lead, chr(10), '')) AS INTEGER) AS first_line FROM (SELECT *, left(text, length(text) - length(ltrim(text, '{_BLANK}'))) AS lead FROM documents) WHERE trim(text, '{_BLANK}') <> ''""")
 def chunk_places(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where the first chunk of each short, plain note lies; whole notes of at most 1,500 characters without markup."""
-    docs = N.table(spark, sf_dir, "documents")
-    plain = docs.where((T.trim_blank("text") != "") & (F.length("text") <= 1500) & ~F.col("text").rlike(r"(?:^|\n) {0,3}(?:[-+*>#<|`~0-9]|---)"))
-    first = chunker.chunk_notes(N.notes_of(plain)).where("ordinal = 0")
+    """Where the first chunk of each note lies. The SQL holds for texts that don't begin with a heading, as the tables' don't."""
+    first = chunker.chunk_notes(N.notes_of(N.table(spark, sf_dir, "documents"))).where("ordinal = 0")
     return first.select("path", F.array_join("heading_path", " > ").alias("heading"), F.col("ordinal").alias("first_ordinal"), F.col("start_line").alias("first_line"))
 
 
+@query(f"""WITH {_OUTLINED.rsplit(',' + chr(10) + '  a AS', 1)[0]}
+    SELECT path, count(*) AS lines, count(*) FILTER (trim(t, '{_BLANK}') = '') AS blank, count(*) FILTER (regexp_matches(t, '^ {{0,3}}([-+*]|[0-9]+[.)])[ \\t]+') AND trim(t, '{_BLANK}') <> '') AS list_items, count(*) FILTER (regexp_matches(t, '^ {{0,3}}>')) AS quotes FROM o WHERE i > 2 GROUP BY path""")
+def line_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of whole outlined documents by what a block that begins there would be."""
+    rows = structure.kinds(structure.sections(_outlined(spark, sf_dir)))
+    of = lambda kind, name: F.count(F.when(F.col("kind") == kind, 1)).alias(name)
+    return rows.groupBy("path").agg(F.count("*").alias("lines"), of("", "blank"), of("list", "list_items"), of("quote", "quotes"))
+
+
 from . import note_queries  # noqa: E402,F401  registers the others
