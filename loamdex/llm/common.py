@@ -37,13 +37,18 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def written(df: DataFrame) -> DataFrame:
-    """Like ``checkpointed``, as compressed Parquet: for larger tables. The files go when the driver's Python ends."""
+def stored(df: DataFrame) -> tuple[DataFrame, str]:
+    """Like ``checkpointed``, as compressed Parquet: for larger tables, with the folder. The files go when the driver's Python ends, if not before."""
     spark = df.sparkSession
     path = f"{checkpoint_folder(spark)}/loamdex-table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(dropped, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``stored`` without the folder."""
+    return stored(df)[0]
 
 
 def released(spark: SparkSession) -> None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, media, mixing, sharding, simhash, substring, suffixarray, toxicity, urlfilter
+from . import chat, decontam, lloyd, media, mixing, sharding, simhash, substring, suffixarray, topk, toxicity, urlfilter, variants
 from .common import table
 
 
@@ -62,7 +62,43 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_mixing, op3_media, op4_sharding, op5_decontamination, op6_url_filter, op7_substring, op8_chat, op9_suffix_array, op10_toxicity)}
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_variants(table(spark, sf_dir, "documents")).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lloyd.summed(table(spark, sf_dir, "embeddings")).select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def op13_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.nearest(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_mixing, op3_media, op4_sharding, op5_decontamination, op6_url_filter, op7_substring, op8_chat, op9_suffix_array, op10_toxicity, op11_spelling_variants, op12_centroid_clustering, op13_exact_topk)}
+
+#: CRC-32's table, from its polynomial.
+_CRC = [0] * 256
+for _byte in range(256):
+    _value = _byte
+    for _ in range(8):
+        _value = _value >> 1 ^ (0xEDB88320 if _value & 1 else 0)
+    _CRC[_byte] = _value
+
+
+def _lloyd_sql(rounds: int = 10) -> str:
+    """Lloyd's rounds as one table after the other."""
+    out = """WITH v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+        c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || coalesce(CAST(vec_id AS VARCHAR), '')), v) - 1 AS c, v FROM v QUALIFY c < 8)"""
+    for k in range(rounds + 1):
+        out += f""",
+        a{k} AS MATERIALIZED (SELECT r, min(struct_pack(d := d, c := c)) AS best FROM (SELECT r, c, list_sum(list_transform(range(1, 65), lambda i: (v.v[i] - k.v[i]) * (v.v[i] - k.v[i]))) AS d FROM v, c{k} k) GROUP BY r)"""
+        if k < rounds:
+            out += f""",
+        s{k} AS (SELECT best.c AS c, i, CAST(floor(sum(v[i])::HUGEINT // count(*) - CASE WHEN sum(v[i]) < 0 AND sum(v[i])::HUGEINT % count(*) <> 0 THEN 1 ELSE 0 END) AS BIGINT) AS x FROM a{k} JOIN v USING (r), unnest(range(1, 65)) AS u(i) GROUP BY ALL),
+        c{k + 1} AS MATERIALIZED (SELECT c, coalesce(n.v, o.v) AS v FROM c{k} o LEFT JOIN (SELECT c, list(x ORDER BY i) AS v FROM s{k} GROUP BY c) n USING (c))"""
+    return out + f"""
+        SELECT vec_id, CAST(best.c AS INTEGER) AS cluster, CAST(best.d AS BIGINT) AS distance, CAST(sum(best.d) OVER (PARTITION BY best.c) AS BIGINT) AS cluster_inertia, CAST(sum(best.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(k.v, ',')) AS centroid_sha256 FROM a{rounds} JOIN v USING (r) JOIN c{rounds} k ON k.c = best.c"""
+
 
 ORACLE_SQL = {
     "op5_decontamination": r"""
@@ -95,4 +131,23 @@ ORACLE_SQL = {
         o AS (SELECT *, coalesce(sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, perspective, page, part ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(head) AS a FROM s)
         SELECT conv_id, perspective, page, part, CAST(count(*) AS INTEGER) AS n_turns, string_agg(head || body || chr(10), '' ORDER BY k) AS text,
         coalesce(string_agg(CASE WHEN who = perspective THEN CAST(a AS BIGINT) || '-' || CAST(a + length(body) AS BIGINT) END, ',' ORDER BY k), '') AS mask FROM o GROUP BY conv_id, perspective, page, part""",
+    "op11_spelling_variants": rf"""
+        WITH RECURSIVE t AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents),
+        g AS (SELECT doc_id, run, count(*) AS n FROM t WHERE length(run) >= 5 GROUP BY ALL),
+        h AS (SELECT run, n, xor(list_reduce(list_transform(regexp_extract_all(hex(encode(doc_id || ':' || run)), '..'), lambda x: CAST('0x' || x AS BIGINT)), lambda crc, b: xor({_CRC}[(xor(crc, b) & 255) + 1], crc >> 8), 4294967295), 4294967295) AS h FROM g),
+        m AS (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM h),
+        w AS MATERIALIZED (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM m WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+        x AS (SELECT word, n, substr(word, 1, i - 1) AS a, substr(word, i + 1) AS b FROM w, unnest(range(1, length(word) + 1)) AS u(i)),
+        p AS (SELECT x.word, y.word AS other, y.n FROM x JOIN x y ON x.a || '*' || x.b = y.a || '*' || y.b AND x.word <> y.word
+          UNION SELECT x.word, w.word, w.n FROM x JOIN w ON x.a || x.b = w.word UNION SELECT w.word, x.word, x.n FROM x JOIN w ON x.a || x.b = w.word),
+        q AS (SELECT word, count(*) AS n_near, min(struct_pack(less := -n, other := other)) AS best FROM p GROUP BY word),
+        f AS MATERIALIZED (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN -best.less >= 2 * n THEN best.other END AS form, CASE WHEN -best.less >= 2 * n THEN -best.less END AS form_n FROM w LEFT JOIN q USING (word)),
+        o AS (SELECT word, word AS at FROM f UNION ALL SELECT o.word, f.form FROM o JOIN f ON f.word = o.at WHERE f.form IS NOT NULL)
+        SELECT f.word, f.form, o.at AS root, f.n, CAST(f.n_near AS BIGINT) AS n_near, f.form_n FROM f JOIN o USING (word) JOIN f e ON e.word = o.at AND e.form IS NULL""",
+    "op12_centroid_clustering": _lloyd_sql(),
+    "op13_exact_topk": """
+        WITH v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+        s AS (SELECT q.r, q.vec_id AS query_id, c.vec_id, coalesce(list_sum(list_transform(range(1, least(len(q.v), len(c.v)) + 1), lambda i: q.v[i] * c.v[i])), 0) AS score FROM v q JOIN v c ON q.r <> c.r WHERE q.vec_id % 50 = 0),
+        k AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS k FROM s)
+        SELECT query_id, CAST(k AS INTEGER) AS rank, vec_id, CAST(score AS BIGINT) AS score FROM k WHERE k <= 5""",
 }
