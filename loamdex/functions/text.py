@@ -148,13 +148,13 @@ def append_section(content: str | Column, block: str | Column) -> Column:
 
 
 def strip_fences(c: str | Column) -> Column:
-    """Without code fence lines and their language names."""
-    return trim_blank(F.regexp_replace(col(c), r"(?m)^[ \t]*```[a-zA-Z]*[ \t]*$", ""))
+    """Without code fences, wherever they are, their language names, and the line end behind them."""
+    return trim_blank(F.regexp_replace(col(c), r"```[a-zA-Z]*\n?", ""))
 
 
 def flashcards(c: str | Column) -> Column:
     """Lines ``front::back`` with both sides filled, without bullets, numbers and fences; one string."""
-    lines = F.transform(F.split(strip_fences(c), r"\r?\n"), lambda x: trim_blank(F.regexp_replace(trim_blank(x), r"^(?:[-*+•]|\d+[.)])[ \t]+", "")))
+    lines = F.transform(F.split(strip_fences(c), r"\r?\n"), lambda x: trim_blank(F.regexp_replace(trim_blank(x), rf"^(?:[-*+•]|\d+[.)])[{BLANK}]+", "")))
 
     def whole(x: Column) -> Column:
         at = F.instr(x, "::")
@@ -198,22 +198,23 @@ def checked_path(path: str | Column) -> Column:
 
 
 def extracted_json(raw: str | Column) -> Column:
-    """The JSON part of a model's answer: fences go, it starts at the first bracket; null if it can't be parsed even when cut after the last bracket."""
-    plain = F.regexp_replace(col(raw), r"```(?:json)?", "")
-    body = let(plain, lambda p: trim_blank(F.substring(p, F.nullif(F.regexp_instr(p, F.lit(r"[\{\[]")), F.lit(0)), F.length(p))))
+    """The JSON part of a model's answer: fences go, it starts at the first bracket. Null unless that, or that up to the last bracket, is one JSON value as a whole."""
+    from .answers import whole_json
+
+    plain = trim_blank(F.regexp_replace(F.regexp_replace(col(raw), r"(?i)```json\n?", ""), r"```\n?", ""))
+    body = let(plain, lambda p: F.substring(p, F.nullif(F.regexp_instr(p, F.lit(r"[\{\[]")), F.lit(0)), F.length(p)))
 
     def parsed(b: Column) -> Column:
-        # the parser stops after the first value, so the text has to end with a bracket too
-        shorter = let(F.regexp_extract(b, r"(?s)^(.*[\}\]])", 1), lambda cut: F.when(F.try_parse_json(cut).isNotNull(), cut))
-        return F.when(F.try_parse_json(b).isNotNull() & b.rlike(r"[}\]]$"), b).otherwise(shorter)
+        shorter = let(F.regexp_extract(b, r"(?s)^(.*[\}\]])", 1), lambda cut: F.when(whole_json(cut).isNotNull(), cut))
+        return F.when(whole_json(b).isNotNull(), b).otherwise(shorter)
 
     return let(body, parsed)
 
 
 def dataview_query(raw: str | Column) -> Column:
-    """A query block without fences and its leading language name; null unless it starts as a query does."""
-    plain = trim_blank(F.regexp_replace(strip_fences(raw), r"(?i)^dataview\b", ""))
-    return F.when(plain.rlike(r"(?i)^(TABLE|LIST|TASK|CALENDAR|FROM)\b"), plain)
+    """A query block without fences and its leading language name; null unless its text starts as a query's does (``Tables`` does)."""
+    plain = F.regexp_replace(strip_fences(raw), rf"(?i)^dataview[{BLANK}]*", "")
+    return F.when(plain.rlike(r"(?i)^(TABLE|LIST|TASK|CALENDAR|FROM)"), plain)
 
 
 def truncated(content: str | Column, limit: int) -> Column:

@@ -7,17 +7,16 @@ from functools import reduce
 from itertools import groupby
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
+from .ordered import parted
+from .shared import checkpointed
 
 DAY_MS = 86_400_000
-#: Paths sampled for each cut of the path order.
-CUT_SAMPLE = 20
 
 
 def js_round(x: Column) -> Column:
@@ -139,20 +138,34 @@ def fold_batches(sizes: list[int], state: tuple[int, int], batch_files: int, bat
     return opens, (n, chars)
 
 
-def exits(sizes: list, after: list, batch_files: int, batch_chars: int) -> list[tuple[int, int]]:
-    """For each number of leading notes that belong to an earlier batch: how many notes after the range its last batch takes, and the batches begun in it.
+class Exits:
+    """For each number of leading notes that belong to an earlier batch: how many notes after a range its last batch takes, and the batches begun in it.
 
-    ``after``: sizes of the next notes, as many as a batch may still take.
+    The sizes come bit by bit; folds that have come to the same open batch go on as one.
     """
-    out: list[tuple[int, int]] = []
-    for entry in range(batch_files):
-        if entry >= len(sizes):
-            out.append((entry - len(sizes), 0))
-            continue
-        opens, state = fold_batches(sizes[entry:], (0, 0), batch_files, batch_chars)
-        taken = fold_batches(after, state, batch_files, batch_chars)[0]
-        out.append((taken.index(True) if True in taken else len(taken), 1 + sum(opens)))
-    return out
+
+    def __init__(self, batch_files: int, batch_chars: int):
+        self.files, self.chars, self.seen = batch_files, batch_chars, 0
+        #: Folds by their open batch, (notes, characters): the entries that have come to it, with the batches each has begun.
+        self.folds: dict[tuple[int, int], dict[int, int]] = {}
+
+    def take(self, sizes: list[int]) -> None:
+        for size in sizes:
+            grown: dict[tuple[int, int], dict[int, int]] = {}
+            for (n, chars), begun in self.folds.items():
+                full = n >= self.files or chars + size > self.chars
+                grown.setdefault((1, size) if full else (n + 1, chars + size), {}).update({e: k + full for e, k in begun.items()} if full else begun)
+            if self.seen < self.files:
+                grown.setdefault((1, size), {})[self.seen] = 1
+            self.folds, self.seen = grown, self.seen + 1
+
+    def result(self, after: list[int]) -> list[tuple[int, int]]:
+        """after: sizes of the next notes, as many as a batch may still take."""
+        out = {e: (e - self.seen, 0) for e in range(self.seen, self.files)}
+        for state, begun in self.folds.items():
+            taken = fold_batches(after, state, self.files, self.chars)[0]
+            out |= {e: (taken.index(True) if True in taken else len(taken), k) for e, k in begun.items()}
+        return [out[e] for e in range(self.files)]
 
 
 def packed(notes: DataFrame, batch_files: int = 5, batch_chars: int = 20_000, parts: int = 0) -> DataFrame:
@@ -167,16 +180,9 @@ def packed(notes: DataFrame, batch_files: int = 5, batch_chars: int = 20_000, pa
     """
     files = max(batch_files, 1)
     parts = parts or int(notes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = notes.select("path", F.coalesce(F.col("size").cast("long"), F.lit(0)).alias("size"))
-    some = rows.where("path IS NOT NULL").orderBy(F.xxhash64("path"), "path").limit(parts * CUT_SAMPLE).select("path").collect() if parts > 1 else []
-    sample = sorted({r.path for r in some})
-    cuts = np.array(sorted({sample[len(sample) * i // parts] for i in range(1, parts)} if sample else ()), object)
-
-    @F.pandas_udf("int")
-    def part_of(paths: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(cuts, paths.fillna("").to_numpy(object), side="right"), dtype="int32")
-
-    placed = rows.withColumn("part", part_of("path") if len(cuts) else F.lit(0)).repartition(parts, "part").sortWithinPartitions("part", "path", "size")
+    # sizes are computed once; all that follows reads paths and sizes alone
+    rows = checkpointed(notes.select("path", F.coalesce(F.col("size").cast("long"), F.lit(0)).alias("size")))
+    placed = parted(rows, F.col("path"), "part", parts).repartition(parts, "part").sortWithinPartitions("part", "path", "size")
 
     def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
         """Each batch's stretches of one part."""
@@ -206,8 +212,10 @@ def packed(notes: DataFrame, batch_files: int = 5, batch_chars: int = 20_000, pa
 
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, stretches in groupby(ranges(batches), lambda x: x[0]):
-            sizes = [s for _, batch in stretches for s in batch.column("size").to_pylist()]
-            found = exits(sizes, after[part], files, batch_chars)
+            folds = Exits(files, batch_chars)
+            for _, batch in stretches:
+                folds.take(batch.column("size").to_pylist())
+            found = folds.result(after[part])
             yield pa.RecordBatch.from_pylist([{"part": part, "entry": e, "leaves": leaves, "begun": begun} for e, (leaves, begun) in enumerate(found)], pa.schema({"part": pa.int32(), "entry": pa.int32(), "leaves": pa.int32(), "begun": pa.int64()}))
 
     steps = {(r.part, r.entry): (r.leaves, r.begun) for r in placed.mapInArrow(mapped, "part int, entry int, leaves int, begun long").collect()} if len(known) > 1 else {}

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import providers as P
 from ..functions import text as T
-from ..operators import audit, contract
+from ..operators import audit, contract, names
 from ..sources import notes as N
 from . import reports, rewrite
 from .registry import query
@@ -92,7 +92,7 @@ def note_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.resolved_links(N.with_metadata(notes))
 
 
-_QUERY = _trim(f"""regexp_replace({_trim("regexp_replace(raw, '(?m)^[ \\t]*```[a-zA-Z]*[ \\t]*$', '', 'g')")}, '(?i)^dataview\\b', '')""")
+_QUERY = f"""regexp_replace({_trim("regexp_replace(raw, '```[a-zA-Z]*' || chr(10) || '?', '', 'g')")}, '(?i)^dataview[{_BLANK}]*', '')"""
 _HEADS = ["## Related", "## Siehe auch"]
 
 
@@ -106,14 +106,17 @@ def added_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "has", F.md5(new.cast("binary")).alias("content_md5"))
 
 
-@query(f"""WITH t AS (SELECT conv_id, turn, '```dataview' || chr(10) || CASE turn % 4 WHEN 0 THEN 'TABLE ' WHEN 1 THEN 'list ' WHEN 2 THEN 'dataview' || chr(10) || 'FROM ' ELSE 'Tables ' END || text || chr(10) || '```  ' AS raw FROM conversations),
+@query(f"""WITH t AS (SELECT conv_id, turn, CASE turn % 7 WHEN 0 THEN '```dataview' || chr(10) || 'TABLE ' || text || chr(10) || '```  ' WHEN 1 THEN '```dataview list ' || text || '```' WHEN 2 THEN 'DATAVIEW' || chr(10) || chr(10) || 'FROM ' || text WHEN 3 THEN 'Tables ' || text WHEN 4 THEN 'Sure! TABLE ' || text WHEN 5 THEN 'dataviewcalendar ' || text ELSE '```' || text || '``` TASK' END AS raw FROM conversations),
     p AS (SELECT conv_id, turn, {_QUERY} AS q FROM t)
-    SELECT conv_id, turn, md5(q) AS query_md5 FROM p WHERE regexp_matches(q, '(?i)^(TABLE|LIST|TASK|CALENDAR|FROM)\\b')""")
+    SELECT conv_id, turn, md5(q) AS query_md5 FROM p WHERE regexp_matches(q, '(?i)^(TABLE|LIST|TASK|CALENDAR|FROM)')""")
 def query_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fences around and inside lines, language names that touch the query, longer words that begin as a query's does, and texts that don't."""
     turns = N.table(spark, sf_dir, "conversations")
-    kind = F.col("turn") % 4
-    first = F.when(kind == 0, "TABLE ").when(kind == 1, "list ").when(kind == 2, "dataview\nFROM ").otherwise("Tables ")
-    rows = turns.select("conv_id", "turn", T.dataview_query(F.concat(F.lit("```dataview\n"), first, "text", F.lit("\n```  "))).alias("q"))
+    around = {0: ("```dataview\nTABLE ", "\n```  "), 1: ("```dataview list ", "```"), 2: ("DATAVIEW\n\nFROM ", ""), 3: ("Tables ", ""), 4: ("Sure! TABLE ", ""), 5: ("dataviewcalendar ", ""), 6: ("```", "``` TASK")}
+    kind, raw = F.pmod("turn", F.lit(7)), F.lit(None).cast("string")
+    for k, (before, after) in around.items():
+        raw = F.when(kind == k, F.concat(F.lit(before), "text", F.lit(after))).otherwise(raw)
+    rows = turns.select("conv_id", "turn", T.dataview_query(raw).alias("q"))
     return rows.where("q IS NOT NULL").select("conv_id", "turn", F.md5(F.col("q").cast("binary")).alias("query_md5"))
 
 
@@ -230,10 +233,44 @@ def _clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("seq", title.alias("name"), F.lit("About it").alias("description"), F.when(F.col("seq") % 2 == 0, F.concat(title, F.lit(": a/b"))).alias("moc"), "paths")
 
 
-@query(f"""WITH {_CLUSTER} SELECT seq, 'Topic ' || seq || CASE WHEN seq % 2 = 0 THEN ' a b' ELSE '' END AS file_name, md5('---' || chr(10) || 'type: moc' || chr(10) || '---' || chr(10) || chr(10) || '# Topic ' || seq || chr(10) || chr(10) || 'About it' || chr(10) || chr(10) || array_to_string(ls, chr(10)) || chr(10)) AS content_md5, true AS generated FROM cl""")
+_MAPS = f"""cluster AS (SELECT seq, coalesce(CASE WHEN seq % 4 > 0 THEN 'Topic: ' || seq % 7 END, '') AS name, CASE WHEN seq % 3 > 0 THEN 'About it' ELSE '' END AS about, ls FROM cl),
+  own AS (SELECT 'Topic ' || doc_id // 50 % 7 || CASE WHEN doc_id % 50 > 0 THEN '-' || doc_id % 50 + 1 ELSE '' END AS name, doc_id // 50 % 7 AS topic, doc_id % 50 + 1 AS number, bool_or(doc_id % 2 = 0) AS generated FROM documents WHERE doc_id % 3 = 0 GROUP BY ALL),
+  base AS (SELECT *, CASE WHEN name = '' THEN 'MOC' ELSE replace(name, ':', '') END AS base FROM cluster), ranked AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY seq) AS r FROM base),
+  free AS (SELECT base, n, row_number() OVER (PARTITION BY base ORDER BY n) AS r FROM (SELECT DISTINCT base FROM base), unnest(range(1, (SELECT count(*) + 60 FROM base))) AS u(n) WHERE NOT EXISTS (SELECT 1 FROM own WHERE NOT generated AND 'Topic ' || topic = base AND number = n))"""
+
+
+def _maps(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Clusters of fifty documents, a quarter without a name, the others with seven names among them, and notes of the map folder, half of them generated earlier."""
+    seq = F.col("seq")
+    clusters = _clusters(spark, sf_dir).withColumns({"name": F.when(seq % 4 > 0, F.concat(F.lit(" Topic: "), (seq % 7).cast("string"))), "description": F.when(seq % 3 > 0, " About it ")})
+    number = F.col("doc_id") % 50 + 1
+    path = F.concat(F.lit("MOCs/Topic "), (F.floor(F.col("doc_id") / 50) % 7).cast("string"), F.when(number > 1, F.concat(F.lit("-"), number.cast("string"))).otherwise(""), F.lit(".md"))
+    content = F.concat(F.when(F.col("doc_id") % 2 == 0, "---\ntype: moc\n---\n").otherwise(""), F.coalesce("text", F.lit("")))
+    notes = N.table(spark, sf_dir, "documents").where("doc_id % 3 = 0").select(path.alias("path"), content.alias("content"), (F.col("doc_id") % 2).alias("hand"))
+    # a path has one note: a generated one if there is any
+    return clusters, notes.groupBy("path").agg(F.min_by("content", "hand").alias("content"))
+
+
+@query(f"""WITH {_CLUSTER}, {_MAPS}
+    SELECT seq, 'MOCs/' || base || CASE WHEN n > 1 THEN '-' || n ELSE '' END || '.md' AS path, EXISTS (SELECT 1 FROM own WHERE generated AND 'Topic ' || topic = base AND number = n) AS overwrites,
+    md5('---' || chr(10) || 'type: moc' || chr(10) || '---' || chr(10) || chr(10) || '# ' || CASE WHEN name = '' THEN 'MOC' ELSE name END || chr(10) || chr(10) || about || chr(10) || chr(10) || '## Notes (' || len(ls) || ')' || chr(10) || chr(10) || array_to_string(ls, chr(10)) || chr(10)) AS content_md5
+    FROM ranked JOIN free USING (base, r)""")
 def map_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = reports.moc_notes(_clusters(spark, sf_dir))
-    return rows.select("seq", "file_name", F.md5(F.col("content").cast("binary")).alias("content_md5"), N.is_generated_map("content").alias("generated"))
+    """Map notes under free names: generated ones are written over, others stay."""
+    clusters, notes = _maps(spark, sf_dir)
+    return reports.placed_mocs(clusters, notes).select("seq", "path", "overwrites", F.md5(F.col("content").cast("binary")).alias("content_md5"))
+
+
+@query("""WITH w AS (SELECT doc_id AS seq, coalesce(source, '?') AS name, row_number() OVER (PARTITION BY coalesce(source, '?') ORDER BY doc_id) AS r FROM documents),
+    taken AS (SELECT DISTINCT coalesce(source, '?') AS name, doc_id % 50 + 1 AS n FROM documents WHERE doc_id % 7 = 0),
+    free AS (SELECT name, n, row_number() OVER (PARTITION BY name ORDER BY n) AS r FROM (SELECT name, count(*) AS k FROM w GROUP BY name), unnest(range(1, k + 52)) AS u(n) WHERE NOT EXISTS (SELECT 1 FROM taken t WHERE t.name = w.name AND t.n = u.n))
+    SELECT seq, name || CASE WHEN n > 1 THEN '-' || n ELSE '' END AS free FROM w JOIN free USING (name, r)""".replace("FROM (SELECT name, count(*) AS k FROM w GROUP BY name), unnest", "FROM (SELECT name, count(*) AS k FROM w GROUP BY name) w, unnest"))
+def free_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document wants its source for a name, where some numbers of each source are taken."""
+    docs = N.table(spark, sf_dir, "documents")
+    source, number = F.coalesce("source", F.lit("?")), F.col("doc_id") % 50 + 1
+    taken = docs.where("doc_id % 7 = 0").select(F.concat(F.upper(source), F.when(number > 1, F.concat(F.lit("-"), number.cast("string"))).otherwise("")).alias("name"))
+    return names.free_names(docs.select(F.col("doc_id").alias("seq"), source.alias("name")), taken).select("seq", "free")
 
 
 @query(f"""WITH {_CLUSTER} SELECT seq, '## Topic ' || seq || chr(10) || 'About it' || chr(10) || array_to_string(ls[1:20], chr(10)) || CASE WHEN len(ls) > 20 THEN chr(10) || '- …and ' || (len(ls) - 20) || ' more' ELSE '' END AS section FROM cl""")
@@ -241,17 +278,33 @@ def cluster_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.cluster_report(_clusters(spark, sf_dir)).select("seq", "section")
 
 
-@query(f"""SELECT 'c' || conv_id || '/t' || turn || '.md' AS path, role || ' ' || turn AS file_name, md5('# ' || role || '/' || turn || chr(10) || chr(10) || {_trim("text")} || chr(10) || chr(10) || 'Source: [[c' || conv_id || '/t' || turn || '|t' || turn || ']]' || chr(10)) AS content_md5
-    FROM conversations WHERE conv_id % 3 <> 0 AND {_trim("text")} <> ''""")
-def atomic_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each turn's answer holds an atom and two that lack a title or a body; a third of the answers can't be read."""
+_ATOM = f"""t AS (SELECT *, 'c' || conv_id || '/t' || turn || '.md' AS source, text || CASE WHEN turn % 7 = 5 THEN chr(10) || '## Atomic notes' ELSE '' END AS content FROM conversations),
+    a AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role ORDER BY source) AS r FROM t WHERE conv_id % 3 <> 0 AND turn % 7 <> 5 AND {_trim("text")} <> ''),
+    m AS (SELECT source, 'c' || conv_id || '/' || role || CASE WHEN r > 1 THEN '-' || r ELSE '' END AS target, role, text, content FROM a)"""
+
+
+def _atomized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each turn's answer holds an atom named after its role and two that lack a title or a body; a third of the answers can't be read, a seventh of the notes has atoms already."""
     turns = N.table(spark, sf_dir, "conversations")
-    title = F.concat("role", F.lit("/"), F.col("turn").cast("string"))
     atom = lambda t, b: F.struct(t.alias("title"), b.alias("body"))
-    answer = F.concat(F.lit("Atoms:\n"), F.to_json(F.array(atom(title, F.col("text")), atom(F.lit(" "), F.col("text")), atom(title, F.lit("")))))
+    listed = F.array(atom(F.col("role"), F.col("text")), atom(F.lit(" "), F.col("text")), atom(F.col("role"), F.lit("")))
+    answer = F.concat(F.lit("Atoms:\n"), F.when(F.col("turn") % 2 == 0, F.to_json(listed)).otherwise(F.to_json(F.struct(listed.alias("atoms")))))
     path = F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("/t"), F.col("turn").cast("string"), F.lit(".md"))
-    rows = reports.atoms(turns.select(path.alias("path"), F.when(F.col("conv_id") % 3 == 0, "sorry").otherwise(answer).alias("answer")))
-    return rows.select("path", "file_name", F.md5(F.col("content").cast("binary")).alias("content_md5"))
+    content = F.when(F.col("turn") % 7 == 5, F.concat("text", F.lit("\n## Atomic notes"))).otherwise(F.col("text"))
+    return turns.select(path.alias("path"), content.alias("content"), F.when(F.col("conv_id") % 3 == 0, "sorry").otherwise(answer).alias("answer"))
+
+
+@query(f"""WITH {_ATOM} SELECT source, target || '.md' AS path, md5('---' || chr(10) || 'type: atom' || chr(10) || '---' || chr(10) || chr(10) || '# ' || role || chr(10) || chr(10) || {_trim("text")} || chr(10)) AS content_md5 FROM m""")
+def atomic_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = reports.atoms(_atomized(spark, sf_dir))
+    return rows.select("source", "path", F.md5(F.col("content").cast("binary")).alias("content_md5"))
+
+
+@query(f"""WITH {_ATOM} SELECT source AS path, md5(regexp_replace(content, '[{_BLANK}]+$', '') || chr(10) || chr(10) || '## Atomic notes' || chr(10) || chr(10) || '- [[' || target || '|' || string_split(target, '/')[-1] || ']]' || chr(10)) AS content_md5 FROM m""")
+def linked_originals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The notes atoms were made of, with links to them at the end."""
+    notes = _atomized(spark, sf_dir)
+    return reports.linked_originals(notes, reports.atoms(notes)).select("path", F.md5(F.col("content").cast("binary")).alias("content_md5"))
 
 
 _REWRITE = f"""SELECT {_PATH} AS path, text, 'doc-' || lpad(CAST(doc_id AS VARCHAR), 6, '0') || '.md' AS name, CASE WHEN doc_id % 13 = 0 THEN 'timeout' WHEN doc_id % 17 = 0 THEN 'no answer' END AS error FROM documents"""
@@ -282,14 +335,32 @@ def free_model_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.free_models(models)
 
 
-@query("""SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN NULL ELSE md5(text) END AS content_md5, CASE WHEN turn % 3 = 0 THEN 429 END AS error FROM conversations WHERE text <> ''""")
+@query("""SELECT conv_id, turn, CASE turn % 9 WHEN 1 THEN md5(text) WHEN 7 THEN md5('') END AS content_md5, CASE turn % 9 WHEN 0 THEN CAST(429 AS DOUBLE) END AS code,
+    CASE turn % 9 WHEN 0 THEN 'error' WHEN 1 THEN NULL WHEN 4 THEN 'not JSON' WHEN 6 THEN 'error' WHEN 7 THEN NULL ELSE 'wrong shape' END AS fault FROM conversations WHERE text IS NOT NULL""")
 def chat_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Responses with a message, or with an error whose number alone is passed on."""
-    turns = N.table(spark, sf_dir, "conversations").where("text <> ''")
-    good = F.to_json(F.struct(F.array(F.struct(F.struct(F.col("role"), F.col("text").alias("content")).alias("message"))).alias("choices")))
-    bad = F.to_json(F.struct(F.struct(F.lit(429).alias("code"), F.col("text").alias("message")).alias("error")))
-    raw = F.when(F.col("turn") % 3 == 0, bad).otherwise(good)
-    return turns.select("conv_id", "turn", F.md5(P.chat_content(raw).cast("binary")).alias("content_md5"), P.error_code(raw).alias("error"))
+    """Responses with whole texts: right ones, an empty one, errors whose number alone is passed on, wrong types in the places that count, and two values in one."""
+    turns = N.table(spark, sf_dir, "conversations").where("text IS NOT NULL")
+    said = lambda content: F.to_json(F.struct(F.array(F.struct(F.struct(F.col("role"), content.alias("content")).alias("message"))).alias("choices")))
+    failed = lambda code: F.to_json(F.struct(F.struct(code.alias("code"), F.col("text").alias("message")).alias("error")))
+    good, kind = said(F.col("text")), F.pmod("turn", F.lit(9))
+    raw = F.when(kind == 0, failed(F.lit(429))).when(kind == 1, good).when(kind == 2, said(F.length("text"))).when(kind == 3, F.to_json(F.struct(F.col("text").alias("choices")))).when(kind == 4, F.concat(good, good))
+    raw = raw.when(kind == 5, said(F.array("text"))).when(kind == 6, failed(F.col("text"))).when(kind == 7, said(F.lit(""))).otherwise(F.to_json(F.array("text")))
+    return turns.select("conv_id", "turn", P.answers.answer(raw).alias("a")).select("conv_id", "turn", F.md5(F.col("a.content").cast("binary")).alias("content_md5"), "a.code", "a.fault")
+
+
+@query("""WITH v AS (SELECT vec_id // 5 AS document, vec_id, embedding, count(*) OVER (PARTITION BY vec_id // 5) AS n FROM embeddings)
+    SELECT document, CASE document % 6 WHEN 2 THEN 'indices aren''t a permutation' WHEN 3 THEN 'another number of embeddings' WHEN 4 THEN 'no vector' WHEN 5 THEN 'no embeddings' END AS fault,
+    CASE WHEN document % 6 < 2 THEN round(sum(CASE WHEN document % 6 = 0 THEN n - vec_id % 5 ELSE vec_id % 5 + 1 END * CAST(embedding[1] AS DOUBLE)), 4) END AS checksum FROM v GROUP BY document""")
+def embedding_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embedding responses of five texts each: in order, by index from the back, with a repeated index, one too few, a text for a vector, and none; checksum: places times first components."""
+    rows = N.table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 5).alias("document"), "vec_id", "embedding").groupBy("document")
+    items = F.array_sort(F.collect_list(F.struct("vec_id", "embedding")))
+    rows = rows.agg(items.alias("items")).withColumns({"n": F.size("items"), "kind": F.col("document") % 6})
+    listed = lambda index: F.to_json(F.struct(F.transform("items", lambda x, i: F.struct(*([index(i).alias("index")] if index else []), x["embedding"].alias("embedding"))).alias("data")))
+    raw = F.when(F.col("kind") == 0, listed(lambda i: F.col("n") - 1 - i)).when(F.col("kind") == 2, listed(lambda i: i * 0 + 1)).when(F.col("kind") == 4, F.to_json(F.struct(F.transform("items", lambda x: F.struct(x["vec_id"].cast("string").alias("embedding"))).alias("data")))).when(F.col("kind") == 5, F.lit('{"data": []}')).otherwise(listed(None))
+    read = rows.select("document", P.answers.embedding_response(raw, F.col("n") + F.when(F.col("kind") == 3, 1).otherwise(0)).alias("a"))
+    total = F.aggregate(F.transform("a.vectors", lambda v, i: v[0] * (i + 1)), F.lit(0.0), lambda s, x: s + x)
+    return read.select("document", "a.fault", F.round(total, 4).alias("checksum"))
 
 
 @query("""SELECT item_id, md5('{"model":"m","messages":[{"role":"system","content":"Be brief."},{"role":"user","content":' || CAST(to_json(text) AS VARCHAR) || '}],"temperature":0.7,"max_tokens":2000,"repetition_penalty":1.15,"frequency_penalty":0.1}') AS body_md5 FROM benchmark""")
@@ -306,3 +377,11 @@ def chat_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 def audit_canvas(spark: SparkSession, sf_dir: str) -> DataFrame:
     notes = _docs(spark, sf_dir).select("path", F.array("lang").alias("tags"), (F.col("doc_id") % 4).alias("n_links"), F.lit(0).alias("n_backlinks"))
     return reports.audit_canvas(audit.totals(notes), audit.most(audit.folder_counts(notes), "folder", 10), "2024-01-02", "Link more. " * 100)
+
+
+@query(f"""WITH l AS (SELECT {_PATH} AS path, {_PATH} || ' | #' || lang || ' #' || source || ' | ' || doc_id % 4 AS line FROM documents), t AS (SELECT string_agg(line, chr(10) ORDER BY path, line) AS s FROM l)
+    SELECT CASE WHEN length(s) > 20000 THEN substr(s, 1, 20000) || chr(10) || '[cut]' ELSE s END AS snapshot FROM t""")
+def vault_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A line per note in path order, up to 20,000 characters; beyond them nothing is gathered."""
+    notes = _docs(spark, sf_dir).select("path", F.array(F.concat(F.lit("#"), "lang"), F.concat(F.lit("#"), "source")).alias("tags"), (F.col("doc_id") % 4).alias("n_links"))
+    return reports.snapshot_text(notes, 20_000)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import providers as P
@@ -174,7 +174,7 @@ def note_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH t AS (SELECT conv_id, turn, '- ' || role || '::' || text AS c FROM conversations),
-    l AS (SELECT conv_id, turn, i, trim(regexp_replace(trim(ls[i], '{_BLANK}'), '^(?:[-*+•]|\\d+[.)])[ \\t]+', ''), '{_BLANK}') AS x FROM (SELECT conv_id, turn, string_split(trim(c, '{_BLANK}'), chr(10)) AS ls FROM t), unnest(range(1, len(ls) + 1)) AS u(i))
+    l AS (SELECT conv_id, turn, i, trim(regexp_replace(trim(ls[i], '{_BLANK}'), '^(?:[-*+•]|\\d+[.)])[{_BLANK}]+', ''), '{_BLANK}') AS x FROM (SELECT conv_id, turn, string_split(trim(c, '{_BLANK}'), chr(10)) AS ls FROM t), unnest(range(1, len(ls) + 1)) AS u(i))
     SELECT conv_id, turn, coalesce(string_agg(x, chr(10) ORDER BY i) FILTER (strpos(x, '::') > 0 AND trim(substr(x, 1, strpos(x, '::') - 1), '{_BLANK}') <> '' AND trim(substr(x, strpos(x, '::') + 2), '{_BLANK}') <> ''), '') AS cards FROM l GROUP BY conv_id, turn""")
 def flashcards(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = N.table(spark, sf_dir, "conversations")
@@ -195,13 +195,15 @@ def folder_ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.table(spark, sf_dir, "documents").select(F.explode(T.folder_ancestors(N.note_path())).alias("folder")).distinct()
 
 
-@query(r"""SELECT doc_id, CASE WHEN doc_id % 4 = 3 THEN NULL ELSE '{"a": [' || CAST(doc_id AS VARCHAR) || ']}' END AS json FROM documents""")
+@query("""SELECT doc_id, CASE WHEN doc_id % 7 < 4 THEN md5('{"a":' || CAST(to_json(coalesce(text, '')) AS VARCHAR) || '}') END AS json_md5 FROM documents""")
 def extracted_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts in answers: fenced, with words or a stray bracket behind, alone; two values, a bracket too many and no bracket give nothing."""
     docs = N.table(spark, sf_dir, "documents")
-    body = F.concat(F.lit('{"a": ['), F.col("doc_id").cast("string"), F.lit("]}"))
-    kinds = F.pmod("doc_id", F.lit(4))
-    raw = F.when(kinds == 0, F.concat(F.lit("Here:\n```json\n"), body, F.lit("\n```"))).when(kinds == 1, F.concat(body, F.lit("  trailing words"))).when(kinds == 2, F.concat(F.lit(" "), body)).otherwise("no brackets, or {only one")
-    return docs.select("doc_id", T.extracted_json(raw).alias("json"))
+    body = F.to_json(F.struct(F.coalesce("text", F.lit("")).alias("a")))
+    kinds = F.pmod("doc_id", F.lit(7))
+    raw = F.when(kinds == 0, F.concat(F.lit("Here:\n```json\n"), body, F.lit("\n```"))).when(kinds == 1, F.concat(body, F.lit("  trailing words"))).when(kinds == 2, F.concat(F.lit(" "), body)).when(kinds == 3, F.concat(F.lit("```"), body, F.lit("```")))
+    raw = raw.when(kinds == 4, F.concat(body, F.lit(" and "), body)).when(kinds == 5, F.concat(body, F.lit(" see ] there"))).otherwise(F.concat("lang", F.lit(": no brackets")))
+    return docs.select("doc_id", F.md5(T.extracted_json(raw).cast("binary")).alias("json_md5"))
 
 
 # structural audit: notes of documents, links of pages
@@ -389,17 +391,15 @@ def audit_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.reduce_groups(audit.packed(notes)).select("batch", "path", "position", "reduce_group")
 
 
-_CLUSTERS = f"""c AS (SELECT doc_id AS seq, CASE doc_id % 4 WHEN 0 THEN ' ' || source || ' ' WHEN 1 THEN upper(source) WHEN 2 THEN source ELSE '' END AS name, substr(text, 1, CAST(doc_id % 17 AS INTEGER)) AS about, [{_PATH}, 'shared/' || lang || '.md'] AS paths, CASE WHEN doc_id % 5 = 0 THEN 'MOC ' || source WHEN doc_id % 5 = 1 THEN ' ' END AS moc FROM documents),
+_CLUSTERS = f"""c AS (SELECT doc_id AS seq, CASE doc_id % 4 WHEN 0 THEN ' ' || source || ' ' WHEN 1 THEN upper(source) WHEN 2 THEN source ELSE '' END AS name, text AS about, [{_PATH}, 'shared/' || lang || '.md'] AS paths, CASE WHEN doc_id % 5 = 0 THEN 'MOC ' || source WHEN doc_id % 5 = 1 THEN ' ' END AS moc FROM documents),
   k AS (SELECT *, CASE WHEN trim(name) = '' THEN '#' || seq ELSE '=' || lower(trim(name)) END AS key, trim(about, '{_BLANK}') AS d FROM c)"""
 
 
-def _clusters(spark: SparkSession, sf_dir: str, about: Column | None = None) -> DataFrame:
+def _clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds, fives = F.col("doc_id") % 4, F.col("doc_id") % 5
     name = F.when(kinds == 0, F.concat(F.lit(" "), "source", F.lit(" "))).when(kinds == 1, F.upper("source")).when(kinds == 2, F.col("source")).otherwise("")
     moc = F.when(fives == 0, F.concat(F.lit("MOC "), "source")).when(fives == 1, " ")
-    if about is None:
-        about = F.substring("text", F.lit(1), (F.col("doc_id") % 17).cast("int"))
-    return N.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq"), name.alias("name"), about.alias("description"), F.array(N.note_path(), F.concat(F.lit("shared/"), "lang", F.lit(".md"))).alias("paths"), moc.alias("moc"))
+    return N.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("seq"), name.alias("name"), F.col("text").alias("description"), F.array(N.note_path(), F.concat(F.lit("shared/"), "lang", F.lit(".md"))).alias("paths"), moc.alias("moc"))
 
 
 @query(f"""WITH {_CLUSTERS}, p AS (SELECT key, path, min(seq * 10 + i) AS spot FROM (SELECT key, seq, paths[i] AS path, i FROM k, unnest(range(1, 3)) AS u(i)) GROUP BY ALL)
@@ -419,7 +419,7 @@ def cluster_members(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def cluster_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Merged clusters with whole texts as descriptions and counts of paths; checked in tests."""
-    return audit.cluster_heads(_clusters(spark, sf_dir, F.col("text")))
+    return audit.cluster_heads(_clusters(spark, sf_dir))
 
 
 @query()

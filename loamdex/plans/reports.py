@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import providers as P
 from ..functions import text as T
+from ..operators import names, ordered
 from ..operators.audit import js_round
+from ..sources import notes as N
 
 SNAPSHOT_CHARS, CLUSTER_LINKS, CANVAS_LINKS, RADIUS = 300_000, 20, 10, 700
 
@@ -14,8 +19,7 @@ SNAPSHOT_CHARS, CLUSTER_LINKS, CANVAS_LINKS, RADIUS = 300_000, 20, 10, 700
 def snapshot_text(notes: DataFrame, limit: int = SNAPSHOT_CHARS) -> DataFrame:
     """(snapshot): a line per note in path order, cut at ``limit`` characters with a mark."""
     line = F.concat(F.col("path"), F.lit(" | "), F.array_join("tags", " "), F.lit(" | "), F.col("n_links").cast("string"))
-    rows = notes.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", line.alias("line")))), lambda x: x["line"]), "\n").alias("s"))
-    return rows.select(F.when(F.length("s") > limit, F.concat(F.substring("s", 1, limit), F.lit("\n[cut]"))).otherwise(F.col("s")).alias("snapshot"))
+    return ordered.text_up_to(notes, F.col("path"), line, limit, "\n[cut]").withColumnRenamed("text", "snapshot")
 
 
 def dashboard(totals: DataFrame, folders: DataFrame, tags: DataFrame) -> DataFrame:
@@ -80,30 +84,71 @@ def audit_canvas(totals: DataFrame, folders: DataFrame, day: str, advice: str) -
     return one.select(F.to_json(F.struct(F.array(*nodes).alias("nodes"), F.array(*edges).alias("edges"))).alias("canvas"))
 
 
-def free_names(wanted: list[str], taken: set[str]) -> list[str]:
-    """Each name, or with -2, -3, ... behind it, so that none is taken; few names, on the driver."""
-    out, taken = [], {t.lower() for t in taken}
-    for name in wanted:
-        new, n = name, 2
-        while new.lower() in taken:
-            new, n = f"{name}-{n}", n + 1
-        taken.add(new.lower())
-        out.append(new)
-    return out
+def described(clusters: DataFrame, model: Callable[[], P.LanguageModel], system: str, files: int = 30) -> DataFrame:
+    """clusters with ``error``; those without a description get a model's, from their name and first paths. A failed call leaves its cluster undescribed."""
+    blank = T.trim_blank(F.coalesce("description", F.lit(""))) == ""
+    asked = F.concat_ws("\n", F.coalesce("name", F.lit("")), F.array_join(F.slice(F.coalesce("paths", F.array().cast("array<string>")), 1, files), "\n"))
+    told = P.completed(clusters.where(blank).withColumn("_asked", asked), model, system, "_asked").withColumn("description", T.trim_blank("answer")).drop("_asked", "answer")
+    return clusters.where(~blank).withColumn("error", F.lit(None).cast("string")).unionByName(told.select(*clusters.columns, "error"))
+
 
+def moc_notes(clusters: DataFrame, date: str = "") -> DataFrame:
+    """(seq, file_name, content) of a map note per cluster, named after it (without a name: MOC); names still have to be made free, see ``placed_mocs``.
 
-def moc_notes(clusters: DataFrame) -> DataFrame:
-    """(seq, file_name, content) of a map note per cluster; names still have to be made free."""
-    name = F.coalesce(F.nullif(T.file_name(F.coalesce("moc", "name")), F.lit("")), F.lit("Untitled"))
-    links = F.array_join(F.transform("paths", lambda p: F.concat(F.lit("- "), T.wiki_link(p))), "\n")
-    return clusters.select("seq", name.alias("file_name"), F.concat(F.lit("---\ntype: moc\n---\n\n# "), F.col("name"), F.lit("\n\n"), F.col("description"), F.lit("\n\n"), links, F.lit("\n")).alias("content"))
+    clusters: (seq, name, description, paths). date: for the frontmatter, if given.
+    """
+    name, paths = T.trim_blank(F.coalesce("name", F.lit(""))), F.coalesce("paths", F.array().cast("array<string>"))
+    base = F.coalesce(F.nullif(T.file_name(name), F.lit("")), F.lit("MOC"))
+    links = F.array_join(F.transform(paths, lambda p: F.concat(F.lit("- "), T.wiki_link(p))), "\n")
+    head = "---\ntype: moc\n" + (f"date: {date}\n" if date else "") + "---\n\n# "
+    content = F.concat(F.lit(head), F.coalesce(F.nullif(name, F.lit("")), base), F.lit("\n\n"), T.trim_blank(F.coalesce("description", F.lit(""))), F.lit("\n\n## Notes ("), F.size(paths).cast("string"), F.lit(")\n\n"), links, F.lit("\n"))
+    return clusters.select("seq", base.alias("file_name"), content.alias("content"))
+
+
+def placed_mocs(clusters: DataFrame, notes: DataFrame, folder: str = "MOCs", date: str = "") -> DataFrame:
+    """(seq, path, content, overwrites): where each cluster's map note goes in the folder.
+
+    notes: (path, content) of the collection. A map note that was generated earlier is
+    written over; any other note keeps its name, and the new one gets a number.
+    """
+    here = N.folder_listing(notes, folder)
+    named = lambda path: F.regexp_replace(path, r"\.md$", "")
+    taken = here.where(~N.is_generated_map("content")).select(named("path").alias("name"))
+    mocs = moc_notes(clusters, date).withColumn("name", F.concat(F.lit(folder.strip("/") + "/" if folder.strip("/") else ""), "file_name"))
+    placed = names.free_names(mocs, taken).withColumn("path", F.concat("free", F.lit(".md"))).withColumn("_key", P.path_key("path"))
+    known = here.select(F.col("key").alias("_key"), F.col("path").alias("_old")).groupBy("_key").agg(F.min("_old").alias("_old"))
+    # the older spelling of a path stays
+    return placed.join(known, "_key", "left").select("seq", F.coalesce("_old", "path").alias("path"), "content", F.col("_old").isNotNull().alias("overwrites"))
 
 
 ATOMS = "array<struct<title:string,body:string>>"
+ATOM_HEADINGS = ("## Atomic notes", "## Atomare Notizen")
 
 
-def atoms(notes: DataFrame) -> DataFrame:
-    """(path, file_name, content) of atomic notes in models' answers; notes: (path, answer). Blank titles or bodies are left out."""
-    rows = notes.select("path", F.explode(F.from_json(T.extracted_json("answer"), ATOMS)).alias("a"))
-    rows = rows.where((T.trim_blank(F.coalesce("a.title", F.lit(""))) != "") & (T.trim_blank(F.coalesce("a.body", F.lit(""))) != ""))
-    return rows.select("path", T.file_name("a.title").alias("file_name"), F.concat(F.lit("# "), T.trim_blank("a.title"), F.lit("\n\n"), T.trim_blank("a.body"), F.lit("\n\nSource: "), T.wiki_link("path"), F.lit("\n")).alias("content"))
+def atoms(notes: DataFrame, existing: DataFrame | None = None, folder: str | None = None) -> DataFrame:
+    """(source, seq, path, content) of atomic notes in models' answers; source: the note they come from, seq: their order.
+
+    notes: (path, content, answer), each path once. An answer is a list of titles and bodies, or holds one as
+    ``atoms``; blank ones are left out, as are notes that have their section of atoms already. The
+    new notes lie beside their source or in ``folder``, under names that neither
+    ``existing`` notes (path) nor each other have, given out by source and place.
+    """
+    todo = notes.where(~T.has_section("content", list(ATOM_HEADINGS))).select("path", T.extracted_json("answer").alias("json"))
+    is_list = F.col("json").startswith("[")
+    listed = F.when(is_list, F.from_json("json", ATOMS)).otherwise(F.from_json("json", f"atoms {ATOMS}")["atoms"])
+    rows = todo.select("path", F.posexplode(listed).alias("place", "a"))
+    rows = rows.select(F.col("path").alias("source"), "place", T.collapse_blank(F.coalesce("a.title", F.lit(""))).alias("title"), T.trim_blank(F.coalesce("a.body", F.lit(""))).alias("body")).where("title <> '' AND body <> ''")
+    rows = rows.withColumn("seq", F.struct("source", "place"))
+    base = F.coalesce(F.nullif(T.file_name("title"), F.lit("")), F.lit("Atom"))
+    parent = F.regexp_extract("source", r"^(.*/)[^/]*$", 1) if folder is None else F.lit(folder.strip("/") + "/" if folder.strip("/") else "")
+    wanted = rows.withColumn("name", F.concat(parent, base))
+    taken = None if existing is None else existing.select(F.regexp_replace("path", r"\.md$", "").alias("name"))
+    content = F.concat(F.lit("---\ntype: atom\n---\n\n# "), F.col("title"), F.lit("\n\n"), F.col("body"), F.lit("\n"))
+    return names.free_names(wanted, taken).select("source", "seq", F.concat("free", F.lit(".md")).alias("path"), content.alias("content"))
+
+
+def linked_originals(notes: DataFrame, made: DataFrame) -> DataFrame:
+    """(path, content) of the notes that atoms were made of, with a section of links to them; made: (source, seq, path) of those that could be written."""
+    links = made.groupBy("source").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "path"))), lambda x: F.concat(F.lit("- "), T.wiki_link(x["path"]))), "\n").alias("links"))
+    both = notes.join(links, notes["path"] == links["source"]).where(~T.has_section("content", list(ATOM_HEADINGS)))
+    return both.select("path", T.append_section("content", F.concat(F.lit(ATOM_HEADINGS[0] + "\n\n"), "links")).alias("content"))

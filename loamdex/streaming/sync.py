@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..operators.ordered import parted
 from ..sources.notes import normalized_events
 
 GAP_MS = 1500
@@ -23,11 +24,11 @@ GAP_MS = 1500
 def sessions(events: DataFrame, gap_ms: int = GAP_MS) -> DataFrame:
     """Events with ``session``; an event exactly a gap later belongs to the batch before.
 
-    The timer is global, so order is global: gaps are found within time slices and
-    only slice edges meet in one place.
+    The timer is global, so order is global: gaps are found within slices of the order
+    with about equally many events, and only slice edges meet in one place.
     """
     ms = F.unix_millis(F.col("ts").cast("timestamp"))
-    rows = events.withColumn("_ms", ms).withColumn("_slice", F.floor(F.col("_ms") / F.lit(max(gap_ms, 1) * 4096)))
+    rows = parted(events.withColumn("_ms", ms), F.struct("_ms", "seq"), "_slice")
     order = Window.partitionBy("_slice").orderBy("_ms", "seq")
     # the last event of the slice before, from one row per slice
     edges = rows.groupBy("_slice").agg(F.min("_ms").alias("lo"), F.max("_ms").alias("hi"))
@@ -103,28 +104,3 @@ def follow(events: DataFrame, sync: AutoSync, checkpoint: str, **trigger):
 def session_counts(events: DataFrame, gap_ms: int = GAP_MS, late: str = "10 minutes") -> DataFrame:
     """Batches of a stream in event time: (start, end, changes); rows later than the watermark are left out, a reconcile makes up for them."""
     return events.withWatermark("ts", late).groupBy(F.session_window("ts", f"{gap_ms} milliseconds")).agg(F.count("*").alias("changes")).select("session_window.start", "session_window.end", "changes")
-
-
-def stream_text(chunks: list[str], max_chars: int = 1 << 20) -> str:
-    """Text of a server-sent token stream given in arbitrary pieces: ``data:`` lines until [DONE] or a finish reason; malformed lines are skipped."""
-    import json
-
-    out, size = [], 0
-    for line in "".join(chunks).replace("\r\n", "\n").split("\n"):
-        if not line.startswith("data:"):
-            continue
-        data = line[5:].strip()
-        if data == "[DONE]":
-            break
-        try:
-            choice = json.loads(data)["choices"][0]
-            piece = choice.get("delta", {}).get("content") or ""
-        except (ValueError, KeyError, IndexError, TypeError, AttributeError):
-            continue
-        if not isinstance(piece, str):
-            continue
-        out.append(piece)
-        size += len(piece)
-        if choice.get("finish_reason") or size > max_chars:
-            break
-    return "".join(out)

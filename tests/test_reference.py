@@ -243,16 +243,13 @@ def test_reports(spark):
     assert xy == [(525, -125, "1"), (-875, -125, "2")]
     canvas = json.loads(reports.canvas_json(reports.cluster_canvas(clusters)).first().canvas)
     assert len(canvas["nodes"]) == 3 and len(canvas["edges"]) == 2
-    assert [r.file_name for r in reports.moc_notes(clusters).orderBy("seq").collect()] == ["One", "Map"]
-    assert reports.free_names(["a", "a", "b"], {"A-2", "b"}) == ["a", "a-3", "b-2"]
-    atoms = spark.createDataFrame([("n.md", '[{"title": " T ", "body": "B"}, {"title": "", "body": "x"}]')], "path string, answer string")
-    assert [r.content for r in reports.atoms(atoms).collect()] == ["# T\n\nB\n\nSource: [[n]]\n"]
+    assert [r.file_name for r in reports.moc_notes(clusters).orderBy("seq").collect()] == ["One", "Two"]
 
 
 def test_providers(spark):
     docs = spark.createDataFrame([("beta two",), ("x",)], "text string")
     assert len(P.embedded(docs, P.HashedBow).first().vector) == 64
-    assert P.completed(docs, P.EchoModel, "s", "text").where("error IS NULL").count() == 2
+    assert P.completed(docs, P.Excerpts, "s", "text").where("error IS NULL").count() == 2
     assert P.in_order([{"index": 1, "embedding": 2}, {"index": 0, "embedding": 1}]) == [1, 2]
     for bad in ([{"index": 0, "embedding": 1}, {"index": 0, "embedding": 1}], [{"index": 0, "embedding": 1}, {"embedding": 1}]):
         with pytest.raises(errors.ProviderContractError):
@@ -324,7 +321,6 @@ def test_follow_stream(spark, tmp_path):
     state.reconfigure(paused=False)
     state.run()
     assert flushed[-1]["reconcile_all"] and state.should_commit(2)
-    assert sync.stream_text(['data: {"choices": [{"delta": {"content": "a"}}]}\nda', "ta: bad\nevent: x\ndata: {\"choices\": [{\"delta\": {\"content\": \"b\"}, \"finish_reason\": \"stop\"}]}\ndata: [DONE]"]) == "ab"
 
 
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
