@@ -10,7 +10,8 @@ from ..functions import text as T
 from ..functions import vectors as V
 from ..operators import audit, chunker, delta, search, similarity, structure
 from ..sources import notes as N
-from ..streaming import sync
+from ..operators.shared import shared_folder
+from ..streaming import debounce, sync, tokens
 from .registry import ORACLE, QUERIES, query  # noqa: F401
 
 # vectors: five consecutive embeddings make a document
@@ -356,14 +357,60 @@ _EVENTS = """e AS (SELECT event_id, epoch_ms(ts) AS ms, CASE event_type WHEN 'si
   c AS (SELECT session, path, 'upsert' AS op, ms, event_id, 0 AS part FROM s WHERE op IN ('create', 'modify') UNION ALL SELECT session, path, 'delete', ms, event_id, 0 FROM s WHERE op IN ('delete', 'rename') UNION ALL SELECT session, new_path, 'upsert', ms, event_id, 1 FROM s WHERE op = 'rename' AND new_path LIKE '%.md')"""
 
 
-@query(f"WITH {_EVENTS} SELECT CAST(session AS BIGINT) AS session, path, arg_max(op, ms * 1000000 + event_id * 2 + part) AS op FROM c GROUP BY session, path")
-def sync_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.col("event_type")
     op = F.when(kind == "signup", "create").when(kind == "purchase", "rename").when(kind == "error", "delete").otherwise("modify")
     user = F.col("user_id")
     new_path = F.concat(F.lit("u"), (user + 1).cast("string"), F.when(user % 2 == 0, ".md").otherwise(".txt"))
-    events = N.table(spark, sf_dir, "events").select(op.alias("op"), F.concat(F.lit("u"), user.cast("string"), F.lit(".md")).alias("path"), new_path.alias("new_path"), "ts", F.col("event_id").alias("seq"))
-    return sync.sync_batches(events, 600_000).select(F.col("session").cast("long").alias("session"), "path", "op")
+    return N.table(spark, sf_dir, "events").select(op.alias("op"), F.concat(F.lit("u"), user.cast("string"), F.lit(".md")).alias("path"), new_path.alias("new_path"), "ts", F.col("event_id").alias("seq"))
+
+
+_BATCHES = f"WITH {_EVENTS} SELECT CAST(session AS BIGINT) AS session, path, arg_max(op, ms * 1000000 + event_id * 2 + part) AS op FROM c GROUP BY session, path"
+
+
+@query(_BATCHES)
+def sync_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sync.sync_batches(_events(spark, sf_dir), 600_000).select(F.col("session").cast("long").alias("session"), "path", "op")
+
+
+@query(_BATCHES)
+def streamed_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same batches from a stream with state; an event a day after all others closes the last one, and is left out."""
+    gap, folder = 600_000, shared_folder(spark)
+    events = _events(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
+    end = events.agg(F.max("ts").alias("ts"), F.max("seq").alias("seq")).where("ts IS NOT NULL")
+    end = end.select(F.lit("create").alias("op"), F.lit("end.md").alias("path"), F.lit(None).cast("string").alias("new_path"), (F.col("ts") + F.expr("INTERVAL 1 DAY")).alias("ts"), (F.col("seq") + 1).alias("seq"))
+    events.union(end).write.parquet(f"{folder}/events")
+    stream = debounce.debounced(spark.readStream.schema(events.schema).parquet(f"{folder}/events"), gap)
+    stream.writeStream.format("parquet").option("path", f"{folder}/batches").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(debounce.BATCHES).parquet(f"{folder}/batches").where("path <> 'end.md'").select("session", "path", "op")
+
+
+_TOKENS = """e AS (SELECT conv_id, turn, CASE WHEN conv_id % 4 = 3 THEN 'abcdefghij0123456789abcdefghij0123456789abcdefghij0123456789abcdefghij0123456789abcdefghij0123456789' || 'abcdefghij0123456789abcdefghij0123456789abcdefghij0123456789abcdefghij0123456789abcdefghij0123456789' WHEN turn % 5 NOT IN (3, 4) THEN text END AS piece,
+      CASE WHEN conv_id % 4 = 1 AND turn = 4 THEN 'done' WHEN conv_id % 4 = 2 AND turn = 3 THEN 'finish' END AS stop FROM conversations),
+    s AS (SELECT *, min(CASE WHEN stop IS NOT NULL THEN turn END) OVER (PARTITION BY conv_id) AS last FROM e),
+    k AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM s WHERE stop IS NULL AND (last IS NULL OR turn < last) AND piece <> ''),
+    t AS (SELECT conv_id, string_agg(piece, '' ORDER BY turn) AS text, count(*) AS n FROM k WHERE conv_id % 4 <> 3 OR r = 1 GROUP BY conv_id)"""
+
+
+@query(f"""WITH {_TOKENS}
+    SELECT c.conv_id AS response, md5(coalesce(any_value(t.text), '')) AS text_md5, coalesce(any_value(n), 0) AS n_pieces,
+    CASE WHEN c.conv_id % 4 = 3 AND (SELECT count(*) FROM k WHERE k.conv_id = c.conv_id) > 1 THEN 'loop' ELSE coalesce(max(stop), 'end') END AS ended FROM s c LEFT JOIN t USING (conv_id) GROUP BY c.conv_id""")
+def streamed_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as token streams: a turn is a piece, cut in three fragments that don't end with lines; some turns are comments or can't be read, some conversations are done, finish or loop."""
+    turns = N.table(spark, sf_dir, "conversations")
+    of = F.col("conv_id") % 4
+    said = F.when(of == 3, F.lit("abcdefghij0123456789" * 10)).otherwise(F.col("text"))
+    finish = F.when((of == 2) & (F.col("turn") == 3), "stop")
+    line = F.concat(F.lit("data: "), F.to_json(F.struct(F.array(F.struct(F.struct(said.alias("content")).alias("delta"), finish.alias("finish_reason"))).alias("choices"))))
+    plain = (of != 3) & finish.isNull()
+    line = F.when((of == 1) & (F.col("turn") == 4), "data: [DONE]").when(plain & (F.col("turn") % 5 == 3), F.concat(F.lit(": "), "role")).when(plain & (F.col("turn") % 5 == 4), F.concat(F.lit("data: {"), "role")).otherwise(line)
+    line = F.concat(line, F.when(F.col("turn") % 2 == 0, "\r\n").otherwise("\n"))
+    # the first fragment of a turn begins with the last one's line end
+    third = F.floor(F.length(line) / 3).cast("int")
+    cut = F.array(F.substring(line, F.lit(1), third), F.substring(line, third + 1, F.length(line) - third - 1), F.substring(line, F.length(line), F.lit(1)))
+    fragments = turns.select(F.col("conv_id").alias("response"), "turn", F.posexplode(cut).alias("i", "fragment")).select("response", F.struct("turn", "i").alias("seq"), "fragment")
+    return tokens.texts(fragments).select("response", F.md5(F.col("text").cast("binary")).alias("text_md5"), "n_pieces", "ended")
 
 
 # note audits

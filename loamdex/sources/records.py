@@ -1,39 +1,26 @@
-"""The audit's note records: a versioned table, swapped in whole."""
+"""The audit's note records and clusters: versioned tables, swapped in whole."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .folder import SharedFolder
+
 VERSION = 3
 SCHEMA = "path string, mtime long, analyzed_at long, main_idea string, key_points array<string>, entities array<string>, quality string, suggested_tags array<string>, word_count int, topics array<string>, suggested_links array<string>, orphan boolean, mode string"
+CLUSTERS = "seq long, name string, description string, moc string, path string, place int"
 
 
-def load_records(spark: SparkSession, path: str) -> DataFrame:
+def load_records(spark: SparkSession, path: str, schema: str = SCHEMA) -> DataFrame:
     """Records of this version; none if the table is missing or of another version."""
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
-        return spark.createDataFrame([], SCHEMA)
-    return spark.read.schema(SCHEMA + ", version int, updated_at timestamp").parquet(path).where(F.col("version") == VERSION).drop("version", "updated_at")
+    rows = SharedFolder(spark, path).table(schema + ", version int, updated_at timestamp")
+    return rows.where(F.col("version") == VERSION).drop("version", "updated_at")
 
 
 def save_records(records: DataFrame, path: str) -> None:
-    """Write beside the table in force, then take its place."""
-    spark = records.sparkSession
-    jvm = spark.sparkContext._jvm
-    new, old = (jvm.org.apache.hadoop.fs.Path(f"{path}.{x}-{uuid.uuid4().hex}") for x in ("new", "old"))
-    records.withColumns({"version": F.lit(VERSION), "updated_at": F.current_timestamp()}).write.parquet(new.toString())
-    here = jvm.org.apache.hadoop.fs.Path(path)
-    fs = here.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if fs.exists(here):
-        fs.rename(here, old)
-    fs.rename(new, here)
-    fs.delete(old, True)
-
-
-CLUSTERS = "seq long, name string, description string, moc string, path string, place int"
+    """Write beside the table in force, then point to the new one: a crash leaves the old table or the new."""
+    SharedFolder(records.sparkSession, path).save(records.withColumns({"version": F.lit(VERSION), "updated_at": F.current_timestamp()}))
 
 
 def save_clusters(clusters: DataFrame, path: str) -> None:
@@ -44,7 +31,4 @@ def save_clusters(clusters: DataFrame, path: str) -> None:
 
 def load_clusters(spark: SparkSession, path: str) -> DataFrame:
     """(seq, name, description, moc, path, place) of the last audit; none if there was none."""
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
-        return spark.createDataFrame([], CLUSTERS)
-    return spark.read.schema(CLUSTERS + ", version int").parquet(path).where(F.col("version") == VERSION).drop("version")
+    return load_records(spark, path, CLUSTERS)

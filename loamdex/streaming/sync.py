@@ -49,8 +49,8 @@ def coalesced(changes: DataFrame, key: str = "session") -> DataFrame:
 
 
 def sync_batches(events: DataFrame, gap_ms: int = GAP_MS) -> DataFrame:
-    """One row per path and batch of file events (op, path, new_path, ts, seq)."""
-    return coalesced(normalized_events(sessions(events, gap_ms)))
+    """One row per path and batch of file events (op, path, new_path, ts, seq); events of other files than notes don't count, nor hold a batch open."""
+    return coalesced(sessions(normalized_events(events), gap_ms))
 
 
 class AutoSync:
