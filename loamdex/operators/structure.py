@@ -12,6 +12,7 @@ the front matter's place by itself, headings all or none.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,21 +79,29 @@ def body_line(raw: str, cached: Column) -> Column:
     return F.when(_is_rule(first) | _is_rule(F.regexp_replace(first, "^\ufeff", "")), found).otherwise(0)
 
 
+def _fence_events(notes: pd.Series) -> pd.Series:
+    """Where code blocks open (1) and close (-1), from each note's lines (i, opens, closes) that look like fences."""
+    out = []
+    for lines in notes:
+        opened, events = "", []
+        for line in lines:
+            if opened:
+                if len(line["closes"]) >= len(opened) and line["closes"][0] == opened[0]:
+                    opened = ""
+                    events.append({"i": line["i"], "delta": -1})
+            elif line["opens"]:
+                opened = line["opens"]
+                events.append({"i": line["i"], "delta": 1})
+        out.append(events)
+    return pd.Series(out, dtype=object)
+
+
 def fences(raw: str, body: str) -> Column:
-    """Where code blocks of the body open (1) and close (-1), by a fold over the lines that look like fences."""
+    """Where code blocks of the body open (1) and close (-1). What closes one depends on what opened it, so a note's fences are gone through in order."""
     spots = F.transform(raw, lambda x, i: F.struct(i.alias("i"), x.alias("x")))
     some = F.filter(spots, lambda c: (c["i"] >= F.col(body)) & (F.contains(c["x"], F.lit("```")) | F.contains(c["x"], F.lit("~~~"))))
-    empty = F.array().cast("array<struct<i: int, delta: int>>")
-
-    def step(state: Column, line: Column) -> Column:
-        text = text_of(line["x"])
-        opened, here, ends = state["open"], marks(text), closing_marks(text)
-        event = lambda d: F.concat(state["events"], F.array(F.struct(line["i"].alias("i"), F.lit(d).alias("delta"))))
-        shut = (F.length(ends) >= F.length(opened)) & (F.left(ends, F.lit(1)) == F.left(opened, F.lit(1)))
-        inside = F.when(shut, F.struct(F.lit("").alias("open"), event(-1).alias("events"))).otherwise(state)
-        return F.when(opened != "", inside).when(here != "", F.struct(here.alias("open"), event(1).alias("events"))).otherwise(state)
-
-    return F.aggregate(some, F.struct(F.lit("").alias("open"), empty.alias("events")), step)["events"]
+    marked = F.transform(some, lambda c: F.struct(c["i"].alias("i"), marks(text_of(c["x"])).alias("opens"), closing_marks(text_of(c["x"])).alias("closes")))
+    return F.pandas_udf(_fence_events, "array<struct<i:int,delta:int>>")(F.filter(marked, lambda c: (c["opens"] != "") | (c["closes"] != "")))
 
 
 def numbered(notes: DataFrame) -> DataFrame:
