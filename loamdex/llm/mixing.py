@@ -138,8 +138,8 @@ def mix(docs: DataFrame, weights=WEIGHTS, share=SHARE, cap=CAP, block=BLOCK, see
 
     ``start``: where the document's words begin in its source's seeded order;
     ``pieces``: its blocks as (block, words, shards), with each shard that draws the
-    block; ``taken``: its words in all shards; ``copies``: how often the block with its
-    first word is drawn, for mixes of whole documents. Texts are read once.
+    block; ``taken``: its words in all shards; ``copies``: how often it comes in a mix of
+    whole documents, from the same quotas. Texts are read once.
     """
     rows = written(spotted(docs, seed, keep))
     part = ["named", "none", "bucket"]
@@ -179,8 +179,10 @@ def mix(docs: DataFrame, weights=WEIGHTS, share=SHARE, cap=CAP, block=BLOCK, see
     last = F.col("start") + F.greatest("size", one) - 1
     rows = rows.withColumn("pieces", F.when(F.col("size") > 0, F.transform(F.sequence(block_of(F.col("start")), block_of(last)), piece)))
     taken = F.coalesce(F.aggregate("pieces", none, lambda a, p: a + p["words"] * F.size(p["shards"])), none)
-    # a text without words after the last word goes with the last block
-    copies = F.size(drawn_by(F.least(block_of(F.col("start")), count - 1))).cast("long")
+    # whole documents: the blocks are gone through in order, as documents are in seeded order already, and round again
+    # after the last; a document comes with the block of its middle word, so a source ends within half a document and a block of its quota
+    quota, middle = F.element_at("upto", -1), F.least(F.col("start") + _div(F.col("size"), F.lit(2)), F.greatest(F.col("source_size") - 1, none))
+    copies = (_div(quota, count) + (block_of(middle) < quota % count).cast("long")).cast("long")
     rows = rows.withColumn("taken", taken).withColumn("copies", copies)
     return rows.select("doc_id", "source", "size", "source_size", "target", "start", "pieces", "taken", "copies", *keep)
 

@@ -11,12 +11,13 @@ the host at its dots, with every path prefix of a length that some rule's path
 has. The first level's false positive rate is set to about ``listed / universe``,
 so that every level, and all that reaches the driver, is about as large as the
 list and never as the corpus. Long lists are cut by key hash in slices of
-``SLICE_KEYS``, each a cascade and a broadcast of its own.
+``SLICE_KEYS``, each a cascade, a broadcast and a pass over the pages of its own.
 
 Defined results: a null url, or one without ``://``, has an empty host and path,
 so no rule fits; empty hosts and paths fit no rule; rules that repeat count once
 (rules with the same key but different actions raise ValueError); null keys are not
-listed; repeated rows stay; empty tables give no rows; columns other than page_id
+listed; repeated rows stay; ties cannot
+occur, as a page has one key of each length; very long urls are taken whole, with a key for each of the host's dots; empty tables give no rows; columns other than page_id
 and url are ignored.
 """
 
@@ -31,6 +32,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 SLICE_KEYS = 5_000_000
 #: Levels after which a cascade has surely ended; each is a fraction of the one before.
 MOST_LEVELS = 64
@@ -107,8 +110,7 @@ def universe_of(urls: DataFrame, lengths: list[int]) -> DataFrame:
 
 def build_cascade(listed: list[str], universe: DataFrame, size: int) -> list[Bloom]:
     """Levels for a list of bounded size over a universe of ``size`` keys, of which all listed ones count as members."""
-    known = set(listed)
-    here, there, levels = sorted(known), universe, []
+    here, levels = sorted(set(listed)), []
     if not here:
         return []
     rate = min(0.5, max(1e-9, math.sqrt(0.5) * len(here) / max(1, size)))
@@ -118,25 +120,20 @@ def build_cascade(listed: list[str], universe: DataFrame, size: int) -> list[Blo
         levels.append(level)
         if len(levels) > MOST_LEVELS:
             raise RuntimeError("the cascade doesn't end")
-        if len(levels) % 2:  # false positives among the keys that are not listed
-            shared = context.broadcast((level, known if len(levels) == 1 else None))
+        if len(levels) > 1:
+            other, here = here, [k for k, p in zip(other, level.holds(other)) if p]
+        else:  # false positives among the keys that are not listed
+            shared = context.broadcast(level)
 
             def passing(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-                level, known = shared.value
                 for batch in batches:
                     keys = batch["key"].tolist()
-                    keep = level.holds(keys) if keys else np.zeros(0, bool)
-                    if known is not None:
-                        keep &= np.fromiter((k not in known for k in keys), bool, len(keys))
-                    yield batch[keep]
-
-            if len(levels) == 1:
-                there = universe.mapInPandas(passing, "key string")
-                other, here = here, sorted(r.key for r in there.toLocalIterator())
-            else:
-                other, here = here, [k for k, p in zip(other, level.holds(other)) if p]
-        else:
-            other, here = here, [k for k, p in zip(other, level.holds(other)) if p]
+                    yield batch[shared.value.holds(keys) if keys else np.zeros(0, bool)]
+
+            # few pass; only they meet the list, as rows
+            passed = universe.mapInPandas(passing, "key string")
+            there = passed.join(universe.sparkSession.createDataFrame([(k,) for k in here], "key string"), "key", "left_anti")
+            other, here = here, sorted(r.key for r in there.toLocalIterator())
         rate = 0.5
     return levels
 
@@ -164,11 +161,11 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], default: str = "a
             raise ValueError(f"two actions for {host}{path}")
     lengths = sorted({len(path) for _, _, path in rules})
     urls = pages.select("page_id", "url")
-    out = urls.select("page_id", host_of("url").alias("host"), path_of("url").alias("path"))
-    universe = universe_of(urls, lengths)
+    out = urls.select("page_id", host_of("url").alias("host"), path_of("url").alias("path"), F.lit(None).cast("struct<rule:string,verdict:string>").alias("_best"))
+    # read once for its size and once for each slice
+    universe = written(universe_of(urls, lengths))
     size = universe.count()
     slices = max(1, -(-len(actions) // slice_keys))
-    found = []
     for s in range(slices):
         keys = [k for k in actions if xxhash.xxh64_intdigest(k, 7) % slices == s]
         rule_levels = build_cascade(keys, universe, size)
@@ -176,9 +173,11 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], default: str = "a
         spark = pages.sparkSession
         block_levels = build_cascade([k for k in keys if actions[k] == "block"], spark.createDataFrame([(k,) for k in keys], "key string"), len(keys))
         shared = spark.sparkContext.broadcast((rule_levels, block_levels))
-
-        out = out.withColumn(f"_s{s}", _judged(shared, lengths)("host", "path"))
-        found.append(f"_s{s}")
-    # of the slices' rules, the longest; a slice holds at most one for each page
-    best = F.array_max(F.array(*(F.when(F.col(f"{n}.rule").isNotNull(), F.struct(F.length(f"{n}.rule").alias("n"), F.col(f"{n}.rule").alias("rule"), F.col(f"{n}.verdict").alias("verdict"))) for n in found)))
-    return out.withColumn("_best", best).select("page_id", "host", "path", "_best.rule", F.coalesce("_best.verdict", F.lit(default)).alias("verdict"))
+        # a slice holds at most one rule for each page; the longest of all slices' wins
+        here = _judged(shared, lengths)("host", "path")
+        won = F.length("_here.rule") > F.coalesce(F.length("_best.rule"), F.lit(-1))
+        out = out.withColumn("_here", here).withColumn("_best", F.when(won, F.col("_here")).otherwise(F.col("_best"))).drop("_here")
+        if s + 1 < slices:  # a pass for each slice: a worker holds one slice's cascades
+            out = written(out)
+            shared.destroy()
+    return out.select("page_id", "host", "path", "_best.rule", F.coalesce("_best.verdict", F.lit(default)).alias("verdict"))

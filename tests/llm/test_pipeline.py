@@ -4,7 +4,8 @@ import random
 
 import corpus_pipeline
 import pytest
-from loamdex.llm import decontam, simhash
+from loamdex.llm import decontam, mixing, simhash
+from loamdex.llm.common import word_count
 from pyspark.sql import functions as F
 
 #: Those of documents, and some that operators and stages use for themselves.
@@ -125,3 +126,12 @@ def test_texts_that_share_a_repeated_line_stay(spark, tmp_path):
     docs = spark.createDataFrame([(k, line + " ".join(f"t{k}w{i}" for i in range(100)), "en", "s", None) for k in range(6)], "doc_id long, text string, lang string, source string, n_chars long")
     assert len({r.component for r in simhash.near_duplicates(docs, shingle=corpus_pipeline.SHINGLE).collect()}) == 1
     assert corpus_pipeline.near_duplicates_out(spark, docs, str(tmp_path)).count() == 6
+
+
+def test_mixed_documents_come_near_their_targets(spark):
+    """Whole documents, source by source: within half a document and a block of the target."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = corpus_pipeline.mixed(spark, docs, "").groupBy("source").agg(F.sum(word_count("text")).alias("words")).collect()
+    plan = mixing.mix(docs.select("doc_id", "text", "source")).groupBy("source").agg(F.first("target").alias("target"), F.max("size").alias("longest"))
+    want = {r.source: r for r in plan.collect()}
+    assert len(got) == len(want) and all(abs(r.words - want[r.source].target) <= want[r.source].longest / 2 + mixing.BLOCK for r in got)
