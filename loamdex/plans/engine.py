@@ -12,6 +12,7 @@ from ..functions import providers as P
 from ..functions import text as T
 from ..functions import vectors as V
 from ..operators import chunker, delta, search, similarity
+from ..operators.shared import checkpointed
 from ..sources.store import SCHEMA, GenerationStore
 
 
@@ -41,10 +42,11 @@ class NoteIndex:
         notes = notes.withColumn("path", T.checked_path("path"))
         delta.checked_input(notes, delete_paths)
         before = self.store.manifest()
-        committed, incoming = self._committed(), self.chunks(notes)
+        # chunks are made once, for the comparison and for embedding
+        committed, incoming = self._committed(), checkpointed(self.chunks(notes))
         if not delta.collisions(incoming, committed).isEmpty():
             raise ValidationError("a chunk id belongs to another note")
-        states = delta.classify(incoming, committed, notes)
+        states = checkpointed(delta.classify(incoming, committed, notes))
         gone = delete_paths if mode == "sync" else delta.missing_paths(notes, committed) if mode == "reconcile" else None
         counts = delta.counters(states, notes, committed, gone).first().asDict()
         counts |= {"generation_before": before.generation if before else 0, "committed": False}
