@@ -119,6 +119,23 @@ def embedding_response(raw: str | Column, expected: int | Column) -> Column:
     return let(whole_json(raw), read)
 
 
+def plain_embeddings(raw: str | Column, expected: int | Column) -> Column:
+    """struct(vectors, fault) of a local server's response, a list of vectors in the texts' order."""
+    n = F.lit(expected) if isinstance(expected, int) else expected
+
+    def read(v: Column) -> Column:
+        rows = F.when(kind(field(v, "embeddings")) == "ARRAY", F.try_variant_get(v, "$.embeddings", "array<variant>"))
+        items = F.transform(rows, lambda x: F.when(kind(x) == "ARRAY", F.try_variant_get(x, "$", "array<variant>")))
+        numbers = F.transform(items, lambda xs: F.transform(xs, lambda x: F.when(kind(x) == "NUMBER", F.try_variant_get(x, "$", "double"))))
+        fault = (
+            F.when(v.isNull(), NOT_JSON).when(_isnt(v, "OBJECT"), WRONG_SHAPE).when(numbers.isNull() | (F.size(numbers) == 0), EMPTY).when(F.size(numbers) != n, COUNT)
+            .when(F.exists(numbers, lambda xs: xs.isNull() | (F.size(xs) == 0) | F.exists(xs, lambda x: x.isNull())), VECTOR)
+        )
+        return F.struct(F.when(fault.isNull(), numbers).alias("vectors"), fault.alias("fault"))
+
+    return let(whole_json(raw), read)
+
+
 def model_names(raw: str | Column) -> Column:
     """Names in a list of local models; what has no text for a name is left out. Null unless there is a list."""
 

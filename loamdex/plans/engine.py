@@ -14,6 +14,7 @@ from ..functions import vectors as V
 from ..operators import chunker, delta, search, similarity
 from ..operators.shared import checkpointed
 from ..sources.store import SCHEMA, GenerationStore
+from .progress import observed
 
 
 class NoteIndex:
@@ -30,12 +31,13 @@ class NoteIndex:
         chunks = chunker.chunk_notes(notes, self.options)
         return chunks.withColumn("preview", T.preview("text"))
 
-    def update(self, notes: DataFrame, delete_paths: DataFrame | None = None, mode: str = "partial", should_commit: Callable[[], bool] = lambda: True, automatic: bool = False) -> dict:
+    def update(self, notes: DataFrame, delete_paths: DataFrame | None = None, mode: str = "partial", should_commit: Callable[[], bool] = lambda: True, automatic: bool = False, on_progress: Callable[[dict], None] = lambda p: None) -> dict:
         """Index notes; ``mode``: partial, sync (with explicit deletes) or reconcile (paths not given go).
 
         Only new and changed chunks are embedded. A run that changes nothing leaves the
         generation as it is, and so does a failing provider. Unless it is ``automatic``,
-        a run turns automatic sync on again after a clear.
+        a run turns automatic sync on again after a clear. ``on_progress`` is told how
+        many chunks there are, and how many vectors were made, as the jobs that make them end.
         """
         if mode not in ("partial", "sync", "reconcile") or (delete_paths is not None) != (mode == "sync"):
             raise ValidationError("mode is partial, sync with deletes, or reconcile")
@@ -43,7 +45,9 @@ class NoteIndex:
         delta.checked_input(notes, delete_paths)
         before = self.store.manifest()
         # chunks are made once, for the comparison and for embedding
-        committed, incoming = self._committed(), checkpointed(self.chunks(notes))
+        chunks, chunked = observed(self.chunks(notes), "chunked", chunks=F.count("*"))
+        committed, incoming = self._committed(), checkpointed(chunks)
+        on_progress({"phase": "chunked", **chunked.get})
         if not delta.collisions(incoming, committed).isEmpty():
             raise ValidationError("a chunk id belongs to another note")
         states = checkpointed(delta.classify(incoming, committed, notes))
@@ -52,10 +56,11 @@ class NoteIndex:
         counts |= {"generation_before": before.generation if before else 0, "committed": False}
         if counts["chunks_embedded"] or counts["chunks_deleted"] or (before is None and mode == "reconcile"):
             fresh = incoming.join(states.where("status IN ('new', 'changed')").select("id"), "id", "left_semi")
-            fresh = P.embedded(fresh, self.provider).withColumn("vector", V.unit_f32("vector"))
+            fresh, embedded = observed(P.embedded(fresh, self.provider).withColumn("vector", V.unit_f32("vector")), "embedded", vectors=F.count("vector"))
             upserts = fresh.select(*committed.columns)
             merged = delta.merge(committed, upserts, states.where("status = 'removed'"), gone)
             counts["committed"] = self.store.commit(merged, expected=counts["generation_before"], should_commit=should_commit) is not None
+            on_progress({"phase": "embedded", **embedded.get})
         if not automatic:
             self.store.suspend(False)
         return counts | {"generation_after": counts["generation_before"] + counts["committed"]}

@@ -25,7 +25,9 @@ def lines(fragments: DataFrame) -> DataFrame:
     place = Window.partitionBy("response").orderBy("seq")
     rows = fragments.select("response", "seq", F.split(F.coalesce("fragment", F.lit("")), "\n", -1).alias("parts")).withColumn("breaks", F.size("parts") - 1)
     before = F.coalesce(F.sum("breaks").over(place.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rows = rows.select("response", "seq", before.alias("before"), F.sum("breaks").over(Window.partitionBy("response")).alias("ended"), F.posexplode("parts").alias("i", "part"))
+    # before lines are exploded: a generator beside windows would come first
+    rows = rows.withColumns({"before": before, "ended": F.sum("breaks").over(Window.partitionBy("response"))})
+    rows = rows.select("response", "seq", "before", "ended", F.posexplode("parts").alias("i", "part"))
     rows = rows.withColumn("line", F.col("before") + F.col("i")).where("line < ended")
     whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "part"))), lambda x: x["part"]), "")
     return rows.groupBy("response", "line").agg(whole.alias("text"))

@@ -43,7 +43,9 @@ def test_index_lifecycle(spark, tmp_path):
     first = index.update(notes_of(spark, a="# A\n\nalpha" + LONG, b="# B\n\nbeta" + LONG, c="# C\n\ngamma" + LONG, e=""), mode="reconcile")
     assert (first["documents_seen"], first["documents_changed"], first["documents_unchanged"], first["chunks_embedded"], first["generation_after"]) == (4, 3, 1, 3, 1)
     assert [(r.path, round(r.score, 6)) for r in index.search(" beta ", limit=1).collect()] == [("b.md", 1.0)]
-    same = index.update(notes_of(spark, a="# A\n\nalpha" + LONG))
+    told = []
+    same = index.update(notes_of(spark, a="# A\n\nalpha" + LONG), on_progress=told.append)
+    assert told == [{"phase": "chunked", "chunks": 1}]
     assert (same["documents_unchanged"], same["committed"], same["generation_after"]) == (1, False, 1)
     guarded = index.update(notes_of(spark, a="# A\n\nbeta" + LONG), should_commit=lambda: False)
     assert not guarded["committed"] and index.store.manifest().generation == 1
@@ -53,6 +55,8 @@ def test_index_lifecycle(spark, tmp_path):
     assert index.store.manifest().generation == 1
     content = {"a.md": "# A\n\nbeta" + LONG}
     read = lambda wanted: spark.createDataFrame([(p, content[p]) for p in wanted if p in content], "path string, content string")
+    index.update(notes_of(spark, a="# A\n\nbeta two" + LONG), should_commit=lambda: False, on_progress=told.append)
+    assert told[1:] == [{"phase": "chunked", "chunks": 1}, {"phase": "embedded", "vectors": 1}]
     synced = index.flush({"reconcile_all": False, "upserts": ["a.md", "lost.md"], "deletes": ["c.md"]}, read)
     assert (synced["documents_seen"], synced["documents_changed"], synced["documents_unchanged"], synced["documents_deleted"], synced["chunks_deleted"], synced["generation_after"]) == (3, 1, 1, 1, 2, 2)
     pairs = index.duplicates().collect()

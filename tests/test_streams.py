@@ -6,9 +6,10 @@ import time
 from datetime import datetime, timedelta
 
 import pytest
+from loamdex.plans import progress
 from loamdex.sources import note_sink, records, vault
 from loamdex.sources.notes import normalized_events
-from loamdex.streaming import debounce, pending, sync, tokens
+from loamdex.streaming import debounce, pending, sync, token_state, tokens
 from pyspark.sql import functions as F
 
 EVENTS = "op string, path string, new_path string, ts timestamp, seq long, vault string"
@@ -173,6 +174,37 @@ def test_token_streams(spark, size):
     assert all(got[k] == tuple(want) for k, (_, *want) in STREAMS.items() if want[0] is not None)
 
 
+def test_token_streams_with_state(spark, tmp_path):
+    """Two runs from one checkpoint; fragments out of order in each, and one that comes a run late."""
+    source, sink, point, rows = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ck"), []
+    schema = "response string, seq long, fragment string"
+    for response, (parts, *_) in STREAMS.items():
+        text = "".join(parts)
+        rows += [(str(response), i, text[i * 37 : i * 37 + 37]) for i in range(-(-len(text) // 37))]
+    random.Random(1).shuffle(rows)
+    for part in (rows[: len(rows) // 2], rows[len(rows) // 2 :]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(source)
+        stream = token_state.shown_stream(spark.readStream.schema(schema).parquet(source), None)
+        stream.writeStream.format("parquet").option("path", sink).option("checkpointLocation", point).trigger(availableNow=True).start().awaitTermination(120)
+    key = lambda r: (str(r.response), r.line, r.piece or "", r.ended or "")
+    want = tokens.shown(tokens.pieces(tokens.lines(spark.createDataFrame(rows, schema)))).collect()
+    assert sorted(map(key, spark.read.parquet(sink).collect())) == sorted(map(key, want))
+
+
+def test_a_response_that_stands_still_times_out(spark, tmp_path):
+    source, sink = str(tmp_path / "in"), str(tmp_path / "out")
+    spark.createDataFrame([("a", 0, delta("x")), ("b", 0, "data: [DONE]\n"), ("c", 1, delta("y"))], "response string, seq long, fragment string").coalesce(1).write.parquet(source)
+    stream = token_state.shown_stream(spark.readStream.schema("response string, seq long, fragment string").parquet(source), 0.5)
+    query = stream.writeStream.format("parquet").option("path", sink).option("checkpointLocation", str(tmp_path / "ck")).trigger(processingTime="1 second").start()
+    for _ in range(60):
+        time.sleep(1)
+        got = sorted((r.response, r.piece or "", r.ended or "") for r in spark.read.schema(token_state.SHOWN).parquet(sink).collect()) if (tmp_path / "out" / "_spark_metadata").exists() else []
+        if len(got) >= 4:
+            break
+    query.stop()
+    assert got == [("a", "", "timeout"), ("a", "x", ""), ("b", "", "done"), ("c", "", "timeout")]
+
+
 # files
 
 
@@ -266,3 +298,20 @@ def test_records_survive_a_crash(spark, tmp_path, monkeypatch):
     with pytest.raises(OSError, match="crash"):
         records.save_records(row.union(row), path)
     assert records.load_records(spark, path).count() == 1
+
+
+def test_progress_of_a_stream(spark, tmp_path):
+    source, told = str(tmp_path / "in"), []
+    put(spark, source, ("create", "a.md"), ("create", "b.md"))
+    listener = progress.StreamProgress("watched", told.append)
+    spark.streams.addListener(listener)
+    try:
+        rows = spark.readStream.schema(CHANGES).parquet(source)
+        rows.writeStream.queryName("watched").format("noop").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination(60)
+        for _ in range(100):
+            if told and "error" in told[-1]:
+                break
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(listener)
+    assert [t["rows"] for t in told if "rows" in t] == [2] and told[-1] == {"error": None}
