@@ -57,10 +57,11 @@ class NoteIndex:
         if counts["chunks_embedded"] or counts["chunks_deleted"] or (before is None and mode == "reconcile"):
             fresh = incoming.join(states.where("status IN ('new', 'changed')").select("id"), "id", "left_semi")
             fresh, embedded = observed(P.embedded(fresh, self.provider).withColumn("vector", V.unit_f32("vector")), "embedded", vectors=F.count("vector"))
-            upserts = fresh.select(*committed.columns)
+            # embedded once: the merge and the ranges of the next generation both read it
+            upserts = checkpointed(fresh.select(*committed.columns))
+            on_progress({"phase": "embedded", **embedded.get})
             merged = delta.merge(committed, upserts, states.where("status = 'removed'"), gone)
             counts["committed"] = self.store.commit(merged, expected=counts["generation_before"], should_commit=should_commit) is not None
-            on_progress({"phase": "embedded", **embedded.get})
         if not automatic:
             self.store.suspend(False)
         return counts | {"generation_after": counts["generation_before"] + counts["committed"]}
