@@ -8,6 +8,8 @@ but for a numeric code. Objects that repeat a key can't be read unless
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,18 +19,27 @@ NOT_JSON, WRONG_SHAPE, ERROR = "not JSON", "wrong shape", "error"
 EMPTY, COUNT, INDICES, VECTOR = "no embeddings", "another number of embeddings", "indices aren't a permutation", "no vector"
 
 
-def whole_json(raw: str | Column) -> Column:
-    """A text as VARIANT; null unless all of it is one JSON value.
+def _marked(raw: str | Column, use: Callable[[Column, Column], Column]) -> Column:
+    """``use(value, whole)`` of a list of the text's value and a mark, and whether the mark was reached.
 
     The parser stops behind the first value, so the text is put in a list before its
     own digest, which it can't hold itself: that has to come second.
     """
 
-    def parsed(text: Column) -> Column:
-        mark = F.md5(text.cast("binary"))
-        return let(F.try_parse_json(F.concat(F.lit("["), text, F.lit(',"'), mark, F.lit('"]'))), lambda v: F.when(F.try_variant_get(v, "$[1]", "string") == mark, F.try_variant_get(v, "$[0]", "variant")))
+    def listed(text: Column, mark: Column) -> Column:
+        return let(F.try_parse_json(F.concat(F.lit("["), text, F.lit(',"'), mark, F.lit('"]'))), lambda v: use(v, F.try_variant_get(v, "$[1]", "string") == mark))
+
+    return let(col(raw), lambda text: let(F.md5(text.cast("binary")), lambda mark: listed(text, mark)))
+
+
+def whole_json(raw: str | Column) -> Column:
+    """A text as VARIANT; null unless all of it is one JSON value."""
+    return _marked(raw, lambda v, whole: F.when(whole, F.try_variant_get(v, "$[0]", "variant")))
+
 
-    return let(col(raw), parsed)
+def is_whole_json(raw: str | Column) -> Column:
+    """Whether all of a text is one JSON value, without copying the value."""
+    return _marked(raw, lambda v, whole: F.coalesce(whole, F.lit(False)))
 
 
 def kind(value: Column) -> Column:

@@ -166,7 +166,7 @@ def chunk_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'The model''s answer can''t be read' ELSE substr(text, 1, 300) END AS idea, CASE WHEN doc_id % 7 = 0 THEN '' ELSE array_to_string(ws[1:7], ' ') END AS points, CASE WHEN doc_id % 7 = 0 THEN 0 ELSE CAST(least(len(ws), 15) AS INTEGER) END AS entities,
       CASE WHEN doc_id % 7 > 0 AND doc_id % 4 IN (1, 2) THEN CASE doc_id % 4 WHEN 1 THEN 'developed' ELSE 'polished' END ELSE 'draft' END AS quality, CAST(len(ws) AS BIGINT) AS words, doc_id % 5 = 0 AS orphan FROM w""")
 def answered_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _docs(spark, sf_dir).withColumn("words", F.filter(F.split("text", f"[{T.BLANK}]+"), lambda w: w != ""))
+    docs = _docs(spark, sf_dir).withColumn("words", T.words("text"))
     quality = F.element_at(F.array(*map(F.lit, ("draft", "developed", "polished", "splendid"))), (F.col("doc_id") % 4 + 1).cast("int"))
     answer = F.to_json(F.struct(F.col("text").alias("mainIdea"), F.col("words").alias("keyPoints"), F.col("words").alias("entities"), quality.alias("quality")))
     answer = F.when(F.col("doc_id") % 7 == 0, F.col("lang")).otherwise(F.concat(F.lit("```json\n"), answer, F.lit("\n```")))
