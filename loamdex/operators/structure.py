@@ -32,7 +32,8 @@ MARKER = r"^( *)(?:[-+*]|([0-9]+[.)]))[ \t]+"
 
 def text_of(raw: str | Column) -> Column:
     """A line without the carriage return of its line break."""
-    return F.regexp_replace(T.col(raw), r"\r\z", "")
+    raw = T.col(raw)
+    return F.when(raw.endswith("\r"), F.substring(raw, F.lit(1), F.length(raw) - 1)).otherwise(raw)
 
 
 def marks(line: Column) -> Column:
@@ -105,15 +106,18 @@ def fences(raw: str, body: str) -> Column:
 
 
 def numbered(notes: DataFrame) -> DataFrame:
-    """(path, key, nth, cache, raw, body): filled notes with their lines as an array."""
+    """(path, key, nth, cache, raw, body, fences): filled notes with their lines as an array."""
     refused = lambda c: F.coalesce(c, F.raise_error(F.lit("a note needs a path and content")))
     cache = F.from_json(F.to_json("cache"), _CACHE) if "cache" in notes.columns else F.lit(None).cast(_CACHE)
     rows = notes.select(refused(F.col("path")).alias("path"), refused(F.col("content")).alias("content"), cache.alias("cache")).where("content <> ''")
-    same = Window.partitionBy("path", "key").orderBy("cache")
-    rows = rows.withColumn("key", F.xxhash64("content")).withColumn("nth", F.row_number().over(same))
     # the end of the last line begins no line
-    rows = rows.select(*NOTE, "cache", F.split(F.regexp_replace("content", r"\n\z", ""), "\n", -1).alias("raw"))
-    return rows.withColumn("body", body_line("raw", F.col("cache.frontmatter_position")))
+    raw = F.split(F.regexp_replace("content", r"\n\z", ""), "\n", -1)
+    rows = rows.select("path", F.xxhash64("content").alias("key"), "cache", raw.alias("raw"))
+    rows = rows.withColumn("body", body_line("raw", F.col("cache.frontmatter_position")))
+    # before notes are moved: Spark doesn't know what a Python function's rows are dealt by, and would move all lines again
+    rows = rows.withColumn("fences", fences("raw", "body"))
+    same = Window.partitionBy("path", "key").orderBy("cache")
+    return rows.withColumn("nth", F.row_number().over(same)).select(*NOTE, "cache", "raw", "body", "fences")
 
 
 def lines(notes: DataFrame) -> DataFrame:
@@ -125,7 +129,7 @@ def lines(notes: DataFrame) -> DataFrame:
     known = F.col("cache.headings")
     cached = F.transform(known, lambda h, k: F.struct(F.coalesce(h["start"]["line"], F.lit(-1)).alias("i"), F.lit(0).alias("rank"), F.lit(None).cast("string").alias("raw"), F.lit(0).alias("delta"), F.struct(k.alias("at"), h.alias("h")).alias("h")).cast(_LINE))
     own = F.transform("raw", lambda x, i: F.struct(i.alias("i"), F.lit(2).alias("rank"), x.alias("raw"), F.lit(0).alias("delta"), F.lit(None).alias("h")).cast(_LINE))
-    marked = F.transform(fences("raw", "body"), lambda e: F.struct(e["i"].alias("i"), F.lit(1).alias("rank"), F.lit(None).cast("string").alias("raw"), e["delta"].alias("delta"), F.lit(None).alias("h")).cast(_LINE))
+    marked = F.transform("fences", lambda e: F.struct(e["i"].alias("i"), F.lit(1).alias("rank"), F.lit(None).cast("string").alias("raw"), e["delta"].alias("delta"), F.lit(None).alias("h")).cast(_LINE))
     every = F.concat(own, marked, F.coalesce(cached, F.array().cast(f"array<{_LINE}>"))) if "cache" in notes.columns else F.concat(own, marked)
     count = F.when(known.isNotNull(), F.size(known)) if "cache" in notes.columns else F.lit(None).cast("int")
     rows = rows.select(*NOTE, "body", count.alias("cached"), F.explode(every).alias("e")).select(*NOTE, "body", "cached", "e.*", F.coalesce("e.h.at", F.lit(0)).alias("at"))
@@ -182,7 +186,7 @@ def headings(notes: DataFrame) -> DataFrame:
 
 
 def sections(notes: DataFrame) -> DataFrame:
-    """Body lines with ``heading_path`` and ``after`` where a section begins: at headings, and at a note's first line.
+    """Body lines with ``heading_path`` and ``after`` where a section ``begins``: at headings, and at a note's first line.
 
     Of the headings so far, the last one of each level stays in the path unless one of
     a higher rank came later. Lines that begin before ``after`` belong to the heading.
@@ -200,7 +204,8 @@ def sections(notes: DataFrame) -> DataFrame:
     root = F.array(root_heading("path"))
     is_heading = F.col("level").isNotNull()
     found = F.when(is_heading, F.when(F.size(path) > 0, path).otherwise(root)).when(F.col("first"), root)
-    return rows.select(*NOTE, *PLACE, "raw", "text", "start", "end", "level", found.alias("heading_path"), F.when(is_heading, F.col("after")).when(F.col("first"), F.col("start")).alias("after"))
+    begins = is_heading | F.col("first")
+    return rows.select(*NOTE, *PLACE, "raw", "text", "start", "end", "level", begins.alias("begins"), found.alias("heading_path"), F.when(is_heading, F.col("after")).when(F.col("first"), F.col("start")).alias("after"))
 
 
 def _delimits(line: Column) -> Column:
@@ -213,7 +218,7 @@ def kinds(rows: DataFrame) -> DataFrame:
     """Sections' lines with what a block that began there would be (``kind``, empty for blank lines), and what decides how far it goes."""
     place = Window.partitionBy(*NOTE).orderBy(*PLACE)
     text = F.col("text")
-    below = F.lead(F.when(F.col("heading_path").isNull(), text)).over(place)
+    below = F.lead(F.when(~F.col("begins"), text)).over(place)
     table = F.contains(text, F.lit("|")) & F.coalesce(_delimits(below), F.lit(False))
     html = rf"^ {{0,3}}<(?:!--|/?[A-Za-z][A-Za-z0-9_-]*[>/{T.BLANK}])"
     kind = (
